@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .common import documents
+from .fingerprint import edited_fingerprints
 from .mixing import mix_sources
 
 QUERIES, ORACLES = {}, {}
@@ -40,3 +41,8 @@ SELECT doc_id, size, source_size, target,
        (e * size + greatest(0, least(size, floor(target - e * source_size)::BIGINT - ahead)))::BIGINT AS taken
 FROM p
 """
+
+
+@query
+def op2_fingerprints(spark, sf_dir):
+    return edited_fingerprints(documents(spark, sf_dir))

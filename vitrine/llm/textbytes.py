@@ -137,7 +137,7 @@ def shingles(hashes: np.ndarray, row: np.ndarray, n: int, width: int) -> tuple[n
     value = np.zeros(total, U)
     place = np.arange(total) - bounds[:-1][row]
     left = count[row] - place
-    for j in range(width):
+    for j in range(min(width, total)):
         here = hashes[j:] if j else hashes
         inside = left[: total - j] > j
         value[: total - j] = np.where(inside, value[: total - j] * BASE + here, value[: total - j])
