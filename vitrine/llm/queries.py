@@ -5,6 +5,7 @@ from __future__ import annotations
 from .common import documents
 from .fingerprint import edited_fingerprints
 from .mixing import mix_sources
+from .packing import pack
 from .repeats import remove_repeats
 
 QUERIES, ORACLES = {}, {}
@@ -52,3 +53,8 @@ def op2_fingerprints(spark, sf_dir):
 @query
 def op9_remove_repeats(spark, sf_dir):
     return remove_repeats(documents(spark, sf_dir))
+
+
+@query
+def op5_packing(spark, sf_dir):
+    return pack(documents(spark, sf_dir))
