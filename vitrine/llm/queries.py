@@ -6,7 +6,9 @@ from .common import documents
 from .fingerprint import edited_fingerprints
 from .mixing import mix_sources
 from .packing import pack
+from .pii import find_pii
 from .repeats import remove_repeats
+from .secrets import scan_secrets
 
 QUERIES, ORACLES = {}, {}
 
@@ -58,3 +60,13 @@ def op9_remove_repeats(spark, sf_dir):
 @query
 def op5_packing(spark, sf_dir):
     return pack(documents(spark, sf_dir))
+
+
+@query
+def op1_pii(spark, sf_dir):
+    return find_pii(documents(spark, sf_dir))
+
+
+@query
+def op6_secrets(spark, sf_dir):
+    return scan_secrets(documents(spark, sf_dir))
