@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from .common import documents
+from .common import documents, labels
 from .fingerprint import edited_fingerprints
 from .mixing import mix_sources
 from .packing import pack
 from .pii import find_pii
+from .quality import classify_quality
 from .repeats import remove_repeats
 from .secrets import scan_secrets
 
@@ -70,3 +71,8 @@ def op1_pii(spark, sf_dir):
 @query
 def op6_secrets(spark, sf_dir):
     return scan_secrets(documents(spark, sf_dir))
+
+
+@query
+def op4_quality(spark, sf_dir):
+    return classify_quality(documents(spark, sf_dir), labels(spark, sf_dir))
