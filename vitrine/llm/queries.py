@@ -10,6 +10,7 @@ from .pii import find_pii
 from .quality import classify_quality
 from .repeats import remove_repeats
 from .secrets import scan_secrets
+from .toxicity import classify_toxicity
 
 QUERIES, ORACLES = {}, {}
 
@@ -76,3 +77,8 @@ def op6_secrets(spark, sf_dir):
 @query
 def op4_quality(spark, sf_dir):
     return classify_quality(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+@query
+def op8_toxicity(spark, sf_dir):
+    return classify_toxicity(documents(spark, sf_dir), labels(spark, sf_dir))
