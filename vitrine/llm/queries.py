@@ -5,6 +5,7 @@ from __future__ import annotations
 from .common import documents, labels
 from .fingerprint import edited_fingerprints
 from .mixing import mix_sources
+from .neardup import near_duplicates
 from .packing import pack
 from .pii import find_pii
 from .quality import classify_quality
@@ -82,3 +83,8 @@ def op4_quality(spark, sf_dir):
 @query
 def op8_toxicity(spark, sf_dir):
     return classify_toxicity(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+@query
+def op7_near_duplicates(spark, sf_dir):
+    return near_duplicates(documents(spark, sf_dir))
