@@ -11,6 +11,7 @@ from .pii import find_pii
 from .quality import classify_quality
 from .repeats import remove_repeats
 from .secrets import scan_secrets
+from .topk import search
 from .toxicity import classify_toxicity
 
 QUERIES, ORACLES = {}, {}
@@ -88,3 +89,25 @@ def op8_toxicity(spark, sf_dir):
 @query
 def op7_near_duplicates(spark, sf_dir):
     return near_duplicates(documents(spark, sf_dir))
+
+
+@query
+def op10_topk_search(spark, sf_dir):
+    """Every benchmark text whose item_id is divisible by 20, against all documents."""
+    asked = spark.read.parquet(f"{sf_dir}/benchmark.parquet").where("item_id % 20 = 0").selectExpr("item_id AS query_id", "text")
+    return search(documents(spark, sf_dir), asked)
+
+
+ORACLES["op10_topk_search"] = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM documents),
+p AS (SELECT doc_id, len(w) AS dl, unnest(w) AS t FROM d),
+tf AS (SELECT doc_id, dl, t, count(*)::DOUBLE AS f FROM p GROUP BY ALL),
+n AS (SELECT count(*)::DOUBLE AS n, sum(len(w))::DOUBLE / count(*) AS av FROM d),
+df AS (SELECT t, count(*)::DOUBLE AS df FROM tf GROUP BY t),
+q AS (SELECT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[0-9a-z\x{80}-\x{10FFFF}]+')) AS t FROM benchmark WHERE item_id % 20 = 0),
+qt AS (SELECT query_id, t, count(*)::DOUBLE AS qf FROM q GROUP BY ALL),
+s AS (SELECT query_id, doc_id, round(sum(qf * ln(1 + (n - df + 0.5) / (df + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / av))), 9) AS score
+      FROM qt JOIN df USING (t) JOIN tf USING (t), n GROUP BY query_id, doc_id)
+SELECT query_id, rank, doc_id, round(score, 6) AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 10
+"""

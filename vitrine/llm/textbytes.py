@@ -146,3 +146,15 @@ def shingles(hashes: np.ndarray, row: np.ndarray, n: int, width: int) -> tuple[n
     out = np.zeros(n + 1, np.int64)
     np.cumsum(many, out=out[1:])
     return mix(value[keep] + np.minimum(left[keep], width).astype(U)), out
+
+
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[0x41:0x5B] += 32
+
+
+def folded(data: np.ndarray) -> np.ndarray:
+    """The bytes with ASCII and Latin-1 capitals made small."""
+    out = _LOWER[data]
+    if len(out) > 1:
+        out[1:] += ((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)) * np.uint8(32)
+    return out
