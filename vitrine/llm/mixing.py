@@ -104,3 +104,28 @@ def mix_sources(
     rest = F.floor(F.col("target") - epochs * F.col("source_size")).cast("long")
     cut = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("start") - F.col("ahead")))
     return placed.select("doc_id", "source", "size", "source_size", "target", (epochs * F.col("size") + cut).alias("taken"))
+
+
+def mixture(docs: DataFrame, **options) -> DataFrame:
+    """The mix itself: documents repeated by whole epochs, and one of each source cut after its last word that fits.
+
+    All columns stay. Rows equal in doc_id, source and size share what they take.
+    """
+    keys = [F.col("doc_id").eqNullSafe(F.col("_id")), F.col("_sk") == F.col("_source"), F.col("_size") == F.col("_words")]
+    plan = mix_sources(docs, **options).groupBy(F.col("doc_id").alias("_id"), source_key(F.col("source")).alias("_source"), F.col("size").alias("_words")).agg(F.sum("taken").alias("_sum"), F.count("*").alias("_n"))
+    rows = docs.select(F.struct(*docs.columns).alias("_doc"), "doc_id", source_key(F.col("source")).alias("_sk"), F.regexp_count(whole_text(), F.lit(WORD)).cast("long").alias("_size"))
+    placed = rows.join(plan, keys[0] & keys[1] & keys[2]).withColumn("_taken", F.floor(F.col("_sum") / F.col("_n")).cast("long"))
+    placed = placed.where("_taken > 0").withColumn("_full", F.expr("_taken div _size")).withColumn("_rest", F.expr("_taken % _size"))
+    copies = F.concat(F.when(F.col("_full") > 0, F.array_repeat(F.col("_size"), F.col("_full").cast("int"))).otherwise(F.array().cast("array<bigint>")), F.when(F.col("_rest") > 0, F.array("_rest")).otherwise(F.array().cast("array<bigint>")))
+    placed = placed.select("_doc", "_size", F.explode(copies).alias("_take"))
+    pieces = F.regexp_extract_all(F.col("_doc.text"), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    text = F.when(F.col("_take") == F.col("_size"), F.col("_doc.text")).otherwise(F.array_join(F.slice(pieces, F.lit(1), F.col("_take").cast("int")), ""))
+    out = []
+    for name in docs.columns:
+        if name == "text":
+            out.append(text.alias(name))
+        elif name == "n_chars":
+            out.append(F.when(F.col("_take") == F.col("_size"), F.col("_doc.n_chars")).otherwise(F.char_length(text)).cast(docs.schema[name].dataType).alias(name))
+        else:
+            out.append(F.col(f"_doc.`{name}`").alias(name))
+    return placed.select(*out)
