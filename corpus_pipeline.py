@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.llm.common import documents, labels, staged
+from vitrine.llm.common import bound_batches, documents, labels, staged
 from vitrine.llm.mixing import mixture
 from vitrine.llm.neardup import keep_one
 from vitrine.llm.packing import pack
@@ -17,6 +17,7 @@ QUALITY_THRESHOLD = 0.3
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
+    bound_batches(spark)
     model = fit_quality(docs, labels(spark, sf_dir))
     rows = docs.select(F.struct(*docs.columns).alias("doc"), "text")
     return score_quality(rows, model, "doc").where(F.col("score") >= QUALITY_THRESHOLD).select("doc.*")

@@ -16,20 +16,22 @@ import pyarrow as pa
 U = np.uint64
 BASE = U(0x9E3779B97F4A7C15)
 INVERSE = U(pow(int(BASE), -1, 2**64))
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
+
+pa.set_memory_pool(pa.system_memory_pool())  # gives freed batches back at once
 
 _powers: dict[int, np.ndarray] = {}
 
 
 def _power_table(base: np.uint64, n: int) -> np.ndarray:
-    """base**0 .. base**n, grown by doubling and kept up to 64 MB."""
+    """base**0 .. base**n, grown by doubling and kept up to 16 MB."""
     table = _powers.get(int(base))
     if table is None or len(table) <= n:
         size = max(1 << 16, 1 << (int(n) + 1).bit_length())
         table = np.full(size, base, U)
         table[0] = 1
         np.cumprod(table, out=table)
-        if size <= 8 << 20:
+        if size <= 2 << 20:
             _powers[int(base)] = table
     return table[: n + 1]
 
