@@ -3,7 +3,8 @@ import random
 import numpy as np
 import pytest
 
-from vitrine.llm.neardup import ENTRIES, _banded_rows, alike, components, edit_distance, keep_one, near_duplicates, order_minhash
+from vitrine.llm.neardup import ENTRIES, WIDTH, _banded_rows, alike, components, edit_distance, keep_one, near_duplicates, normal_words, occurrence_labelled, order_minhash
+from vitrine.llm.textbytes import shingles
 
 
 def levenshtein(a, b):
@@ -106,3 +107,31 @@ def test_similarity_bound(changes, expected):
     b = a.copy()
     b[:changes] += 1000
     assert alike(a, b, 0.8) is expected
+
+
+def test_components_equal_brute_force(spark):
+    """Variants of one base with about a tenth of its words edited: many pairs are near the bound, so every member of a bucket counts."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(4000)]
+    base, texts = rng.choices(words, k=100), []
+    for _ in range(300):
+        one = list(base)
+        for at in rng.sample(range(100), rng.randint(12, 14)):
+            one[at] = rng.choice(words)
+        texts.append(one)
+    numbers = [np.array([int(w[1:]) for w in t], np.uint32) for t in texts]
+    sketches = []
+    for t in texts:
+        data = " ".join(t).encode()
+        hashed, row = normal_words(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+        kmers, _ = shingles(hashed, row, 1, WIDTH)
+        sketches.append(order_minhash(kmers, occurrence_labelled(kmers, np.zeros(len(kmers), np.int64))))
+    name = list(range(300))
+    for i in range(300):
+        for j in range(i):
+            if name[i] != name[j] and (sketches[i] == sketches[j]).any() and alike(numbers[i], numbers[j], 0.8):
+                old, new = sorted((name[i], name[j]))[::-1]
+                name = [new if n == old else n for n in name]
+    assert 2 < len(set(name)) < 300
+    out = near_duplicates(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.class_id for r in out} == dict(enumerate(name))

@@ -8,8 +8,8 @@ word sequences, computed in a band, is at most ``1 - similarity`` of the longer.
 
 Inside a bucket every text is compared with one leader, so a group of copies
 costs as many comparisons as it has texts; each hash function orders the texts
-anew, so leaders differ between buckets. What a bucket's leader does not link is
-compared with each other in blocks.
+anew, so leaders differ between buckets. Then all texts of a bucket that are still
+in different components are compared with each other in blocks.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import staged, whole_text
@@ -262,40 +262,63 @@ def joined(found: DataFrame, links: DataFrame) -> DataFrame:
     return staged(moved.union(merged.join(found, "node", "left_anti")))
 
 
-def _rest_of_buckets(members: DataFrame, words: DataFrame, similarity: float, block: int = 500) -> DataFrame:
+def _meetings(rest: DataFrame, block: int) -> DataFrame:
+    """bucket, node, component, own, i, j: a row for each meeting (i, j) of two blocks of a bucket that the node's block ``own`` has.
+
+    A bucket is dealt into blocks in order of component. Blocks that hold one
+    and the same component have nothing to link and do not meet.
+    """
+    several = rest.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("bucket")
+    order = Window.partitionBy("bucket").orderBy("component", "node")
+    dealt = staged(rest.join(several, "bucket").withColumn("own", F.floor((F.row_number().over(order) - 1) / block).cast("int")))
+    blocks = dealt.groupBy("bucket", "own").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    left, right = blocks.toDF("bucket", "i", "low_i", "high_i"), blocks.toDF("bucket", "j", "low_j", "high_j")
+    meet = left.join(right, "bucket").where("i <= j and not (low_i = high_i and low_j = high_j and low_i = low_j)").select("bucket", "i", "j")
+    each = meet.withColumn("own", F.explode(F.array_distinct(F.array("i", "j"))))
+    return dealt.join(each, ["bucket", "own"]).select("bucket", "node", "component", "own", "i", "j")
+
+
+def _rest_of_buckets(rest: DataFrame, words: DataFrame, similarity: float, block: int = 500) -> DataFrame:
     """Links (a, b) among what is in one bucket but not in one component.
 
-    A bucket's rest is dealt into blocks, and every two blocks meet. In a
-    meeting each text is held against all of the other block by length and
-    profile, which bound the edit distance from below, and what passes is
-    aligned; only links leave the meeting.
+    ``rest``: bucket, node and component of every text but the buckets' leaders,
+    which have met all others. Texts of different components meet in blocks, each
+    pair in the bucket of the first entry it shares; length and profile bound the
+    edit distance from below, and what passes is aligned until the two
+    components are linked, so the links leave no candidate pair undecided.
     """
-    counted = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    rest = members.join(counted, "bucket").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    rest = rest.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rest = rest.select("bucket", "node", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).join(words, "node")
+    turn = mix(np.arange(101, 101 + ENTRIES).astype(U))
 
     def run(table: pa.Table) -> pa.Table:
         node, side = table.column("node").to_numpy(), table.column("own").to_numpy() == table.column("i")[0].as_py()
         alone = bool(side.all())  # a block that meets itself
+        label = np.unique(table.column("component").to_numpy(), return_inverse=True)[1]
         texts = [np.frombuffer(x, np.uint32) for x in table.column("words").to_pylist()]
+        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), U).reshape(-1, ENTRIES)
+        entry = int(np.flatnonzero(mix(sketch[0] + turn).astype(np.int64) == table.column("bucket")[0].as_py())[0])
         size = np.array([len(t) for t in texts])
         profiles = np.stack([profile(t) for t in texts]).astype(np.int16 if size.max() < 30_000 else np.int32)
         coarse = profiles.reshape(len(texts), 2, 4, CLASSES // 4).sum(axis=2, dtype=profiles.dtype)
         pairs = []
         for i in np.flatnonzero(side):
             others = np.arange(i + 1, len(node)) if alone else np.flatnonzero(~side)
+            others = others[label[others] != label[i]]
             longer = np.maximum(size[others], size[i])
             most = ((1 - similarity) * longer + 1e-9).astype(np.int64)
             others, most = others[(near := np.abs(size[others] - size[i]) <= most)], most[near]
+            near = ~(sketch[others, :entry] == sketch[i, :entry]).any(axis=1)  # the others met before
+            others, most = others[near], most[near]
             far = np.abs(coarse[others] - coarse[i]).sum(axis=2)  # fewer classes first, which bound from below as well
             others, most = others[(near := np.maximum(far[:, 0] / 2, far[:, 1] / 4) <= most)], most[near]
             others, most = others[(near := least_edits(profiles[others], profiles[i]) <= most)], most[near]
-            pairs += [(node[i], node[k]) for k, m in zip(others, most, strict=True) if edit_distance(texts[i], texts[k], int(m)) <= m]
+            for k, m in zip(others, most, strict=True):
+                if label[k] != label[i] and edit_distance(texts[i], texts[k], int(m)) <= m:
+                    pairs.append((node[i], node[k]))
+                    label[label == label[k]] = label[i]
         return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
 
-    return staged(rest.groupBy("bucket", "i", "j").applyInArrow(run, "a bigint, b bigint"))
+    met = _meetings(rest, block).join(words, "node")
+    return staged(met.groupBy("bucket", "i", "j").applyInArrow(run, "a bigint, b bigint"))
 
 
 def _marks(batch: pa.RecordBatch, total: np.ndarray) -> None:
@@ -339,7 +362,7 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataF
             yield from pa.table({"node": found.column("node"), "words": found.column("words_first")}).combine_chunks().to_batches()
 
     words = docs.select(whole_text().alias("text")).mapInArrow(chosen, "node bigint, words binary")
-    words = staged(words.groupBy("node").agg(F.first("words").alias("words")))
+    words = staged(words.groupBy("node").agg(F.first("words").alias("words")).join(nodes, "node"))
 
     # each text with the leader it shares most buckets with, then what that leaves apart
     best = candidates.groupBy("node").agg(F.max(F.struct("times", F.xxhash64("leader"), "leader")).alias("best")).select(*_pair(F.col("node"), F.col("best.leader"))).distinct()
@@ -352,10 +375,8 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataF
     more = candidates.select(*_pair(F.col("node"), F.col("leader"))).distinct()
     found = joined(found, _verified(apart(more.join(best, ["a", "b"], "left_anti"), found), words, similarity))
 
-    named = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    leaders = found.select(F.col("node").alias("leader"), F.col("component").alias("leads"))
-    named = named.join(leaders, "leader", "left").withColumn("leads", F.coalesce("leads", "leader")).where("component != leads")
-    rest = named.groupBy("bucket", "component").agg(F.min("node").alias("node")).select("bucket", "node")
+    named = members.where("node != leader").join(found, "node", "left")
+    rest = named.select("bucket", "node", F.coalesce("component", "node").alias("component"))
     found = joined(found, _rest_of_buckets(rest, words, similarity))
     return rows.select("doc_id", "node"), found, bitmap
 
