@@ -33,3 +33,40 @@ def test_equals_brute_force(spark):
     for k, shard in ((10, 5000), (3, 40)):
         assert sorted([tuple(r) for r in search(d, q, k, shard).collect()], key=str) == brute(docs, queries, k)
     assert search(d.limit(0), q).count() == 0 and search(d, q.limit(0)).count() == 0
+
+
+def test_blocks_of_long_queries(spark, monkeypatch):
+    """Queries of any number and length: the driver takes them in blocks, long ones are scored whole."""
+    from vitrine.llm import topk
+
+    rng = random.Random(3)
+    words = [f"w{int(rng.paretovariate(0.7))}" for _ in range(3000)]
+    docs = [(i, " ".join(rng.choices(words, k=rng.randint(0, 300)))) for i in range(200)] + [(None, "w1 w2 w3"), (200, "w1 w2 w3"), (201, "w1 w2 w3")]
+    queries = [(d, t) for d, t in docs if d is not None and d % 4 == 0]
+    monkeypatch.setattr(topk, "QUERY_BYTES", 8000)
+    sizes = []
+    hits = topk._hits
+    monkeypatch.setattr(topk, "_hits", lambda texts, asked, *rest: sizes.append(len(asked)) or hits(texts, asked, *rest))
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    q = spark.createDataFrame(queries, "query_id long, text string")
+    assert sorted([tuple(r) for r in search(d, q, 10, 60).collect()], key=str) == brute(docs, queries, 10)
+    assert len(sizes) > 2 and sum(sizes) == len(queries)
+
+
+def test_every_twentieth_document_is_asked(spark):
+    import os
+
+    import duckdb
+    import pytest
+
+    from vitrine.llm.queries import ORACLES, QUERIES
+
+    data = "/root/testdata/sf0.001"
+    if not os.path.isdir(data):
+        pytest.skip("needs the driver's tables")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{data}/documents.parquet'")
+    got = sorted(tuple(r) for r in QUERIES["op10_topk_documents"](spark, data).collect())
+    want = sorted(con.execute(ORACLES["op10_topk_documents"]).fetchall())
+    assert [(q, r) for q, r, _, _ in got] == [(q, r) for q, r, _, _ in want] and len({q for q, *_ in got}) >= 9
+    assert all(abs(a[3] - b[3]) < 2e-6 for a, b in zip(got, want, strict=True)) and sum(a[2] == b[2] for a, b in zip(got, want, strict=True)) == len(want)

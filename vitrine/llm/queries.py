@@ -111,3 +111,13 @@ s AS (SELECT query_id, doc_id, round(sum(qf * ln(1 + (n - df + 0.5) / (df + 0.5)
 SELECT query_id, rank, doc_id, round(score, 6) AS score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 10
 """
+
+
+@query
+def op10_topk_documents(spark, sf_dir):
+    """Every document whose doc_id is divisible by 20, as a query against all documents."""
+    docs = documents(spark, sf_dir)
+    return search(docs, docs.where("doc_id % 20 = 0").selectExpr("doc_id AS query_id", "text"))
+
+
+ORACLES["op10_topk_documents"] = ORACLES["op10_topk_search"].replace("item_id", "doc_id").replace("FROM benchmark", "FROM documents")

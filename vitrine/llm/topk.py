@@ -12,17 +12,20 @@ import heapq
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import whole_text
+from .common import staged, whole_text
 from .gather import gathered
 from .textbytes import Hasher, folded, slices, utf8, word_spans
 
 K1, B, BLOCK = 1.2, 0.75, 64
+#: Bytes of query texts that the driver and each task hold at once, and the terms from which a query is scored whole.
+QUERY_BYTES, LONG = 8 << 20, 64
 #: Terms are runs of ASCII letters and digits and bytes of other characters, ASCII and Latin-1 capitals made small.
 _BREAK = np.ones(256, bool)
 _BREAK[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
@@ -79,13 +82,26 @@ class Index:
         self.count = np.concatenate([np.empty(0, np.int32), *self.counts])[order]
         self.length = np.concatenate([np.empty(0, np.int64), *self.lengths])
         self.codes, self.rows, self.counts, self.lengths = [], [], [], []
+        self.value = impact(self.count.astype(np.float64), self.length[self.row].astype(np.float64), self.average)
+
+    def scored(self, codes: np.ndarray, weights: np.ndarray, k: int, ids: np.ndarray) -> list[tuple[float, int]]:
+        """What ``wand`` returns, from the sums over all postings: bounds of many terms prune next to nothing."""
+        total = np.zeros(self.size)
+        for w, i, j in zip(weights, np.searchsorted(self.code, codes, "left"), np.searchsorted(self.code, codes, "right"), strict=True):
+            total[self.row[i:j]] += w * self.value[i:j]
+        total = np.round(total, 9)
+        some = np.flatnonzero(total > 0)
+        if len(some) > k:
+            some = some[total[some] >= np.partition(total[some], len(some) - k)[len(some) - k]]
+        some = some[np.lexsort((some, ids[some], -total[some]))[:k]]
+        return [(float(total[n]), int(n)) for n in some]
 
     def postings(self, code: np.uint64) -> Postings | None:
         i, j = np.searchsorted(self.code, code, "left"), np.searchsorted(self.code, code, "right")
         if i == j:
             return None
         docs = self.row[i:j]
-        value = impact(self.count[i:j].astype(np.float64), self.length[docs].astype(np.float64), self.average)
+        value = self.value[i:j]
         block = np.maximum.reduceat(value, np.arange(0, j - i, BLOCK))
         return Postings(docs.tolist(), value.tolist(), block.tolist(), float(value.max()))
 
@@ -169,26 +185,14 @@ def _forward(cursor: list, target: int) -> None:
     cursor[0] = docs[low] if low < n else 1 << 62
 
 
-def search(docs: DataFrame, queries: DataFrame, k: int = 10, shard_docs: int = 5000) -> DataFrame:
-    """query_id, rank, doc_id and score of the k best documents of every query.
-
-    ``queries``: query_id and text; their terms are collected, so they are a
-    bounded set. BM25 with k1 = 1.2 and b = 0.75, weight
-    ln(1 + (N - df + 0.5) / (df + 0.5)), a query term counting as often as the
-    query has it. Scores are rounded to 6 places and ranked by score, then
-    doc_id; documents without a query term are not results.
-
-    Null text is empty but counts in N; a null query finds nothing; null ids
-    rank as the least; repeated rows are results each; empty tables give empty
-    results; further columns are ignored.
-    """
+def _hits(texts: DataFrame, queries: list, k: int, shard_docs: int) -> DataFrame:
+    """query_id, doc_id and score of the k best of each shard for a block of queries."""
     asked = []
-    for row in queries.select("query_id", whole_text().alias("text")).collect():
+    for row in queries:
         raw = row.text.encode()
         code, _ = terms(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
         asked.append((row.query_id, *np.unique(code, return_counts=True)))
     vocabulary = np.unique(np.concatenate([np.empty(0, np.uint64), *(c for _, c, _ in asked)]))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
 
     def add(batch: pa.RecordBatch, total: np.ndarray) -> None:
         data, offsets = utf8(batch.column(0))
@@ -204,18 +208,22 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, shard_docs: int = 5
 
     total = gathered(texts.select("text"), add, 2 + len(vocabulary))
     n, average = int(total[0]), max(1.0, int(total[1]) / max(1, int(total[0])))
-    weight = dict(zip(vocabulary.tolist(), (math.log(1 + (n - d + 0.5) / (d + 0.5)) for d in total[2:].tolist()), strict=True))
+    weight = np.array([math.log(1 + (n - d + 0.5) / (d + 0.5)) for d in total[2:].tolist()])
+    asked = [(q, codes, weight[np.searchsorted(vocabulary, codes)] * times) for q, codes, times in asked]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, ids = Index(average), []
 
         def found() -> pa.RecordBatch:
             index.close()
-            out = []
-            for query_id, codes, times in asked:
-                lists = [(weight[int(c)] * int(t), p) for c, t in zip(codes, times, strict=True) if (p := index.postings(c)) is not None]
-                for score, number in wand(lists, k, [-1 << 62 if x is None else x for x in ids]):
-                    out.append((query_id, ids[number], score))
+            out, rank = [], [-1 << 62 if x is None else x for x in ids]
+            ranks = np.array(rank, np.int64)
+            for query_id, codes, weights in asked:
+                if len(codes) >= LONG:
+                    best = index.scored(codes, weights, k, ranks)
+                else:
+                    best = wand([(w, p) for c, w in zip(codes, weights.tolist(), strict=True) if (p := index.postings(c)) is not None], k, rank)
+                out += [(query_id, ids[number], score) for score, number in best]
             columns = list(zip(*out, strict=True)) or [[], [], []]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "doc_id", "score"])
 
@@ -230,7 +238,28 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, shard_docs: int = 5
         if ids:
             yield found()
 
-    hits = texts.mapInArrow(run, "query_id bigint, doc_id bigint, score double")
+    return texts.mapInArrow(run, "query_id bigint, doc_id bigint, score double")
+
+
+def search(docs: DataFrame, queries: DataFrame, k: int = 10, shard_docs: int = 5000) -> DataFrame:
+    """query_id, rank, doc_id and score of the k best documents of every query.
+
+    ``queries``: query_id and text, of any number; they are asked in blocks of about
+    QUERY_BYTES, so the driver and the tasks hold one block at a time. BM25 with k1 = 1.2 and b = 0.75, weight
+    ln(1 + (N - df + 0.5) / (df + 0.5)), a query term counting as often as the
+    query has it. Scores are rounded to 6 places and ranked by score, then
+    doc_id; documents without a query term are not results.
+
+    Null text is empty but counts in N; a null query finds nothing; null ids
+    rank as the least; repeated rows are results each; empty tables give empty
+    results; further columns are ignored.
+    """
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
+    asked = staged(queries.select(F.col("query_id").cast("long").alias("query_id"), whole_text().alias("text")))
+    blocks = -(-(asked.agg(F.sum(F.octet_length("text"))).first()[0] or 1) // QUERY_BYTES)
+    own = F.pmod(F.xxhash64("query_id", "text"), F.lit(blocks))
+    hits = [_hits(texts, asked.where(own == i).collect(), k, shard_docs) for i in range(max(1, blocks))]
+    hits = reduce(DataFrame.union, hits)
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_first())
     ranked = hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", F.round("score", 6).alias("score"))
