@@ -184,3 +184,15 @@ def test_histograms(spark):
     tf = index.codewords(index.term_frequencies(d), book)
     assert rows(index.dense(tf, 3), "doc_id", "histogram") == [(1, [2.0, 1.0, 0.0]), (2, [0.0, 1.0, 0.0])]
     assert rows(index.posting_lists(index.term_frequencies(d)).where("term = 'a'"), "postings") == [([(1, 1), (2, 1)],)]
+
+
+def test_knn_exact_takes_queries_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(60, 6))
+    data = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "doc_id long, embedding array<double>")
+    q = data.selectExpr("doc_id as query_id", "embedding as vector")
+    monkeypatch.setattr(knn, "MOST_QUERIES", 7)
+    out = {(r.query_id, r["rank"]): r.doc_id for r in knn.knn_exact(data, q, 5).collect()}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = np.argsort(-(unit @ unit.T), axis=1)[:, :5]
+    assert out == {(i, n + 1): near[i, n] for i in range(60) for n in range(5)}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.vectors import cosine, matrix, nearest_codeword, norm
 from .ranking import top_k
 
-#: Queries of one call; more are asked in several.
+#: Queries that meet the vectors at once; more are asked in blocks of about as many.
 MOST_QUERIES = 10_000
 
 
@@ -21,21 +22,30 @@ def usable(vectors: DataFrame, column: str) -> DataFrame:
     return vectors.where(F.col(column).isNotNull()).where(norm(F.col(column)) > 0)
 
 
-def _queries(queries: DataFrame) -> tuple[list, np.ndarray]:
-    rows = usable(queries, "vector").select("query_id", "vector").limit(MOST_QUERIES + 1).collect()
-    if len(rows) > MOST_QUERIES:
-        raise ValueError(f"at most {MOST_QUERIES} queries a call")
-    x = matrix([r.vector for r in rows])
-    return [r.query_id for r in rows], x / np.linalg.norm(x, axis=1, keepdims=True) if len(rows) else x
+def _queries(queries: DataFrame) -> Iterator[tuple[list, np.ndarray]]:
+    """Ids and unit vectors of the queries, a block at a time."""
+    asked = usable(queries, "vector").select("query_id", "vector")
+    rows = asked.limit(MOST_QUERIES + 1).collect()
+    blocks = -(-asked.count() // MOST_QUERIES) if len(rows) > MOST_QUERIES else 1
+    own = F.pmod(F.xxhash64("query_id", "vector"), F.lit(blocks))
+    for i in range(blocks):
+        part = rows if blocks == 1 else asked.where(own == i).collect()
+        x = matrix([r.vector for r in part])
+        yield [r.query_id for r in part], x / np.linalg.norm(x, axis=1, keepdims=True) if len(part) else x
 
 
 def knn_exact(vectors: DataFrame, queries: DataFrame, k: int, key: str = "doc_id", column: str = "embedding", digits: int = 6) -> DataFrame:
     """query_id, key, score and rank of the k nearest of all vectors.
 
-    Each task multiplies its vectors by the matrix of queries, a bounded set,
-    and passes on its k best for each query.
+    Each task multiplies its vectors by the matrix of queries, a block of them at
+    a time, and passes on its k best for each query.
     """
-    ids, q = _queries(queries)
+    known = vectors.where(F.col(column).isNotNull()).select(F.col(key).cast("long").alias(key), F.col(column).alias("vector"))
+    hits = [_nearest(known, ids, q, k, key, digits) for ids, q in _queries(queries)]
+    return top_k(reduce(DataFrame.union, hits), k, key=key)
+
+
+def _nearest(known: DataFrame, ids: list, q: np.ndarray, k: int, key: str, digits: int) -> DataFrame:
     schema = f"query_id long, {key} long, score double"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -49,8 +59,7 @@ def knn_exact(vectors: DataFrame, queries: DataFrame, k: int, key: str = "doc_id
             order = np.lexsort((np.broadcast_to(own, near.shape), -near), axis=1)[:, :k]
             yield pd.DataFrame({"query_id": np.repeat(ids, order.shape[1]), key: own[order].ravel(), "score": np.take_along_axis(near, order, 1).ravel()})
 
-    hits = vectors.where(F.col(column).isNotNull()).select(F.col(key).cast("long").alias(key), F.col(column).alias("vector")).mapInPandas(run, schema)
-    return top_k(hits, k, key=key)
+    return known.mapInPandas(run, schema)
 
 
 def assign_lists(vectors: DataFrame, centres: np.ndarray, column: str = "embedding") -> DataFrame:
