@@ -3,7 +3,8 @@ import random
 import numpy as np
 import pytest
 
-from vitrine.llm.neardup import ENTRIES, WIDTH, _banded_rows, alike, components, edit_distance, keep_one, near_duplicates, normal_words, occurrence_labelled, order_minhash
+from vitrine.llm import neardup
+from vitrine.llm.neardup import ENTRIES, WIDTH, alike, components, edit_distances, keep_one, near_duplicates, normal_words, occurrence_labelled, order_minhash
 from vitrine.llm.textbytes import shingles
 
 
@@ -16,20 +17,29 @@ def levenshtein(a, b):
     return row[-1]
 
 
-def test_edit_distance():
+def test_edit_distances():
     rng = random.Random(0)
-    for _ in range(1500):
-        a = rng.choices(range(4), k=rng.randint(0, 25))
+    pairs, bounds, true = [], [], []
+    for _ in range(2500):
+        a = rng.choices(range(4), k=rng.randint(0, 60))
         b = list(a)
-        for _ in range(rng.randint(0, 8)):
+        for _ in range(rng.randint(0, 14)):
             at = rng.randrange(len(b) + 1)
             b[at : at + rng.randint(0, 2)] = rng.choices(range(4), k=rng.randint(0, 2))
-        most, true = rng.randint(0, 12), levenshtein(a, b)
-        x, y = np.array(a, np.uint32), np.array(b, np.uint32)
-        assert edit_distance(x, y, most) == min(true, most + 1)
-        x, y = sorted((x, y), key=len)
-        if len(x) and len(y) - len(x) <= 9:
-            assert min(_banded_rows(x, y, 9), 10) == min(true, 10)
+        pairs.append((np.array(a, np.uint32), np.array(b, np.uint32)))
+        bounds.append(rng.randint(0, 40))
+        true.append(min(levenshtein(a, b), bounds[-1] + 1))
+    assert edit_distances(pairs, np.array(bounds)).tolist() == true
+    assert edit_distances([], np.array([])).tolist() == []
+
+
+def test_edit_distances_of_long_texts():
+    """Texts beyond 16-bit counts, and bands wider than the first."""
+    a = np.random.default_rng(3).integers(0, 1 << 32, 9000, dtype=np.uint32)
+    b = np.delete(np.insert(a, 100, a[:40]), slice(5000, 5100))
+    c = a.copy()
+    c[::10] = 0
+    assert edit_distances([(a, b), (a, c), (c, b)], np.array([1800, 1800, 200])).tolist() == [140, 900, 201]
 
 
 def test_sketch_keeps_order():
@@ -106,11 +116,14 @@ def test_similarity_bound(changes, expected):
     a = np.arange(100, dtype=np.uint32)
     b = a.copy()
     b[:changes] += 1000
-    assert alike(a, b, 0.8) is expected
+    assert alike([(a, b)], 0.8).tolist() == [expected]
 
 
-def test_components_equal_brute_force(spark):
-    """Variants of one base with about a tenth of its words edited: many pairs are near the bound, so every member of a bucket counts."""
+@pytest.mark.parametrize("block", [2000, 40])
+def test_components_equal_brute_force(spark, monkeypatch, block):
+    """Variants of one base with about a tenth of its words edited: many pairs are near the bound, so every member
+    of a bucket counts. With the small block buckets are parted, and parts meet in several blocks."""
+    monkeypatch.setattr(neardup._rest_of_buckets, "__defaults__", (block,))
     rng = random.Random(5)
     words = [f"w{i}" for i in range(4000)]
     base, texts = rng.choices(words, k=100), []
@@ -119,6 +132,8 @@ def test_components_equal_brute_force(spark):
         for at in rng.sample(range(100), rng.randint(12, 14)):
             one[at] = rng.choice(words)
         texts.append(one)
+    passage = rng.choices(words, k=45)
+    texts += [rng.choices(words, k=30) + passage + rng.choices(words[:20], k=15) for _ in range(500)]  # many share a bucket, few are alike
     numbers = [np.array([int(w[1:]) for w in t], np.uint32) for t in texts]
     sketches = []
     for t in texts:
@@ -126,12 +141,14 @@ def test_components_equal_brute_force(spark):
         hashed, row = normal_words(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
         kmers, _ = shingles(hashed, row, 1, WIDTH)
         sketches.append(order_minhash(kmers, occurrence_labelled(kmers, np.zeros(len(kmers), np.int64))))
-    name = list(range(300))
-    for i in range(300):
-        for j in range(i):
-            if name[i] != name[j] and (sketches[i] == sketches[j]).any() and alike(numbers[i], numbers[j], 0.8):
-                old, new = sorted((name[i], name[j]))[::-1]
-                name = [new if n == old else n for n in name]
-    assert 2 < len(set(name)) < 300
+    sketches = np.stack(sketches)
+    pairs = [(i, int(j)) for i in range(len(texts)) for j in np.flatnonzero((sketches[:i] == sketches[i]).any(axis=1))]
+    good = alike([(numbers[i], numbers[j]) for i, j in pairs], 0.8)
+    name = np.arange(len(texts))
+    for (i, j), linked in zip(pairs, good, strict=True):
+        if linked and name[i] != name[j]:
+            old, new = sorted((name[i], name[j]))[::-1]
+            name[name == old] = new
+    assert 2 < len(set(name[:300].tolist())) < 300
     out = near_duplicates(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")).collect()
-    assert {r.doc_id: r.class_id for r in out} == dict(enumerate(name))
+    assert {r.doc_id: r.class_id for r in out} == dict(enumerate(name.tolist()))

@@ -9,7 +9,8 @@ word sequences, computed in a band, is at most ``1 - similarity`` of the longer.
 Inside a bucket every text is compared with one leader, so a group of copies
 costs as many comparisons as it has texts; each hash function orders the texts
 anew, so leaders differ between buckets. Then all texts of a bucket that are still
-in different components are compared with each other in blocks.
+in different components are compared with each other. Large buckets are parted
+for that by the rarest words of each text, of which texts that are alike share one.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged, whole_text
+from .common import shuffle_partitions, staged, whole_text
 from .gather import gathered
 from .textbytes import BASE, Hasher, U, folded, mix, row_bounds, shingles, slices, utf8, word_spans
 
@@ -31,6 +32,8 @@ _FACTORS = mix(np.arange(1, ENTRIES + 1).astype(U)) | U(1)
 _KEEP = np.zeros(256, bool)
 _KEEP[[0x20, *range(0x09, 0x0E), *range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 FILTER_BITS = 1 << 22
+#: Texts of a bucket that meet in one task; pairs that wait there for alignment, and those aligned between two looks at the components.
+BUCKET, GATHERED, PART = 2000, 200_000, 4096
 
 
 def normal_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -74,12 +77,13 @@ def order_minhash(kmers: np.ndarray, labelled: np.ndarray) -> np.ndarray:
     return mix(mix(kmers[a] + _FACTORS) * BASE + kmers[b])
 
 
-def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
-    """Word edit distance, or ``most + 1`` where it is more.
+#: Cells of a batch's antidiagonal, and bytes of its words.
+CELLS, BATCH_WORDS = 1 << 15, 1 << 21
+FAR = {np.int16: 16_000, np.int32: 1 << 29}
 
-    The band widens by doubling. Within it, the furthest row that e edits reach
-    on each diagonal follows from those of e - 1 edits.
-    """
+
+def trimmed(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two without their common beginning and end, the shorter first."""
     n = min(len(a), len(b))
     differ = np.flatnonzero(a[:n] != b[:n])
     head = int(differ[0]) if len(differ) else n
@@ -88,68 +92,93 @@ def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
     differ = np.flatnonzero(a[len(a) - n :] != b[len(b) - n :])
     tail = n - 1 - int(differ[-1]) if len(differ) else n
     a, b = a[: len(a) - tail], b[: len(b) - tail]
-    n, m = len(a), len(b)
-    if n > m:
-        a, b, n, m = b, a, m, n
-    if n == 0 or m - n > most:
-        return m if m <= most else most + 1
-    band = max(8, m - n)
-    while True:
-        band = min(band, most)
-        found = _banded(a, b, band) if n * band < 30_000_000 else _banded_rows(a, b, band)
-        if found <= band:
-            return found
-        if band >= most:
-            return most + 1
-        band *= 2
-
-
-def _banded(a: np.ndarray, b: np.ndarray, band: int) -> int:
-    n, m = len(a), len(b)
-    padded = np.full(m + 2 * band + n, -1, np.int64)
-    padded[band : band + m] = b
-    same = np.lib.stride_tricks.sliding_window_view(padded, n)[: 2 * band + 1] == a.astype(np.int64)
-    stop = np.where(same, np.int32(n), np.arange(n, dtype=np.int32))
-    stop = np.minimum.accumulate(stop[:, ::-1], axis=1)[:, ::-1]
-    stop = np.concatenate([stop, np.full((2 * band + 1, 1), n, np.int32)], axis=1)
-    diagonal = np.arange(-band, band + 1)
-    limit = np.minimum(n, m - diagonal)
-    lowest = np.maximum(0, -diagonal)
-    reach = np.full(2 * band + 1, -1, np.int64)
-    reach[band] = stop[band, 0]
-    each = np.arange(2 * band + 1)
-    goal = m - n + band
-    for edits in range(band + 1):
-        if reach[goal] >= n:
-            return edits
-        after = np.where(reach >= 0, reach + 1, -1)
-        after[:-1] = np.maximum(after[:-1], np.where(reach[1:] >= 0, reach[1:] + 1, -1))
-        after[1:] = np.maximum(after[1:], reach[:-1])
-        after = np.minimum(after, limit)
-        good = (after >= lowest) & (limit >= 0)
-        reach = np.where(good, stop[each, np.clip(after, 0, n)], -1)
-        reach = np.where(good, np.minimum(np.maximum(reach, after), limit), -1)
-    return band + 1
-
-
-def _banded_rows(a: np.ndarray, b: np.ndarray, band: int) -> int:
-    """The same, a row at a time, where a table of all diagonals would be large."""
-    n, m = len(a), len(b)
-    padded = np.full(m + 2 * band + n + 1, -1, np.int64)
-    padded[band : band + m] = b
-    width, far = 2 * band + 1, n + m
-    step = np.arange(width)
-    row = np.where(step >= band, step - band, far).astype(np.int64)
-    for i in range(n):
-        change = row + (padded[i : i + width] != a[i])
-        change[:-1] = np.minimum(change[:-1], row[1:] + 1)
-        column = i + 1 - band + step
-        change[(column < 0) | (column > m)] = far
-        if 0 <= band - i - 1:
-            change[band - i - 1] = i + 1
-        row = np.minimum.accumulate(change - step) + step
-        row[(column < 0) | (column > m)] = far
-    return int(row[m - n + band])
+    return (a, b) if len(a) <= len(b) else (b, a)
+
+
+def edit_distances(pairs: list[tuple[np.ndarray, np.ndarray]], most: np.ndarray) -> np.ndarray:
+    """Word edit distance of each pair, or its ``most + 1`` where it is more.
+
+    Pairs are aligned many at a time in a band around the main diagonal. A
+    narrow band comes first; it settles a distance that it is as wide as.
+    """
+    most = np.asarray(most, np.int64)
+    out = most + 1
+    cut = [trimmed(a, b) for a, b in pairs]
+    n, m = np.array([len(a) for a, _ in cut], np.int64), np.array([len(b) for _, b in cut], np.int64)
+    near = m - n <= most
+    out[near & (n == 0)] = m[near & (n == 0)]
+    left = np.flatnonzero(near & (n > 0))
+    band = 32
+    while len(left):
+        width = np.maximum(np.minimum(most[left], band), m[left] - n[left])
+        order = np.lexsort((n[left] + m[left], width))
+        left, width = left[order], width[order]
+        at = 0
+        while at < len(left):
+            size = max(1, min(2048, CELLS // (int(width[at]) + 1)))
+            one = left[at : at + size]
+            size = max(1, int(np.searchsorted(np.arange(1, len(one) + 1) * np.maximum.accumulate(n[one] + m[one] + 2 * width[at : at + size]), BATCH_WORDS, "right")))
+            one = one[:size]
+            bound = np.minimum(width[at : at + size], most[one])
+            found = _aligned([cut[i] for i in one], bound, int(width[at : at + size].max()))
+            good = found <= bound
+            out[one[good]] = found[good]
+            at += size
+        left = left[(out[left] > most[left]) & (width < most[left])]
+        band *= 8
+    return out
+
+
+def _aligned(pairs: list[tuple[np.ndarray, np.ndarray]], most: np.ndarray, band: int) -> np.ndarray:
+    """Distances by antidiagonals of the band, a column for each pair; above ``most`` any greater number.
+
+    On antidiagonal s, cell t holds the edits of the first i words of the one
+    and j of the other with j - i = 2 t - band, or one more where s + band is odd.
+    """
+    n, m = np.array([len(a) for a, _ in pairs]), np.array([len(b) for _, b in pairs])
+    ends, goal = n + m, m - n
+    kind = np.int16 if int(ends.max()) < 15_000 else np.int32
+    far = kind(FAR[kind])
+    edge = band // 2 + 2
+    rows, last = int(n.max()) + 2 * edge + band, int(m.max()) + 2 * edge + band
+    left, right = np.zeros((rows, len(pairs)), np.uint32), np.zeros((last, len(pairs)), np.uint32)
+    for p, (a, b) in enumerate(pairs):
+        left[rows - edge - len(a) : rows - edge, p] = a[::-1]
+        right[edge : edge + len(b), p] = b
+    live, result = np.arange(len(pairs)), most.astype(np.int64) + 1
+    older, newer = np.full((band + band % 2, len(pairs)), far, kind), np.full((band + 1 - band % 2, len(pairs)), far, kind)
+    newer[band // 2] = 0  # antidiagonal 0, and the one before it without any
+    for s in range(1, int(ends.max()) + 1):
+        full = (s + band) % 2 == 0
+        first = -band if full else 1 - band
+        count = band + 1 if full else band
+        x = rows - edge - (s - first) // 2
+        y = edge + (s + first) // 2 - 1
+        made = older + (left[x : x + count] != right[y : y + count])
+        if full:
+            if band:
+                np.minimum(made[1:], newer + kind(1), out=made[1:])
+                np.minimum(made[:-1], newer + kind(1), out=made[:-1])
+        else:
+            np.minimum(made, np.minimum(newer[:-1], newer[1:]) + kind(1), out=made)
+        older, newer = newer, made
+        done = np.flatnonzero(ends == s)
+        if len(done):
+            result[live[done]] = newer[(goal[done] - first) // 2, done]
+        if s % 16 == 0:
+            # edits so far and those that the way back to the goal takes at least
+            away = np.abs((first + 2 * np.arange(count))[:, None] - goal[None, :])
+            apart = (newer + away).min(axis=0)
+            other = 1 - band if full else -band
+            away = np.abs((other + 2 * np.arange(len(older)))[:, None] - goal[None, :])
+            apart = np.minimum(apart, (older + away).min(axis=0)) if len(older) else apart
+            keep = (apart <= most) & (ends > s)
+            if not keep.any():
+                break
+            if keep.sum() <= 0.7 * len(keep):
+                live, ends, goal, most = live[keep], ends[keep], goal[keep], most[keep]
+                left, right, older, newer = (np.ascontiguousarray(z[:, keep]) for z in (left, right, older, newer))
+    return result
 
 
 CLASSES = 1024
@@ -172,12 +201,16 @@ def least_edits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(far[..., :CLASSES].sum(axis=-1) / 2, far[..., CLASSES:].sum(axis=-1) / 4)
 
 
-def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
-    longer = max(len(a), len(b))
-    most = int((1 - similarity) * longer + 1e-9)
-    if longer - min(len(a), len(b)) > most:
-        return False
-    return bool(least_edits(profile(a), profile(b)) <= most) and edit_distance(a, b, most) <= most
+def alike(pairs: list[tuple[np.ndarray, np.ndarray]], similarity: float) -> np.ndarray:
+    """Whether the edit distance of each pair is at most ``1 - similarity`` of the longer; lengths and profiles go first."""
+    size = np.array([(len(a), len(b)) for a, b in pairs], np.int64).reshape(-1, 2)
+    most = ((1 - similarity) * size.max(axis=1) + 1e-9).astype(np.int64)
+    good = np.abs(size[:, 0] - size[:, 1]) <= most
+    for p in np.flatnonzero(good):
+        good[p] = least_edits(profile(pairs[p][0]), profile(pairs[p][1])) <= most[p]
+    left = np.flatnonzero(good)
+    good[left] = edit_distances([pairs[p] for p in left], most[left]) <= most[left]
+    return good
 
 
 ROWS = "doc_id bigint, node bigint, sketch binary"
@@ -241,12 +274,14 @@ def _verified(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             wa, wb = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            good = [alike(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32), similarity) for x, y in zip(wa, wb, strict=True)]
+            good = alike([(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)) for x, y in zip(wa, wb, strict=True)], similarity)
             kept = batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
             if kept.num_rows:
                 yield kept
 
-    return staged(pairs.join(left, "a").join(right, "b").select("a", "b", "wa", "wb").mapInArrow(run, "a bigint, b bigint"))
+    parts = shuffle_partitions(pairs.sparkSession)
+    met = pairs.join(left, "a").repartition(parts, "b").join(right, "b")
+    return staged(met.select("a", "b", "wa", "wb").mapInArrow(run, "a bigint, b bigint"))
 
 
 def _pair(x: Column, y: Column) -> list[Column]:
@@ -262,63 +297,142 @@ def joined(found: DataFrame, links: DataFrame) -> DataFrame:
     return staged(moved.union(merged.join(found, "node", "left_anti")))
 
 
-def _meetings(rest: DataFrame, block: int) -> DataFrame:
-    """bucket, node, component, own, i, j: a row for each meeting (i, j) of two blocks of a bucket that the node's block ``own`` has.
+def labelled_words(words: np.ndarray) -> np.ndarray:
+    """The words told apart by their how-manieth occurrence."""
+    return occurrence_labelled(words.astype(U), np.zeros(len(words), np.int64)) if len(words) else np.empty(0, U)
+
 
-    A bucket is dealt into blocks in order of component. Blocks that hold one
-    and the same component have nothing to link and do not meet.
+def _parted(hot: DataFrame, words: DataFrame, similarity: float, block: int) -> DataFrame:
+    """bucket, sub, node, component: large buckets in smaller, overlapping groups that no pair to be linked is parted by.
+
+    Texts within the edit distance share all but ``1 - similarity`` of the
+    longer one's words, so of the words of either, the rarest of the bucket
+    first, one more than that share holds a common one. A text goes where those
+    of its words go that another text of the bucket has too.
     """
-    several = rest.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("bucket")
-    order = Window.partitionBy("bucket").orderBy("component", "node")
-    dealt = staged(rest.join(several, "bucket").withColumn("own", F.floor((F.row_number().over(order) - 1) / block).cast("int")))
-    blocks = dealt.groupBy("bucket", "own").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    left, right = blocks.toDF("bucket", "i", "low_i", "high_i"), blocks.toDF("bucket", "j", "low_j", "high_j")
-    meet = left.join(right, "bucket").where("i <= j and not (low_i = high_i and low_j = high_j and low_i = low_j)").select("bucket", "i", "j")
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for bucket, node, component, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                word = labelled_words(np.frombuffer(raw, np.uint32)).astype(np.int64)
+                n = len(word)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, v), pa.int64()) for v in (bucket, node, component)] + [pa.array(word), pa.array(np.full(n, n), pa.int64())], names=["bucket", "node", "component", "word", "size"])
+
+    each = hot.join(words.select("node", "words"), "node").select("bucket", "node", "component", "words")
+    each = staged(each.mapInArrow(split, "bucket bigint, node bigint, component bigint, word bigint, size bigint"))
+    shared = each.groupBy("bucket", "word").agg(F.count("*").alias("texts")).where("texts > 1")
+    one = Window.partitionBy("bucket", "node")
+    held = each.join(shared, ["bucket", "word"]).withColumn("alone", F.col("size") - F.count("*").over(one))
+    first = F.floor(F.col("size") * F.lit(1 - similarity) + 1e-9) + 1 - F.col("alone")
+    held = staged(held.withColumn("place", F.row_number().over(one.orderBy("texts", "word"))).where(F.col("place") <= first).select("bucket", "node", "component", "word"))
+    subs = held.groupBy("bucket").agg(F.ceil(F.count("*") * 4 / block).alias("subs"))
+    return held.join(subs, "bucket").select("bucket", F.pmod(F.xxhash64("word"), "subs").alias("sub"), "node", "component").distinct()
+
+
+def _meetings(rest: DataFrame, words: DataFrame, similarity: float, block: int) -> DataFrame:
+    """bucket, sub, node, component, own, i, j: a row for each meeting (i, j) of two blocks of a group that the node's block ``own`` has.
+
+    A group is a bucket, or where that has more than ``block`` texts, a part of
+    it; few parts are still larger than a block. A group is dealt into blocks in
+    order of component. Blocks that hold one and the same component have nothing
+    to link and do not meet.
+    """
+    of = ["bucket", "sub"]
+    low, high = F.min("component").alias("low"), F.max("component").alias("high")
+    size = rest.groupBy("bucket").agg(low, high, F.count("*").alias("texts")).where("low != high").select("bucket", "texts")
+    sized = staged(rest.join(size, "bucket"))
+    groups = sized.where(F.col("texts") <= block).select("bucket", F.lit(0).cast("long").alias("sub"), "node", "component")
+    hot = sized.where(F.col("texts") > block)
+    if not hot.isEmpty():
+        groups = staged(groups.unionByName(_parted(hot.drop("texts"), words, similarity, block)))
+    several = groups.groupBy(*of).agg(low, high).where("low != high").select(*of)
+    order = Window.partitionBy(*of).orderBy("component", "node")
+    dealt = staged(groups.join(several, of).withColumn("own", F.floor((F.row_number().over(order) - 1) / block).cast("int")))
+    blocks = dealt.groupBy(*of, "own").agg(low, high)
+    left, right = blocks.toDF(*of, "i", "low_i", "high_i"), blocks.toDF(*of, "j", "low_j", "high_j")
+    meet = left.join(right, of).where("i <= j and not (low_i = high_i and low_j = high_j and low_i = low_j)").select(*of, "i", "j")
     each = meet.withColumn("own", F.explode(F.array_distinct(F.array("i", "j"))))
-    return dealt.join(each, ["bucket", "own"]).select("bucket", "node", "component", "own", "i", "j")
+    return dealt.join(each, [*of, "own"]).select(*of, "node", "component", "own", "i", "j")
+
+
+class Classes:
+    """Labels that merge."""
+
+    def __init__(self, label: np.ndarray):
+        self.label = np.unique(label, return_inverse=True)[1]
+        self.parent = list(range(int(self.label.max()) + 1)) if len(label) else []
 
+    def of(self, i: int) -> int:
+        x, parent = int(self.label[i]), self.parent
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
 
-def _rest_of_buckets(rest: DataFrame, words: DataFrame, similarity: float, block: int = 500) -> DataFrame:
+    def merge(self, i: int, k: int) -> None:
+        self.parent[self.of(i)] = self.of(k)
+
+    def settle(self) -> np.ndarray:
+        root = np.array([self.of(i) for i in np.unique(self.label, return_index=True)[1]])
+        return root[self.label]
+
+
+def _rest_of_buckets(rest: DataFrame, words: DataFrame, similarity: float, block: int = BUCKET) -> DataFrame:
     """Links (a, b) among what is in one bucket but not in one component.
 
     ``rest``: bucket, node and component of every text but the buckets' leaders,
     which have met all others. Texts of different components meet in blocks, each
     pair in the bucket of the first entry it shares; length and profile bound the
-    edit distance from below, and what passes is aligned until the two
-    components are linked, so the links leave no candidate pair undecided.
+    edit distance from below, and what passes is aligned unless the two
+    components are linked by then, so the links leave no candidate pair undecided.
     """
     turn = mix(np.arange(101, 101 + ENTRIES).astype(U))
 
     def run(table: pa.Table) -> pa.Table:
         node, side = table.column("node").to_numpy(), table.column("own").to_numpy() == table.column("i")[0].as_py()
         alone = bool(side.all())  # a block that meets itself
-        label = np.unique(table.column("component").to_numpy(), return_inverse=True)[1]
+        classes = Classes(table.column("component").to_numpy())
+        label = classes.label
         texts = [np.frombuffer(x, np.uint32) for x in table.column("words").to_pylist()]
         sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), U).reshape(-1, ENTRIES)
         entry = int(np.flatnonzero(mix(sketch[0] + turn).astype(np.int64) == table.column("bucket")[0].as_py())[0])
         size = np.array([len(t) for t in texts])
         profiles = np.stack([profile(t) for t in texts]).astype(np.int16 if size.max() < 30_000 else np.int32)
-        coarse = profiles.reshape(len(texts), 2, 4, CLASSES // 4).sum(axis=2, dtype=profiles.dtype)
-        pairs = []
+        coarse = profiles.reshape(len(texts), 2, 16, CLASSES // 16).sum(axis=2, dtype=profiles.dtype)
+        found, left, right, allowed = [], [], [], []
+
+        def align() -> None:
+            """Decides what is gathered, a part at a time, and leaves out what earlier parts have put into one component."""
+            a, b, most = np.concatenate(left), np.concatenate(right), np.concatenate(allowed)
+            left.clear(), right.clear(), allowed.clear()
+            for c in range(0, len(a), PART):
+                now = classes.settle()
+                part = c + np.flatnonzero(now[a[c : c + PART]] != now[b[c : c + PART]])
+                good = part[edit_distances([(texts[a[p]], texts[b[p]]) for p in part], most[part]) <= most[part]]
+                for p in good:
+                    if classes.of(a[p]) != classes.of(b[p]):
+                        classes.merge(a[p], b[p])
+                        found.append((node[a[p]], node[b[p]]))
+
         for i in np.flatnonzero(side):
             others = np.arange(i + 1, len(node)) if alone else np.flatnonzero(~side)
             others = others[label[others] != label[i]]
-            longer = np.maximum(size[others], size[i])
-            most = ((1 - similarity) * longer + 1e-9).astype(np.int64)
+            most = ((1 - similarity) * np.maximum(size[others], size[i]) + 1e-9).astype(np.int64)
             others, most = others[(near := np.abs(size[others] - size[i]) <= most)], most[near]
             near = ~(sketch[others, :entry] == sketch[i, :entry]).any(axis=1)  # the others met before
             others, most = others[near], most[near]
-            far = np.abs(coarse[others] - coarse[i]).sum(axis=2)  # fewer classes first, which bound from below as well
+            far = np.abs(coarse[others] - coarse[i]).sum(axis=2, dtype=np.int32)  # fewer classes first, which bound from below as well
             others, most = others[(near := np.maximum(far[:, 0] / 2, far[:, 1] / 4) <= most)], most[near]
             others, most = others[(near := least_edits(profiles[others], profiles[i]) <= most)], most[near]
-            for k, m in zip(others, most, strict=True):
-                if label[k] != label[i] and edit_distance(texts[i], texts[k], int(m)) <= m:
-                    pairs.append((node[i], node[k]))
-                    label[label == label[k]] = label[i]
-        return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
-
-    met = _meetings(rest, block).join(words, "node")
-    return staged(met.groupBy("bucket", "i", "j").applyInArrow(run, "a bigint, b bigint"))
+            left.append(np.full(len(others), i)), right.append(others), allowed.append(most)
+            if sum(map(len, left)) > GATHERED:
+                align()
+        if left:
+            align()
+        return pa.table({"a": pa.array([p[0] for p in found], pa.int64()), "b": pa.array([p[1] for p in found], pa.int64())})
+
+    met = _meetings(rest, words, similarity, block).join(words, "node")
+    return staged(met.groupBy("bucket", "sub", "i", "j").applyInArrow(run, "a bigint, b bigint"))
 
 
 def _marks(batch: pa.RecordBatch, total: np.ndarray) -> None:
