@@ -24,25 +24,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import shuffle_partitions, whole_text
-from .textbytes import Hasher, U, joined, slices
+from .textbytes import Hasher, U, joined, mix, slices, word_spans
 
 KEYS = "bucket bigint, block bigint, keys binary, several binary"
 BITS = "block bigint, bucket bigint, round int, repeated binary"
-RESULT = "digest string, n_removed bigint, n_spans bigint, kept_sha256 string"
+RESULT = "digest string, n_removed bigint, n_spans bigint, kept_sha256 string, n_repeated_words bigint"
+#: Parts the keys of word passages from those of byte strings.
+PASSAGE = U(0x5851F42D4C957F2D)
 NONE = np.empty(0, np.int64)
 
 
 class Block:
     """The distinct texts of one block, in an order that every pass sees alike."""
 
-    def __init__(self, table: pa.Table, width: int, trigger: int, mean: int):
+    def __init__(self, table: pa.Table, width: int, words: int, trigger: int, mean: int):
         copies: dict[str, int] = {}
         for text, n in zip(table.column("text").to_pylist(), table.column("copies").to_pylist(), strict=True):
             copies[text] = copies.get(text, 0) + n
         texts = sorted(copies)
         self.copied = np.array([copies[t] > 1 for t in texts], bool)
         self.data, self.offsets = joined([t.encode() for t in texts])
-        self.width, self.trigger, self.mask = width, trigger, U(mean - 1)
+        self.width, self.words, self.trigger, self.mask = width, words, trigger, U(mean - 1)
         self.ranges = list(slices(self.offsets, 1 << 20))
 
     def part(self, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
@@ -68,9 +70,14 @@ class Block:
             many.append(self.copied[a + row])
         return np.concatenate(keys), np.concatenate(many)
 
-    def candidates(self, repeated: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Position, key and copied flag of each window all whose phrases are repeated."""
+    def candidates(self, repeated: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        """Position, key and copied flag of each window all whose phrases are repeated, and the number of those that are ``width`` bytes.
+
+        After them come the passages of ``words`` words, whose position is that
+        of their first word among all words of the block.
+        """
         places, keys, many, done = [NONE], [np.empty(0, U)], [np.empty(0, bool)], 0
+        passages, passage_keys, passage_many, words_before = [NONE], [np.empty(0, U)], [np.empty(0, bool)], 0
         for a, b in self.ranges:
             hasher, bounds, start, end, row = self.phrases(a, b)
             once = ~repeated[done : done + len(start)]
@@ -86,7 +93,31 @@ class Block:
             places.append(at + self.offsets[a])
             keys.append(hasher.spans(at, at + self.width))
             many.append(self.copied[a + np.searchsorted(bounds, at, "right") - 1])
-        return np.concatenate(places), np.concatenate(keys), np.concatenate(many)
+
+            first, last, of = self.word_spans(a, b)
+            if len(first) >= self.words:
+                i = np.flatnonzero(of[self.words - 1 :] == of[: len(of) - self.words + 1])
+                x, y = first[i], last[i + self.words - 1]
+                spoilt = np.searchsorted(end[once], y, "right") > np.searchsorted(start[once], x, "left")
+                i, x, y = i[~spoilt], x[~spoilt], y[~spoilt]
+                passages.append(i + words_before)
+                passage_keys.append(mix(hasher.spans(x, y) ^ PASSAGE))
+                passage_many.append(self.copied[a + of[i]])
+            words_before += len(first)
+        count = sum(map(len, places))
+        return np.concatenate(places + passages), np.concatenate(keys + passage_keys), np.concatenate(many + passage_many), count
+
+    def word_spans(self, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start, end and row of every word of rows a to b."""
+        return word_spans(*self.part(a, b))
+
+    def words_in(self, passages: np.ndarray) -> np.ndarray:
+        """For each text the number of its words that the passages, given by their first words, hold."""
+        count = [len(self.word_spans(a, b)[0]) for a, b in self.ranges]
+        total = sum(count)
+        held = np.cumsum(np.bincount(passages, minlength=total + 1) - np.bincount(passages + self.words, minlength=total + self.words + 1)[: total + 1])[:total] > 0
+        rows = np.concatenate([NONE, *(a + self.word_spans(a, b)[2] for a, b in self.ranges)])
+        return np.bincount(rows[held], minlength=len(self.offsets) - 1)
 
 
 def _packed(block: int, keys: np.ndarray, several: np.ndarray, shift: int) -> tuple[pa.Table, np.ndarray]:
@@ -162,13 +193,15 @@ def _collapse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from pa.table({"text": found.column("text"), "copies": found.column("count_all")}).combine_chunks().to_batches()
 
 
-def remove_repeats(docs: DataFrame, width: int = 400, trigger: int = 16, mean: int = 32, block_bytes: int = 4 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = 400, words: int = 50, trigger: int = 16, mean: int = 32, block_bytes: int = 4 << 20) -> DataFrame:
     """What is left of each text without its repeated ``width``-byte strings.
 
     A byte goes if a string of ``width`` bytes over it also starts anywhere
     else, in its own text or another; matches end with their text. Returns
-    doc_id, n_bytes, n_removed, n_spans (maximal removed runs) and kept_sha256,
-    a row for each input row.
+    doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 and
+    n_repeated_words, a row for each input row. The last counts the words in
+    passages of ``words`` words that also start anywhere else; these are only
+    reported, as they may be shorter than ``width`` bytes.
 
     Null text is empty; texts shorter than ``width`` stay whole; equal rows are
     copies of each other whatever their doc_id; an empty table gives an empty
@@ -178,14 +211,14 @@ def remove_repeats(docs: DataFrame, width: int = 400, trigger: int = 16, mean: i
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
     rows = docs.select("doc_id", whole_text().alias("text"))
-    long = rows.where(F.octet_length("text") >= width).select("text")
+    long = rows.where(F.octet_length("text") >= min(width, 2 * words - 1)).select("text")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
     bits = max(0, math.ceil(math.log2(max(1, total / mean) / (1 << 18))))
     shift = 64 - bits
 
     def block_of(table: pa.Table) -> Block:
-        return Block(table, width, trigger, mean)
+        return Block(table, width, words, trigger, mean)
 
     texts = long.mapInArrow(_collapse, "text string, copies bigint").withColumn("block", F.pmod(F.xxhash64("text"), F.lit(blocks)))
     texts = texts.repartition(parts, "block")
@@ -194,37 +227,39 @@ def remove_repeats(docs: DataFrame, width: int = 400, trigger: int = 16, mean: i
         keys, many = block_of(table).phrase_keys()
         return _packed(table.column("block")[0].as_py(), keys, many, shift)[0]
 
-    def marked(block: Block, back: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def marked(block: Block, back: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
         keys, many = block.phrase_keys()
         place = np.searchsorted(np.unique(keys), keys)
         return block.candidates(_answers(back, 0, keys, place, shift))
 
     def send_windows(table: pa.Table, back: pa.Table) -> pa.Table:
-        _, keys, many = marked(block_of(table), back)
+        _, keys, many, _ = marked(block_of(table), back)
         return _packed(table.column("block")[0].as_py() if table.num_rows else -1, keys, many, shift)[0]
 
     def cut(table: pa.Table, back: pa.Table) -> pa.Table:
         block = block_of(table)
-        places, keys, _ = marked(block, back)
-        starts = places[_answers(back, 1, keys, np.searchsorted(np.unique(keys), keys), shift)]
+        places, keys, _, count = marked(block, back)
+        repeated = _answers(back, 1, keys, np.searchsorted(np.unique(keys), keys), shift)
+        starts = places[:count][repeated[:count]]
+        passage_words = block.words_in(places[count:][repeated[count:]])
         found = []
         for i in range(len(block.offsets) - 1):
             a, b = int(block.offsets[i]), int(block.offsets[i + 1])
             own = starts[np.searchsorted(starts, a) : np.searchsorted(starts, b)] - a
-            if not len(own):
+            if not len(own) and not passage_words[i]:
                 continue
             gap = np.flatnonzero(own[1:] > own[:-1] + width)
-            first, last = own[np.append(0, gap + 1)], own[np.append(gap, len(own) - 1)] + width
+            first, last = (own[np.append(0, gap + 1)], own[np.append(gap, len(own) - 1)] + width) if len(own) else (own, own)
             text = block.data[a:b].tobytes()
             kept, at = hashlib.sha256(), 0
             for i0, i1 in zip(first.tolist(), last.tolist(), strict=True):
                 kept.update(text[at:i0])
                 at = i1
             kept.update(text[at:])
-            found.append((hashlib.sha256(text).hexdigest(), int((last - first).sum()), len(first), kept.hexdigest()))
-        columns = list(zip(*found, strict=True)) or [[], [], [], []]
-        kinds = [pa.string(), pa.int64(), pa.int64(), pa.string()]
-        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["digest", "n_removed", "n_spans", "kept_sha256"])
+            found.append((hashlib.sha256(text).hexdigest(), int((last - first).sum()), len(first), kept.hexdigest(), int(passage_words[i])))
+        columns = list(zip(*found, strict=True)) or [[], [], [], [], []]
+        kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64()]
+        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["digest", "n_removed", "n_spans", "kept_sha256", "n_repeated_words"])
 
     phrases = texts.groupBy("block").applyInArrow(send_phrases, KEYS).groupBy("bucket").applyInArrow(_count(0), BITS)
     windows = texts.groupBy("block").cogroup(phrases.groupBy("block")).applyInArrow(send_windows, KEYS).groupBy("bucket").applyInArrow(_count(1), BITS)
@@ -237,4 +272,5 @@ def remove_repeats(docs: DataFrame, width: int = 400, trigger: int = 16, mean: i
         F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"),
         F.coalesce("n_spans", F.lit(0).cast("long")).alias("n_spans"),
         F.coalesce("kept_sha256", "digest").alias("kept_sha256"),
+        F.coalesce("n_repeated_words", F.lit(0).cast("long")).alias("n_repeated_words"),
     )
