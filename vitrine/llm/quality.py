@@ -179,14 +179,18 @@ def held_out(doc_id, folds: int, fold: int):
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(folds)) == fold, F.lit(False))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, target: str, sample: int | None) -> DataFrame:
-    """text and y of labelled documents. ``sample`` bounds the rows, taken by hash of doc_id; contradictory labels of one id cancel out."""
-    known = labels.where(F.col(target).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(target).cast("double").alias("y"))
-    if sample is not None:
-        known = F.broadcast(known.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(sample).groupBy("doc_id").agg(F.avg("y").alias("y")))
-    else:
-        known = known.groupBy("doc_id").agg(F.avg("y").alias("y"))
-    return docs.select("doc_id", whole_text().alias("text")).join(known.where(F.col("y") != 0.5), "doc_id").select("doc_id", "text", F.round("y").cast("int").alias("y"))
+def labelled(docs: DataFrame, labels: DataFrame, target: str, sample: int) -> DataFrame:
+    """doc_id, text and y of labelled documents. Contradictory labels of one id cancel out.
+
+    Of about ``sample`` ids at most, those of least hash, so what is sent to the
+    tasks is of bounded size, texts stay where they are, and the plan is one
+    and the same at any size.
+    """
+    known = labels.where(F.col(target).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.avg(F.col(target).cast("double")).alias("y")).where("y != 0.5")
+    known = known.select("doc_id", F.round("y").cast("int").alias("y"))
+    share = min(1.0, sample / max(1, known.count()))
+    chosen = known if share == 1 else known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < int(share * (1 << 40)))
+    return docs.select("doc_id", whole_text().alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y")
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> tuple[np.ndarray, Network]:

@@ -35,7 +35,7 @@ LETTERS = "abcdefghijklmnopqrstuvwxyz"
 SYMBOLS = 64
 FEATURES = 1 << 18
 PREFIXES = (4, 5, 6, 7, 8)
-LONGEST = 48
+REMEMBERED = 64
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
@@ -102,11 +102,13 @@ def _choices(token: str) -> list[list[tuple[str, float]]]:
 
 
 def decode(token: str, model: np.ndarray) -> list[str]:
-    """The likeliest words behind a disguised token: Viterbi over the lattice, states being the last two symbols."""
-    states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    """The likeliest words behind a disguised token of any length: Viterbi over the lattice, states being the last two symbols."""
+    states: dict[tuple[int, int], float] = {(0, 0): 0.0}
+    steps: list[dict[tuple[int, int], tuple[tuple[int, int], str]]] = []
     for choices in [*_choices(token.lower()), [(" ", 0.0)]]:
-        after: dict[tuple[int, int], tuple[float, str]] = {}
-        for (p, q), (cost, text) in states.items():
+        after: dict[tuple[int, int], float] = {}
+        came: dict[tuple[int, int], tuple[tuple[int, int], str]] = {}
+        for (p, q), cost in states.items():
             for emitted, channel in choices:
                 total, x, y = cost + channel, p, q
                 for byte in b"\0" if emitted == " " else emitted.encode():
@@ -114,10 +116,16 @@ def decode(token: str, model: np.ndarray) -> list[str]:
                     if s or y:  # one edge at most between words
                         total -= float(model[x, y, s])
                         x, y = (0, 0) if s == 0 else (y, s)
-                if (x, y) not in after or after[x, y] > (total, text + emitted):
-                    after[x, y] = (total, text + emitted)
+                if (x, y) not in after or after[x, y] > total:
+                    after[x, y], came[x, y] = total, ((p, q), emitted)
         states = after
-    return min(states.values())[1].split()
+        steps.append(came)
+    state = min(states, key=lambda k: (states[k], k))
+    parts = []
+    for came in reversed(steps):
+        state, emitted = came[state]
+        parts.append(emitted)
+    return "".join(reversed(parts)).split()
 
 
 def disguised(data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, bytes]]:
@@ -139,8 +147,7 @@ def disguised(data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, bytes]]:
         odd[1 : n - 2] |= letter[:-3] & separator[1:-2] & letter[2:-1] & separator[3:] & on[:-2] & on[1:-1] & on[2:]
     seen = np.append(0, np.cumsum(odd[:n]))
     size = end - start
-    mark = (seen[end] > seen[start]) & (size <= LONGEST)
-    found = [(int(row[i]), data[start[i] : end[i]].tobytes()) for i in np.flatnonzero(mark)]
+    found = [(int(row[i]), data[start[i] : end[i]].tobytes()) for i in np.flatnonzero(seen[end] > seen[start])]
     # single characters with one space after each
     inside = data[start]
     single = (size == 1) | ((size == 2) & (inside >= 0xC2) & (inside <= 0xDF))
@@ -148,15 +155,13 @@ def disguised(data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, bytes]]:
     head = np.flatnonzero(single & ~chain)
     tail = np.flatnonzero(single & ~np.append(chain[1:], False))
     for i, j in zip(head, tail, strict=True):
-        for k in range(i, j + 1, LONGEST // 2):
-            m = min(j, k + LONGEST // 2 - 1)
-            if m - k >= 3 and len(set(inside[k : m + 1].tolist())) > 1:
-                found.append((int(row[k]), data[start[k] : end[m]].tobytes()))
+        if j - i >= 3 and len(set(inside[i : j + 1].tolist())) > 1:
+            found.append((int(row[i]), data[start[i] : end[j]].tobytes()))
     return found
 
 
 class Restorer:
-    """Decodes disguised tokens, each distinct one once while it is remembered."""
+    """Decodes disguised tokens, each distinct short one once while it is remembered."""
 
     def __init__(self, model: np.ndarray):
         self.model, self.known = model, {}
@@ -167,7 +172,9 @@ class Restorer:
             if len(self.known) > 100_000:
                 self.known.clear()
             text = re.sub(r"^[\"'\[{<,;:]+|[\"'\]}>,;:.?!%&*#|=]+$", "", token.decode())
-            words = self.known[token] = decode(text, self.model) if any(c.isalpha() or c in LEET for c in text) else []
+            words = decode(text, self.model) if any(c.isalpha() or c in LEET for c in text) else []
+            if len(token) <= REMEMBERED:
+                self.known[token] = words
         return words
 
 
@@ -276,12 +283,12 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray
     return w
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> Toxicity:
-    """The character model from all documents, and word evidence from all labelled rows. The score's
-    coefficients are fitted on at most ``sample`` rows of one half, by evidence from the other half alone."""
+def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 20_000, evidence_sample: int = 200_000) -> Toxicity:
+    """The character model from all documents, and word evidence from about ``evidence_sample`` labelled rows at most.
+    The score's coefficients are fitted on about ``sample`` rows at most of one half, by evidence from the other half alone."""
     model = language_model(docs.select(whole_text().alias("text")))
     half = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("half")), F.lit(2))
-    counts = word_counts(labelled(docs, labels, "toxic", None).select("text", "y", half.cast("int").alias("half")), model)
+    counts = word_counts(labelled(docs, labels, "toxic", evidence_sample).select("text", "y", half.cast("int").alias("half")), model)
     weights = word_weights(counts[0])
     restore = Restorer(model)
 
