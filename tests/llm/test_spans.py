@@ -5,7 +5,7 @@ import re
 import pytest
 
 from vitrine.llm.pii import find_pii, sanitise
-from vitrine.llm.secrets import scan_secrets
+from vitrine.llm.secrets import candidates, scan_secrets
 
 
 def luhn(digits):
@@ -85,3 +85,30 @@ def test_ownership(spark):
     start = rows[4][1].index(opaque)
     assert f"live:{start}:{start + len(opaque)}" in out[10].spans and out[10].n_live == 3 and out[11].n_live == 1
     assert out[12].spans == "" and out[13].spans == ""
+
+
+def test_verdicts_equal_brute_force(spark):
+    """Owners and repositories of every secret, counted in Python."""
+    rng = random.Random(8)
+    secrets = ["".join(rng.choices("0123456789abcdef", k=40)) for _ in range(30)] + ["placeholder-value", "ABCDEFGHIJKL"]
+    rows, uses = [], {}
+    for i in range(400):
+        k = min(int(rng.expovariate(0.15)), len(secrets) - 1)
+        owner, repository = rng.choice(["a", "b", None, "c"][: 1 + k % 4]), rng.choice("xyzuv"[: 1 + k % 5])
+        rows.append((i, f"words password: '{secrets[k]}' words", owner, repository))
+        uses.setdefault(secrets[k], set()).add((owner or "", repository))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    told = {}
+    for s, places in uses.items():
+        owners = {o for o, _ in places}
+        lively = re.search("[0-9]", s) and re.search("[A-Za-z]", s) and len(set(s)) >= 10
+        told[s] = (len(owners), len(places), "example" if len(owners) >= 3 or len(places) >= 4 else "live" if lively else "unclear")
+    assert {v for _, _, v in told.values()} == {"example", "live", "unclear"}
+    assert any(o < 3 and v == "example" for o, _, v in told.values())  # by repositories alone
+    found = {r.digest: (r.owners, r.repositories, r.verdict) for r in candidates(docs).collect()}
+    for s, v in told.items():
+        assert found[hashlib.sha256(s.encode()).hexdigest()] == v
+    for r in scan_secrets(docs).collect():
+        own = [told[s] for s in secrets if s in rows[r.doc_id][1]]
+        assert (r.owners, r.repositories) == (max(o[0] for o in own), max(o[1] for o in own))
+        assert (r.n_example > 0, r.n_live > 0) == (own[0][2] == "example", own[0][2] == "live")

@@ -1,8 +1,9 @@
 """Secret scans: corpus-wide ownership frequency of candidate credentials.
 
-A credential copied from documentation turns up under many owners; a live one
-belongs to its owner. Candidates are hashed, counted by distinct owners and
-repositories over the corpus, and each occurrence gets the verdict of its hash.
+A credential copied from documentation turns up under many owners, or in many
+repositories of a few; a live one belongs to its owner. Candidates are hashed,
+counted by distinct repositories and owners over the corpus, and each occurrence
+gets the verdict of its hash.
 """
 
 from __future__ import annotations
@@ -48,47 +49,67 @@ def _found(text: Column) -> tuple[Column, Column]:
     return F.array_sort(F.concat(*(told(k, i) for i, k in enumerate(KINDS)))), told(OPAQUE, len(KINDS))
 
 
-def scan_secrets(docs: DataFrame, owner: str = "source", repository: str = "lang", example_owners: int = 3) -> DataFrame:
+def _examined(docs: DataFrame, owner: str, repository: str) -> DataFrame:
+    """Written rows: doc_id, owner, repository, row, base, and the opaque strings outside the base spans."""
+    base, opaque = _found(F.col("text"))
+    rows = docs.select("doc_id", whole_text().alias("text"), F.coalesce(F.col(owner).cast("string"), F.lit("")).alias("owner"), F.coalesce(F.col(repository).cast("string"), F.lit("")).alias("repository"))
+    rows = rows.select("doc_id", "owner", "repository", F.monotonically_increasing_id().alias("row"), base.alias("base"), opaque.alias("opaque"))
+    return staged(rows.withColumn("opaque", F.filter("opaque", lambda s: ~overlaps(F.col("base"), s["start"], s["end"]))))
+
+
+def _uses(rows: DataFrame) -> DataFrame:
+    return rows.select("row", "owner", "repository", F.explode(F.concat("base", "opaque")).alias("s")).select("row", "owner", "repository", "s", F.col("s.digest").alias("digest"))
+
+
+def ownership(uses: DataFrame, example_owners: int, example_repositories: int) -> DataFrame:
+    """owners, repositories, uses and verdict of every digest; counts are summed up before they are dealt out by digest alone."""
+    by_repository = uses.groupBy("digest", "owner", "repository").agg(F.count("*").alias("n"), F.max("s.lively").alias("lively"))
+    by_owner = by_repository.groupBy("digest", "owner").agg(F.count("*").alias("repositories"), F.sum("n").alias("n"), F.max("lively").alias("lively"))
+    known = by_owner.groupBy("digest").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"), F.sum("n").alias("uses"), F.max("lively").alias("lively"))
+    example = (F.col("owners") >= example_owners) | (F.col("repositories") >= example_repositories)
+    return known.withColumn("verdict", F.when(example, "example").when(F.col("lively"), "live").otherwise("unclear")).drop("lively")
+
+
+def candidates(docs: DataFrame, owner: str = "source", repository: str = "lang", example_owners: int = 3, example_repositories: int = 4) -> DataFrame:
+    """digest (SHA-256 of the secret), owners, repositories, uses and verdict of every candidate of the corpus."""
+    return ownership(_uses(_examined(docs, owner, repository)), example_owners, example_repositories)
+
+
+def scan_secrets(docs: DataFrame, owner: str = "source", repository: str = "lang", example_owners: int = 3, example_repositories: int = 4) -> DataFrame:
     """Secrets of every whole text, with the corpus's verdict on each.
 
-    A repository is a pair of the two columns given; an owner is the first of
-    them. A candidate seen under ``example_owners`` owners or more is an
-    example; one of fewer that looks live is live. Returns doc_id, the counts of
-    base spans, base_sha256, spans (base spans, and ``live`` spans of opaque
-    strings outside them that are live), n_live and n_example over all spans.
+    An owner is the first column given, a repository a pair of both: where a
+    table names no repositories, what one source has in one language is the
+    finest unit that it tells apart. A candidate seen under ``example_owners``
+    owners or in ``example_repositories`` repositories, or more, is an example;
+    one of fewer that looks live is live. Returns doc_id, the counts of base
+    spans, base_sha256, spans (base spans, and ``live`` spans of opaque strings
+    outside them that are live), n_live and n_example over all spans, n_secrets
+    (all spans), and the owners and repositories of the most widely used one.
 
     Null text is empty; a null owner or repository counts as one of its own;
     rows are told apart by place, so repeated rows and doc_ids are kept; an empty
     table gives an empty result; further columns are ignored.
     """
-    text = whole_text("text")
-    base, opaque = _found(F.col("text"))
-    rows = docs.select("doc_id", text.alias("text"), F.coalesce(F.col(owner).cast("string"), F.lit("")).alias("owner"), F.coalesce(F.col(repository).cast("string"), F.lit("")).alias("repository"))
-    rows = rows.select("doc_id", "owner", "repository", F.monotonically_increasing_id().alias("row"), base.alias("base"), opaque.alias("opaque"))
-    rows = rows.withColumn("opaque", F.filter("opaque", lambda s: ~overlaps(F.col("base"), s["start"], s["end"])))
-    rows = staged(rows)
-
-    uses = rows.select("row", "owner", "repository", F.explode(F.concat("base", "opaque")).alias("s")).select("row", "owner", "repository", "s", F.col("s.digest").alias("digest"))
-    by_repository = uses.groupBy("digest", "owner", "repository").agg(F.count("*").alias("n"))
-    by_owner = by_repository.groupBy("digest", "owner").agg(F.count("*").alias("repositories"), F.sum("n").alias("n"))
-    known = by_owner.groupBy("digest").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"), F.sum("n").alias("n"))
-
-    example = F.col("owners") >= example_owners
-    verdict = F.when(example, "example").when(F.col("s.lively"), "live").otherwise("unclear")
-    judged = uses.join(known, "digest").select("row", "s", verdict.alias("verdict"))
+    rows = _examined(docs, owner, repository)
+    uses = _uses(rows)
+    judged = uses.join(ownership(uses, example_owners, example_repositories), "digest").select("row", "s", "verdict", "owners", "repositories")
     added = (F.col("verdict") == "live") & (F.col("s.kind") == "live")
     told = F.struct(F.col("s.start").alias("start"), F.col("s.rank").alias("rank"), F.col("s.kind").alias("kind"), F.col("s.end").alias("end"))
     by_row = judged.groupBy("row").agg(
         F.collect_list(F.when(added, told)).alias("added"),
         F.count(F.when((F.col("s.kind") != "live") & (F.col("verdict") == "live") | added, 1)).alias("n_live"),
         F.count(F.when(F.col("verdict") == "example", 1)).alias("n_example"),
+        F.max("owners").alias("owners"),
+        F.max("repositories").alias("repositories"),
     )
     every = F.array_sort(F.concat(F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["kind"].alias("kind"), s["end"].alias("end"))), F.coalesce("added", none_of("array<struct<start:int,rank:int,kind:string,end:int>>"))))
+    none = F.lit(0).cast("long")
     return rows.join(by_row, "row", "left").select(
         "doc_id",
         *(counted(F.col("base"), k.name).alias(f"n_{k.name}") for k in KINDS),
         F.sha2(spelled(F.col("base")), 256).alias("base_sha256"),
         spelled(every).alias("spans"),
-        F.coalesce("n_live", F.lit(0).cast("long")).alias("n_live"),
-        F.coalesce("n_example", F.lit(0).cast("long")).alias("n_example"),
+        *(F.coalesce(c, none).alias(c) for c in ("n_live", "n_example", "owners", "repositories")),
+        F.size(every).cast("long").alias("n_secrets"),
     )
