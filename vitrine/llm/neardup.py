@@ -506,7 +506,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     """
     rows, found, _ = near_classes(docs, similarity)
     placed = rows.join(found, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component"))
-    sizes = placed.groupBy("component").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
+    sizes = staged(placed.groupBy("component").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")))  # apart from the join, which can then split a large class
     return placed.join(sizes, "component").select("doc_id", "class_id", "class_size")
 
 
