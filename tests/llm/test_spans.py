@@ -1,6 +1,8 @@
 import hashlib
+import math
 import random
 import re
+from collections import Counter
 
 import pytest
 
@@ -68,6 +70,78 @@ def test_revealing_terms(spark):
     assert "Zaphod" not in clean[0] and "zb@heart.org" not in clean[0] and "[EMAIL]" in clean[0] and "common" in clean[0]
 
 
+def brute_terms(texts, reach=80, generalise=0.6, remove=0.85):
+    """Spans of revealing terms of each text, by loops over the definition."""
+    word, uses, total, n_term = re.compile(r"[^\W\d_]{3,}"), [], 0, Counter()
+    base = [sorted((m.start(), m.end(), k, m[0].lower()) for k, p, keep in PII for m in re.finditer(p, t) if keep(m)) for t in texts]
+    for t in texts:
+        found = [m[0].lower() for m in word.finditer(t)]
+        total += len(found)
+        n_term.update(found)
+    for i, t in enumerate(texts):
+        for a, b, k, v in base[i]:
+            number = re.sub("[^0-9]", "", v)[:6]
+            wide = v.split("@")[-1] if k == "email" else ".".join(v.split(".")[:2]) if k == "ip" else number
+            low, high = max(0, a - reach), min(len(t), b + reach)
+            near = {m[0].lower() for m in word.finditer(t) if low <= m.start() and m.end() <= high and (m.end() <= a or m.start() >= b) and not any(x < m.end() and m.start() < y for x, y, _, _ in base[i])}
+            near = {w for w in near if any(m[0].lower() == w and (m.start() > low or low == 0) and (m.end() < b + reach or high < b + reach) and low <= m.start() and m.end() <= high for m in word.finditer(t))}
+            for e in (("value", k, v), ("class", k, wide), ("kind", k)):
+                uses.append((i, e, (t[low:a], t[b:high]), near))
+    n_entity, both, contexts = Counter(e for _, e, _, _ in uses), Counter(), {}
+    for _, e, c, near in uses:
+        for w in near:
+            both[e, w] += 1
+            contexts.setdefault((e, w), set()).add(c)
+    told = {}
+    for (e, w), c in contexts.items():
+        sure = (len(c) - len(c) ** 0.5) / len(c)
+        if sure > 0:
+            strength = math.log(sure * both[e, w] * total / (n_entity[e] * n_term[w])) / math.log((total + 1) / n_entity[e])
+            if strength >= generalise:
+                told[e, w] = strength
+    out = []
+    for i, t in enumerate(texts):
+        own = {}
+        for j, e, _, _ in uses:
+            if j == i:
+                for (x, w), strength in told.items():
+                    if x == e:
+                        own[w] = max(own.get(w, 0), strength)
+        out.append([f"{'removed' if own[m[0].lower()] >= remove else 'term'}:{m.start()}:{m.end()}" for m in word.finditer(t) if m[0].lower() in own and not any(x < m.end() and m.start() < y for x, y, _, _ in base[i])])
+    return out
+
+
+def test_revealing_terms_equal_brute_force(spark):
+    rng = random.Random(12)
+    words = ["".join(rng.choices("abcdefgh", k=rng.randint(3, 6))) for _ in range(3000)]
+    texts = []
+    for i in range(160):
+        text = rng.choices(words[:400] if i % 4 else words, k=rng.randint(20, 60))
+        if i % 3 == 0:
+            who = rng.randrange(8)
+            text.insert(rng.randrange(len(text)), f"u{who}@host{who % 3}.example.org")
+            text.insert(rng.randrange(len(text)), rng.choice([f"Nickname{who}", "plain", f"Site{who % 3}"]))
+        if i % 5 == 0:
+            text.insert(rng.randrange(len(text)), f"10.{i % 4}.0.{i}")
+            text.insert(rng.randrange(len(text)), f"server{i % 4}x")
+        texts.append(" ".join(text))
+    texts += texts[:6]
+    out = {r.doc_id: r for r in find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    expected = brute_terms(texts)
+    assert sum(map(len, expected)) > 40
+    for i, spans in enumerate(expected):
+        assert [s for s in out[i].spans.split(",") if s.startswith(("term", "removed"))] == spans
+        assert out[i].n_terms == len(spans) and out[i].n_private == (len(out[i].spans.split(",")) if out[i].spans else 0)
+
+
+def test_many_matches(spark):
+    """More matches than a piece has, in one text."""
+    text = " ".join(f"u{i}@x.org word" for i in range(700))
+    out = find_pii(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    emails = [s for s in out.spans.split(",") if s.startswith("email")]
+    assert out.n_email == 700 and emails == [f"email:{m.start()}:{m.end()}" for m in re.finditer(r"[^ ]+@[^ ]+", text)]
+
+
 def test_sanitise_keeps_columns(spark):
     docs = spark.createDataFrame([(1, "a b.c@d.ef 4111111111111111+12345678901", "s", 9, 3), (1, None, None, 0, 4)], "doc_id long, text string, source string, n_chars long, base int")
     out = sanitise(docs)
