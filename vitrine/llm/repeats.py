@@ -46,12 +46,16 @@ class Block:
         self.data, self.offsets = joined([t.encode() for t in texts])
         self.width, self.words, self.trigger, self.mask = width, words, trigger, U(mean - 1)
         self.ranges = list(slices(self.offsets, 1 << 20))
+        self.parsed: dict[int, tuple] = {}
+        self.worded: dict[int, tuple] = {}
 
     def part(self, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
         return self.data[self.offsets[a] : self.offsets[b]], self.offsets[a : b + 1] - self.offsets[a]
 
     def phrases(self, a: int, b: int) -> tuple[Hasher, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Hasher, bounds, and start, end and row of the phrases of rows a to b that a window can hold."""
+        """Hasher, bounds, and start, end and row of the phrases of rows a to b that a window can hold; parsed once."""
+        if a in self.parsed:
+            return self.parsed[a]
         data, bounds = self.part(a, b)
         hasher = Hasher(data)
         mark = np.flatnonzero((hasher.windows(self.trigger) & self.mask) == 0)
@@ -59,7 +63,8 @@ class Block:
         inside = mark + self.trigger <= bounds[row + 1]
         mark, row = mark[inside], row[inside]
         pair = np.flatnonzero((row[1:] == row[:-1]) & (mark[1:] + self.trigger - mark[:-1] <= self.width))
-        return hasher, bounds, mark[pair], mark[pair + 1] + self.trigger, row[pair]
+        self.parsed[a] = hasher, bounds, mark[pair], mark[pair + 1] + self.trigger, row[pair]
+        return self.parsed[a]
 
     def phrase_keys(self) -> tuple[np.ndarray, np.ndarray]:
         """Key of every phrase, and whether its text has copies."""
@@ -108,8 +113,10 @@ class Block:
         return np.concatenate(places + passages), np.concatenate(keys + passage_keys), np.concatenate(many + passage_many), count
 
     def word_spans(self, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Start, end and row of every word of rows a to b."""
-        return word_spans(*self.part(a, b))
+        """Start, end and row of every word of rows a to b; found once."""
+        if a not in self.worded:
+            self.worded[a] = word_spans(*self.part(a, b))
+        return self.worded[a]
 
     def words_in(self, passages: np.ndarray) -> np.ndarray:
         """For each text the number of its words that the passages, given by their first words, hold."""
