@@ -46,5 +46,17 @@ def test_stages(spark, folder):
     assert sum(r.length for r in run.collect()) == sum(r.length for r in kept["packing"])
 
 
+def test_stages_of_odd_tables(spark, folder):
+    """No rows, nothing but nulls, and columns whose names clash with those inside the stages."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    nulls = spark.createDataFrame([(None, None, None, None, None)] * 3, docs.schema)
+    odd = docs.limit(30).selectExpr("*", "doc_id AS `a.b`", "text AS doc", "1 AS node", "2 AS score", "3 AS row", "4 AS base", "5 AS _doc", "6 AS size")
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), folder).count() == 0, name
+        assert stage(spark, nulls, folder).count() == {"near_duplicates": 1, "mix": 0}.get(name, 3), name
+        out = stage(spark, odd, folder)
+        assert out.count() > 0 and (name == "packing" or out.columns == odd.columns), name
+
+
 def test_registered():
     assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 11)} and ORACLES.keys() <= QUERIES.keys()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -30,16 +32,19 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can read: ``spark.checkpoint.dir``.
 
-    Only a local master may fall back to a temporary folder of its own.
+    Only a master without executors of its own may fall back to a temporary folder, which goes when the driver does.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path
-    if not spark.conf.get("spark.master", "").startswith("local"):
+    master = spark.conf.get("spark.master", "")
+    if not (master == "local" or master.startswith("local[")):
         raise ValueError("spark.checkpoint.dir must name a folder shared by all executors")
     global _local_dir
     if _local_dir is None:
-        _local_dir = "file://" + tempfile.mkdtemp(prefix="vitrine-")
+        folder = tempfile.mkdtemp(prefix="vitrine-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _local_dir = "file://" + folder
     return _local_dir
 
 
@@ -56,7 +61,24 @@ def staged(df: DataFrame) -> DataFrame:
     bound_batches(spark)
     path = f"{shared_dir(spark)}/vitrine-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.staged_path = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes the files of staged tables that nothing to come reads; other tables are left alone."""
+    for table in tables:
+        path = getattr(table, "__dict__", {}).pop("staged_path", None)
+        if path is not None:
+            jvm = table.sparkSession._jvm
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+
+
+def whole_rows(df: DataFrame):
+    """All columns as one struct, whatever their names."""
+    return F.struct(*(F.col(f"`{n.replace('`', '``')}`") for n in df.columns))
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

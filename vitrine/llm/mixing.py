@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged, whole_text
+from .common import staged, whole_rows, whole_text
 
 WORD = r"[^\x20\x09-\x0D]+"
 KEY_BITS = 52
@@ -113,7 +113,7 @@ def mixture(docs: DataFrame, **options) -> DataFrame:
     """
     keys = [F.col("doc_id").eqNullSafe(F.col("_id")), F.col("_sk") == F.col("_source"), F.col("_size") == F.col("_words")]
     plan = mix_sources(docs, **options).groupBy(F.col("doc_id").alias("_id"), source_key(F.col("source")).alias("_source"), F.col("size").alias("_words")).agg(F.sum("taken").alias("_sum"), F.count("*").alias("_n"))
-    rows = docs.select(F.struct(*docs.columns).alias("_doc"), "doc_id", source_key(F.col("source")).alias("_sk"), F.regexp_count(whole_text(), F.lit(WORD)).cast("long").alias("_size"))
+    rows = docs.select(whole_rows(docs).alias("_doc"), "doc_id", source_key(F.col("source")).alias("_sk"), F.regexp_count(whole_text(), F.lit(WORD)).cast("long").alias("_size"))
     placed = rows.join(plan, keys[0] & keys[1] & keys[2]).withColumn("_taken", F.floor(F.col("_sum") / F.col("_n")).cast("long"))
     placed = placed.where("_taken > 0").withColumn("_full", F.expr("_taken div _size")).withColumn("_rest", F.expr("_taken % _size"))
     copies = F.concat(F.when(F.col("_full") > 0, F.array_repeat(F.col("_size"), F.col("_full").cast("int"))).otherwise(F.array().cast("array<bigint>")), F.when(F.col("_rest") > 0, F.array("_rest")).otherwise(F.array().cast("array<bigint>")))

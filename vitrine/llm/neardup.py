@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, staged, whole_text
+from .common import discard, shuffle_partitions, staged, whole_rows, whole_text
 from .gather import gathered
 from .textbytes import BASE, Hasher, U, folded, mix, row_bounds, shingles, slices, utf8, word_spans
 
@@ -259,9 +259,14 @@ def components(edges: DataFrame) -> DataFrame:
         least = staged(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("to")).select(F.col("a").alias("node"), "to"))
         hop = least.select(F.col("node").alias("to"), F.col("to").alias("then"))
         parent = staged(least.join(hop, "to").select("node", F.col("then").alias("to")))
-        found = parent if found is None else staged(found.join(parent.select(F.col("node").alias("to"), F.col("to").alias("then")), "to", "left").select("node", F.coalesce("then", "to").alias("to")))
         pa_, pb = parent.select(F.col("node").alias("a"), F.col("to").alias("ta")), parent.select(F.col("node").alias("b"), F.col("to").alias("tb"))
-        left = staged(left.join(pa_, "a").join(pb, "b").where("ta != tb").select(F.col("ta").alias("a"), F.col("tb").alias("b")).distinct())
+        before, left = left, staged(left.join(pa_, "a").join(pb, "b").where("ta != tb").select(F.col("ta").alias("a"), F.col("tb").alias("b")).distinct())
+        discard(before, least)
+        if found is None:
+            found = parent
+        else:
+            old, found = found, staged(found.join(parent.select(F.col("node").alias("to"), F.col("to").alias("then")), "to", "left").select("node", F.coalesce("then", "to").alias("to")))
+            discard(old, parent)
     if found is None:
         return spark.createDataFrame([], "node bigint, component bigint")
     return found.select("node", F.col("to").alias("component"))
@@ -492,6 +497,7 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataF
     named = members.where("node != leader").join(found, "node", "left")
     rest = named.select("bucket", "node", F.coalesce("component", "node").alias("component"))
     found = joined(found, _rest_of_buckets(rest, words, similarity))
+    discard(members, candidates, words)
     return rows.select("doc_id", "node"), found, bitmap
 
 
@@ -516,7 +522,7 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     All columns stay. Rows without near or equal texts pass by without a shuffle.
     """
     _, found, bitmap = near_classes(docs, similarity)
-    rows = docs.select(F.struct(*docs.columns).alias("doc"), "doc_id", whole_text().alias("text"))
+    rows = docs.select(whole_rows(docs).alias("doc"), "doc_id", whole_text().alias("text"))
     schema = rows.select("doc", "doc_id", "text").schema.add("node", "long").add("marked", "boolean")
 
     def flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -19,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged, whole_text
+from .common import staged, whole_rows, whole_text
 from .spans import Kind, counted, matches, none_of, overlaps, spelled
 
 
@@ -172,7 +172,7 @@ def sanitise(docs: DataFrame, **options) -> DataFrame:
     Null text stays null. Only rows with personal data meet the shuffle by row.
     """
     names = docs.columns
-    rows = staged(examine(docs.select(F.struct(*(F.col(f"`{n}`") for n in names)).alias("doc"), whole_text().alias("text"))))
+    rows = staged(examine(docs.select(whole_rows(docs).alias("doc"), whole_text().alias("text"))))
     every = F.array_sort(F.concat("base", F.coalesce("added", none_of(SPANS))))
     held = rows.where(F.size("base") > 0).join(revealing(rows, rows.select("text"), **options), "row", "left")
     clean = held.withColumn("text", rewritten(F.col("text"), every)).withColumn("n_chars", F.char_length("text").cast("long"))

@@ -12,13 +12,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 
 U = np.uint64
 BASE = U(0x9E3779B97F4A7C15)
 INVERSE = U(pow(int(BASE), -1, 2**64))
 SLICE_BYTES = 1 << 20
 
-pa.set_memory_pool(pa.system_memory_pool())  # gives freed batches back at once
+if TaskContext.get() is not None:  # in a worker only: gives freed batches back at once
+    pa.set_memory_pool(pa.system_memory_pool())
 
 _powers: dict[int, np.ndarray] = {}
 
