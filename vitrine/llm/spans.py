@@ -21,9 +21,7 @@ def matches(text: Column, pattern: str) -> Column:
     The pieces between matches and the matches themselves alternate, so their
     lengths add up to the positions.
     """
-    gaps, values = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    parts = F.arrays_zip(gaps.alias("gap"), values.alias("value"))
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast(MATCHES).alias("found"))
+    parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("value"))
 
     def add(acc: Column, part: Column) -> Column:
         start = acc["at"] + F.char_length(part["gap"])
@@ -31,14 +29,17 @@ def matches(text: Column, pattern: str) -> Column:
         one = F.struct(start.alias("start"), end.alias("end"), part["value"].alias("value"))
         return F.when(part["value"].isNull(), acc).otherwise(F.struct(end.alias("at"), F.concat(acc["found"], F.array(one)).alias("found")))
 
-    def piece(acc: Column, i: Column) -> Column:
-        begin = F.struct(acc["at"].alias("at"), F.array().cast(MATCHES).alias("found"))
-        return F.aggregate(F.slice(acc["parts"], i * PIECE + 1, F.lit(PIECE)), begin, add, lambda x: F.struct(x["at"].alias("at"), acc["parts"].alias("parts"), F.concat(acc["found"], F.array(x["found"])).alias("found")))
+    def placed(parts: Column) -> Column:
+        """Of parts that are at hand, so that the text is searched once."""
 
-    many = F.struct(F.lit(0).alias("at"), parts.alias("parts"), F.array().cast(f"array<{MATCHES}>").alias("found"))
-    pieces = F.sequence(F.lit(0), F.floor(F.size(values) / PIECE).cast("int"))
-    long = F.aggregate(pieces, many, piece, lambda acc: F.flatten(acc["found"]))
-    return F.when(F.size(values) < PIECE, F.aggregate(parts, empty, add, lambda acc: acc["found"])).otherwise(long)
+        def piece(acc: Column, i: Column) -> Column:
+            begin = F.struct(acc["at"].alias("at"), F.array().cast(MATCHES).alias("found"))
+            return F.aggregate(F.slice(parts, i * PIECE + 1, F.lit(PIECE)), begin, add, lambda x: F.struct(x["at"].alias("at"), F.concat(acc["found"], F.array(x["found"])).alias("found")))
+
+        empty = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{MATCHES}>").alias("found"))
+        return F.aggregate(F.sequence(F.lit(0), F.floor(F.size(parts) / PIECE).cast("int")), empty, piece, lambda acc: F.flatten(acc["found"]))
+
+    return F.get(F.transform(F.array(parts), placed), 0)
 
 
 def none_of(kind: str) -> Column:

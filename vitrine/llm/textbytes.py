@@ -8,6 +8,8 @@ batch are hashed with a handful of array operations and no per-row Python.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +23,8 @@ SLICE_BYTES = 1 << 20
 
 if TaskContext.get() is not None:  # in a worker only: gives freed batches back at once
     pa.set_memory_pool(pa.system_memory_pool())
+    with contextlib.suppress(AttributeError, OSError):  # where the C library has it: large arrays go back when freed, too
+        ctypes.CDLL(None).mallopt(-3, 4 << 20)
 
 _powers: dict[int, np.ndarray] = {}
 
