@@ -57,9 +57,10 @@ def main() -> None:
     n_docs = docs.count()
 
     def build_text():
-        index.term_frequencies(docs).write.mode("overwrite").parquet(f"{work}/tf")  # read by each pass of the build
-        tf, book = spark.read.parquet(f"{work}/tf"), index.text_codebook(docs)
-        index.build_index(tf.join(book.select("term"), "term"), n_docs).write(f"{work}/text")
+        index.term_occurrences(docs).write.mode("overwrite").parquet(f"{work}/tf")  # read by each pass of the build
+        tf = spark.read.parquet(f"{work}/tf")
+        index.codebook_of(tf).select("term").write.mode("overwrite").parquet(f"{work}/codebook")
+        index.build_index(tf.join(spark.read.parquet(f"{work}/codebook"), "term"), n_docs).write(f"{work}/text")
 
     timed("build_text_index", build_text, warm=False)
     centres = Q.centres(spark, sf_dir, 64)
@@ -88,7 +89,7 @@ def main() -> None:
     lists = Q.centres(spark, sf_dir, Q.LISTS)
     knn.assign_lists(vectors, lists).write.partitionBy("list_id").parquet(f"{work}/ivf")
     ivf = spark.read.parquet(f"{work}/ivf")
-    timed("knn_ivf_batch", lambda: collect(knn.knn_ivf(ivf, probe, lists, K, probes=2)), n_probe)
+    timed("knn_ivf_batch", lambda: collect(knn.knn_ivf(ivf, probe, lists, K, probes=8)), n_probe)
     near = knn.knn_exact(vectors, probe, 1000).drop("rank").cache()
     timed("fused_batch", lambda: collect(ranking.top_k(ranking.fuse(index.score(text, asked), near, 60, 40, truncate=1000), K)), n_text)
     timed("precision_recall", lambda: collect(evaluate.precision_recall(knn.knn_exact(vectors, probe, K), vectors, probe.join(vectors.selectExpr("doc_id AS query_id", "label"), "query_id"), K)), n_probe)

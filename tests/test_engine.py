@@ -77,10 +77,15 @@ def test_engine(spark, products, tmp_path):
     both = engine.search(tables.query_frame(spark, ["navy shirt"]), image, weights=(10, 90)).collect()
     assert both[0].doc_id == 2 and {r.doc_id for r in both} == {1, 2} | {r.doc_id for r in both}
     assert engine.search().count() == 0 and engine.search_text("  ").count() == 0
-    with pytest.raises(ValueError, match="unknown engine"):
-        engine.search_text("x", engine="other")
-    engine.write(str(tmp_path))
-    assert [r.doc_id for r in engine.load(str(tmp_path)).search_text("navy blue shirts").collect()] == [r.doc_id for r in found]
+    assert [r.doc_id for r in engine.search_text("navy blue shirts", engine="other").collect()] == [r.doc_id for r in found]  # the inverted index
+    assert engine.search(images=image, engine="postgres", approximate=True).first().doc_id == 2
+    built = Engine.build(spark, products, vectors, np.eye(4), stop_words=("men",), path=str(tmp_path))
+    for other in (built, Engine.read(spark, str(tmp_path))):  # from the files alone
+        assert [r.doc_id for r in other.search_text("navy blue shirts").collect()] == [r.doc_id for r in found]
+        assert other.search_text("men").count() == 0 and other.search(images=image).first().doc_id == 2
+    textual = Engine.build(spark, products)
+    textual.write(str(tmp_path))
+    assert Engine.read(spark, str(tmp_path)).search_text("watch").first().doc_id == 3
     assert engine.details(3).first().attributes.product_name == "Titan Women Silver Watch" and engine.details(99).count() == 0
 
 
@@ -184,6 +189,9 @@ def test_histograms(spark):
     tf = index.codewords(index.term_frequencies(d), book)
     assert rows(index.dense(tf, 3), "doc_id", "histogram") == [(1, [2.0, 1.0, 0.0]), (2, [0.0, 1.0, 0.0])]
     assert rows(index.posting_lists(index.term_frequencies(d)).where("term = 'a'"), "postings") == [([(1, 1), (2, 1)],)]
+    assert rows(index.posting_lists(index.term_frequencies(d), span=2).where("term = 'a'"), "block", "postings") == [(0, [(1, 1)]), (1, [(2, 1)])]
+    with pytest.raises(Exception, match="outside"):
+        index.dense(tf, 1).collect()
 
 
 def test_knn_exact_takes_queries_in_blocks(spark, monkeypatch):
@@ -196,3 +204,31 @@ def test_knn_exact_takes_queries_in_blocks(spark, monkeypatch):
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     near = np.argsort(-(unit @ unit.T), axis=1)[:, :5]
     assert out == {(i, n + 1): near[i, n] for i in range(60) for n in range(5)}
+
+
+@pytest.mark.parametrize("approximate", ["ivf", "lsh"])
+def test_recall_of_approximate_search(spark, approximate):
+    """Against exact search, on the driver's vectors, every twentieth a query."""
+    found = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").selectExpr("vec_id AS doc_id", "embedding")
+    asked = found.where("doc_id % 20 = 0").selectExpr("doc_id AS query_id", "embedding AS vector")
+    if approximate == "ivf":
+        centres = np.array([r.embedding for r in found.where("doc_id < 10").orderBy("doc_id").collect()], np.float64)
+        near = knn.knn_ivf(knn.assign_lists(found, centres), asked, centres, 10, probes=8)
+    else:
+        near = knn.knn_lsh(knn.with_signatures(found), asked, 10, candidates=200)
+    exact = {(r.query_id, r.doc_id) for r in knn.knn_exact(found, asked, 10).collect()}
+    assert len({(r.query_id, r.doc_id) for r in near.collect()} & exact) >= 0.9 * len(exact)
+
+
+def test_vocabulary_over_ranges(spark):
+    docs = spark.createDataFrame([(200_000, "new old"), (None, "first"), (3, "old older"), (70_000, "older newest x")], "doc_id long, text string")
+    assert [r.term for r in sorted(index.vocabulary(docs).collect(), key=lambda r: r.word_id)] == ["first", "old", "older", "newest", "x", "new"]
+
+
+def test_many_query_weights(spark, products):
+    """Weights beyond what is sent to the scan are joined."""
+    tf = index.term_frequencies(products)
+    built = index.build_index(tf, 4)
+    asked = tf.withColumnRenamed("doc_id", "query_id")
+    few, many = ({(r.query_id, r.doc_id): round(r.score, 9) for r in index.score(built, asked, most=n).collect()} for n in (1000, 3))
+    assert few == many and len(few) > 4

@@ -6,7 +6,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from vitrine.queries import ORACLES, QUERIES
+from vitrine.source_queries import ORACLES, QUERIES
 
 DATA = "/root/testdata/sf0.001"
 TABLES = ("documents", "benchmark", "embeddings", "labels", "pages", "part")

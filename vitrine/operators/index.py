@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.stem import stem_terms
@@ -13,6 +15,12 @@ from ..functions.text import tokens, without
 from ..functions.vectors import nearest_codeword
 
 
+#: Ids of documents whose first occurrences are numbered in one task; and of a block of a posting list.
+VOCABULARY_RANGE, POSTING_RANGE = 1 << 16, 1 << 20
+#: Weights of query terms that are sent to a scan, and codewords that filter it.
+MOST_WEIGHTS, FEW_WORDS = 100_000, 200
+
+
 def token_stream(docs: DataFrame, stop_words: list[str] = []) -> DataFrame:  # noqa: B006
     """doc_id, pos and term of every token."""
     return docs.select("doc_id", F.posexplode(without(tokens(F.col("text")), stop_words)).alias("pos", "term"))
@@ -28,14 +36,35 @@ def term_frequencies(docs: DataFrame, stop_words: list[str] = [], stemmed: bool
 
 
 def vocabulary(docs: DataFrame, stop_words: list[str] = []) -> DataFrame:  # noqa: B006
-    """term and word_id, numbered from 0 by first occurrence in order of doc_id and position."""
+    """term and word_id, numbered from 0 by first occurrence in order of doc_id and position.
+
+    Terms are numbered inside ranges of doc_id, and the ranges by the terms
+    before them: a document's first occurrences are in one range, so a range
+    holds few terms and no task all of them.
+    """
     first = token_stream(docs, stop_words).groupBy("term").agg(F.min(F.struct("doc_id", "pos")).alias("first"))
-    return first.select("term", (F.row_number().over(Window.orderBy("first")) - 1).cast("long").alias("word_id"))
+    place = F.coalesce(F.floor(F.col("first.doc_id") / VOCABULARY_RANGE), F.lit(-1 << 62))  # without an id comes first
+    inside = first.withColumn("range", place)
+    ranges = inside.groupBy("range").agg(F.count("*").alias("n"))
+    total = F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = ranges.select("range", total.alias("start"))
+    rank = F.row_number().over(Window.partitionBy("range").orderBy("first")) - 1
+    return inside.withColumn("rank", rank).join(starts, "range").select("term", (F.col("start") + F.col("rank")).cast("long").alias("word_id"))
+
+
+def term_occurrences(docs: DataFrame, stop_words: list[str] = []) -> DataFrame:  # noqa: B006
+    """doc_id, term, tf and the first position of the term in the document: frequencies and codebooks both follow from it."""
+    return token_stream(docs, stop_words).groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.min("pos").alias("first"))
 
 
 def text_codebook(docs: DataFrame, k: int = 1000, stop_words: list[str] = []) -> DataFrame:  # noqa: B006
     """codeword_id, term and cf of the k most frequent terms, equals by first occurrence."""
-    seen = token_stream(docs, stop_words).groupBy("term").agg(F.count("*").alias("cf"), F.min(F.struct("doc_id", "pos")).alias("first"))
+    return codebook_of(term_occurrences(docs, stop_words), k)
+
+
+def codebook_of(occurrences: DataFrame, k: int = 1000) -> DataFrame:
+    """The same from ``term_occurrences``."""
+    seen = occurrences.groupBy("term").agg(F.sum("tf").alias("cf"), F.min(F.struct("doc_id", "first")).alias("first"))
     best = seen.orderBy(F.desc("cf"), "first").limit(k)
     number = F.row_number().over(Window.orderBy(F.desc("cf"), "first")) - 1
     return best.select(number.cast("long").alias("codeword_id"), "term", "cf")
@@ -63,8 +92,9 @@ def visual_frequencies(vectors: DataFrame, centres: np.ndarray, column: str = "e
 
 
 def dense(tf: DataFrame, size: int, key: str = "doc_id", codeword: str = "codeword_id") -> DataFrame:
-    """Histogram of ``size`` places by key."""
-    found = tf.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct(F.col(codeword).cast("int"), F.col("tf").cast("float")))).alias("m"))
+    """Histogram of ``size`` places by key; a codeword outside is an error."""
+    place = F.when(F.col(codeword).between(0, size - 1), F.col(codeword)).otherwise(F.raise_error(F.lit(f"a codeword is outside 0 to {size - 1}")).cast("long"))
+    found = tf.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct(place.cast("int").alias("place"), F.col("tf").cast("float")))).alias("m"))
     return found.select(key, F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0).cast("float"))).alias("histogram"))
 
 
@@ -83,9 +113,10 @@ class Index:
 
     def write(self, path: str) -> None:
         """Postings sorted by codeword, so a query's codewords are found by row-group statistics."""
-        self.postings.repartitionByRange(self.codeword).sortWithinPartitions(self.codeword, "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
         self.idf.write.mode("overwrite").parquet(f"{path}/idf")
         self.norms.write.mode("overwrite").parquet(f"{path}/norms")
+        parts = int(self.postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        self.postings.repartition(parts, self.codeword).sortWithinPartitions(self.codeword, "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
 
     @staticmethod
     def read(spark: SparkSession, path: str) -> Index:
@@ -108,9 +139,14 @@ def build_index(tf: DataFrame, n_docs: int, codeword: str = "term") -> Index:
     return Index(postings, idf, norms, codeword)
 
 
-def posting_lists(tf: DataFrame, codeword: str = "term") -> DataFrame:
-    """codeword and its postings (doc_id, tf) in order of doc_id."""
-    return tf.groupBy(codeword).agg(F.sort_array(F.collect_list(F.struct("doc_id", "tf"))).alias("postings"))
+def posting_lists(tf: DataFrame, codeword: str = "term", span: int = POSTING_RANGE) -> DataFrame:
+    """codeword, block and postings (doc_id, tf) in order of doc_id.
+
+    A block holds the postings of ``span`` ids, so a list of any length is
+    blocks of bounded length that follow one another.
+    """
+    block = F.floor(F.col("doc_id") / span).alias("block")
+    return tf.groupBy(codeword, block).agg(F.sort_array(F.collect_list(F.struct("doc_id", "tf"))).alias("postings"))
 
 
 def add_postings(old: DataFrame, new: DataFrame, codeword: str = "term") -> DataFrame:
@@ -118,35 +154,51 @@ def add_postings(old: DataFrame, new: DataFrame, codeword: str = "term") -> Data
     return old.unionByName(new).groupBy(codeword, "doc_id").agg(F.sum("tf").alias("tf"))
 
 
+def _raw_weights(query_tf: DataFrame, idf: DataFrame, codeword: str) -> DataFrame:
+    return query_tf.where("tf > 0").join(idf.where("idf != 0").select(codeword, "idf"), codeword).select("query_id", codeword, (F.col("tf") * F.col("idf")).alias("raw"))
+
+
 def query_weights(query_tf: DataFrame, idf: DataFrame, codeword: str) -> DataFrame:
     """query_id, codeword and the query's normalised weight; codewords that are unknown or everywhere go."""
-    raw = query_tf.where("tf > 0").join(idf.where("idf != 0").select(codeword, "idf"), codeword).withColumn("raw", F.col("tf") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("query_id")))
-    return raw.select("query_id", codeword, (F.col("raw") / norm).alias("query_weight"))
+    return _raw_weights(query_tf, idf, codeword).select("query_id", codeword, (F.col("raw") / norm).alias("query_weight"))
+
 
+def score(index: Index, query_tf: DataFrame, most: int = MOST_WEIGHTS) -> DataFrame:
+    """Cosine of every document that shares a codeword with a query: one join and one sum.
 
-def score(index: Index, query_tf: DataFrame) -> DataFrame:
-    """Cosine of every document that shares a codeword with a query: one join and one sum."""
-    asked = query_weights(query_tf, index.idf, index.codeword)
-    hits = index.postings.join(asked, index.codeword)
+    The weights of up to ``most`` query terms are looked up first and go to the
+    scan of the postings, their codewords as its filter where they are few; more are joined.
+    """
+    rows = _raw_weights(query_tf, index.idf, index.codeword).limit(most + 1).collect()
+    if len(rows) > most:
+        hits = index.postings.join(query_weights(query_tf, index.idf, index.codeword), index.codeword)
+    else:
+        size: dict = {}
+        for r in rows:
+            size[r.query_id] = size.get(r.query_id, 0.0) + r.raw * r.raw
+        schema = query_tf.select("query_id").schema.add(index.postings.schema[index.codeword]).add("query_weight", "double")
+        asked = query_tf.sparkSession.createDataFrame([(r.query_id, r[1], r.raw / math.sqrt(size[r.query_id])) for r in rows], schema)
+        words = {r[1] for r in rows}
+        postings = index.postings.where(F.col(index.codeword).isin(sorted(words))) if len(words) <= FEW_WORDS else index.postings
+        hits = postings.join(F.broadcast(asked), index.codeword)
     return hits.groupBy("query_id", "doc_id").agg(F.sum(F.col("weight") * F.col("query_weight")).alias("score"))
 
 
-def score_linear(tf: DataFrame, query_tf: DataFrame, n_docs: int, codeword: str = "term") -> DataFrame:
+def score_linear(tf: DataFrame, query_tf: DataFrame, n_docs: int, codeword: str = "term", block: int = 100_000) -> DataFrame:
     """The same cosine by a scan of all document vectors, without an index; documents of score 0 go.
 
-    Each document's sparse vector is a map; each query's too, and their number is small.
+    Documents are weighted and measured as they pass. The queries, by weight of
+    terms known to the corpus, are sent to the scan in blocks of about ``block`` terms.
     """
     idf = document_frequency(tf, n_docs, codeword)
-
-    def vectors(counts: DataFrame, key: str) -> DataFrame:
-        raw = counts.join(idf.where("idf != 0"), codeword).withColumn("raw", F.col("tf") * F.col("idf"))
-        return raw.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct(codeword, "raw"))).alias(f"{key}_v"), F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias(f"{key}_n"))
-
-    def products(m: Column, q: Column) -> Column:
-        return F.aggregate(F.map_entries(q), F.lit(0.0), lambda s, e: s + e["value"] * F.coalesce(F.try_element_at(m, e["key"]), F.lit(0.0)))
-
-    docs, queries = vectors(tf, "doc_id"), vectors(query_tf, "query_id")
-    pairs = docs.crossJoin(queries)
-    value = products(F.col("doc_id_v"), F.col("query_id_v")) / (F.col("doc_id_n") * F.col("query_id_n"))
-    return pairs.select("query_id", "doc_id", value.alias("score")).where("score > 0")
+    weighted = tf.join(idf.where("idf != 0").select(codeword, "idf"), codeword).withColumn("raw", F.col("tf") * F.col("idf"))
+    sizes = weighted.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
+    asked = query_weights(query_tf, idf, codeword)
+    blocks = max(1, -(-query_tf.count() // block))
+    sums = []
+    for i in range(blocks):
+        part = F.broadcast(asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i))
+        sums.append(weighted.join(part, codeword).groupBy("query_id", "doc_id").agg(F.sum(F.col("raw") * F.col("query_weight")).alias("dot")))
+    found = reduce(DataFrame.union, sums).join(sizes, "doc_id")
+    return found.select("query_id", "doc_id", (F.col("dot") / F.col("norm")).alias("score")).where("score > 0")

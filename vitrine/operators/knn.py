@@ -9,8 +9,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
-from ..functions.vectors import cosine, matrix, nearest_codeword, norm
+from ..functions.vectors import matrix, nearest_codeword, norm
 from .ranking import top_k
 
 #: Queries that meet the vectors at once; more are asked in blocks of about as many.
@@ -22,8 +23,8 @@ def usable(vectors: DataFrame, column: str) -> DataFrame:
     return vectors.where(F.col(column).isNotNull()).where(norm(F.col(column)) > 0)
 
 
-def _queries(queries: DataFrame) -> Iterator[tuple[list, np.ndarray]]:
-    """Ids and unit vectors of the queries, a block at a time."""
+def _queries(queries: DataFrame) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+    """Ids, vectors and unit vectors of the queries, a block at a time."""
     asked = usable(queries, "vector").select("query_id", "vector")
     rows = asked.limit(MOST_QUERIES + 1).collect()
     blocks = -(-asked.count() // MOST_QUERIES) if len(rows) > MOST_QUERIES else 1
@@ -31,35 +32,37 @@ def _queries(queries: DataFrame) -> Iterator[tuple[list, np.ndarray]]:
     for i in range(blocks):
         part = rows if blocks == 1 else asked.where(own == i).collect()
         x = matrix([r.vector for r in part])
-        yield [r.query_id for r in part], x / np.linalg.norm(x, axis=1, keepdims=True) if len(part) else x
+        yield [r.query_id for r in part], x, x / np.linalg.norm(x, axis=1, keepdims=True) if len(part) else x
 
 
-def knn_exact(vectors: DataFrame, queries: DataFrame, k: int, key: str = "doc_id", column: str = "embedding", digits: int = 6) -> DataFrame:
-    """query_id, key, score and rank of the k nearest of all vectors.
+def knn_exact(vectors: DataFrame, queries: DataFrame, k: int | None, key: str = "doc_id", column: str = "embedding", digits: int = 6) -> DataFrame:
+    """query_id, key, score and rank of the k nearest of all vectors, or of all of them without a k.
 
     Each task multiplies its vectors by the matrix of queries, a block of them at
     a time, and passes on its k best for each query.
     """
     known = vectors.where(F.col(column).isNotNull()).select(F.col(key).cast("long").alias(key), F.col(column).alias("vector"))
-    hits = [_nearest(known, ids, q, k, key, digits) for ids, q in _queries(queries)]
-    return top_k(reduce(DataFrame.union, hits), k, key=key)
+    hits = [_nearest(known, ids, q, k, key, digits) for ids, _, q in _queries(queries)]
+    return top_k(reduce(DataFrame.union, hits), k if k is not None else 1 << 30, key=key)
 
 
-def _nearest(known: DataFrame, ids: list, q: np.ndarray, k: int, key: str, digits: int) -> DataFrame:
-    schema = f"query_id long, {key} long, score double"
+def _best(ids: np.ndarray, unit: np.ndarray, frame: pd.DataFrame, k: int | None, key: str, digits: int) -> pd.DataFrame:
+    """The k rows of the frame nearest to each unit vector."""
+    x = np.stack(frame.vector.to_numpy()).astype(np.float64)
+    size = np.linalg.norm(x, axis=1)
+    x, own = x[size > 0] / size[size > 0, None], frame[key].to_numpy()[size > 0]
+    near = np.round(unit @ x.T, digits)
+    order = np.lexsort((np.broadcast_to(own, near.shape), -near), axis=1)[:, :k]
+    return pd.DataFrame({"query_id": np.repeat(ids, order.shape[1]), key: own[order].ravel(), "score": np.take_along_axis(near, order, 1).ravel()})
 
+
+def _nearest(known: DataFrame, ids: list, q: np.ndarray, k: int | None, key: str, digits: int) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            if not len(frame) or not len(ids):
-                continue
-            x = np.stack(frame.vector.to_numpy()).astype(np.float64)
-            size = np.linalg.norm(x, axis=1)
-            x, own = x[size > 0] / size[size > 0, None], frame[key].to_numpy()[size > 0]
-            near = np.round(q @ x.T, digits)
-            order = np.lexsort((np.broadcast_to(own, near.shape), -near), axis=1)[:, :k]
-            yield pd.DataFrame({"query_id": np.repeat(ids, order.shape[1]), key: own[order].ravel(), "score": np.take_along_axis(near, order, 1).ravel()})
+            if len(frame) and len(ids):
+                yield _best(ids, q, frame, k, key, digits)
 
-    return known.mapInPandas(run, schema)
+    return known.mapInPandas(run, f"query_id long, {key} long, score double")
 
 
 def assign_lists(vectors: DataFrame, centres: np.ndarray, column: str = "embedding") -> DataFrame:
@@ -67,31 +70,67 @@ def assign_lists(vectors: DataFrame, centres: np.ndarray, column: str = "embeddi
     return vectors.withColumn("list_id", nearest_codeword(F.col(column), centres))
 
 
-def knn_ivf(lists: DataFrame, queries: DataFrame, centres: np.ndarray, k: int, probes: int = 1, key: str = "doc_id", column: str = "embedding") -> DataFrame:
+def knn_ivf(lists: DataFrame, queries: DataFrame, centres: np.ndarray, k: int, probes: int = 1, key: str = "doc_id", column: str = "embedding", digits: int = 6) -> DataFrame:
     """The k nearest among the ``probes`` lists nearest to each query. ``lists`` comes from ``assign_lists``,
-    best written partitioned by list_id, so that lists not probed are not read."""
-    rows = usable(queries, "vector").select("query_id", "vector").collect()
-    spark = lists.sparkSession
-    asked = []
-    for r in rows:
-        far = np.round(((centres - np.array(r.vector, np.float64)) ** 2).sum(axis=1), 9)
-        asked += [(r.query_id, [float(v) for v in r.vector], int(i)) for i in np.argsort(far, kind="stable")[:probes]]
-    probe = spark.createDataFrame(asked, "query_id long, vector array<double>, list_id int")
-    hits = usable(lists, column).join(F.broadcast(probe), "list_id") if len(asked) <= MOST_QUERIES else usable(lists, column).join(probe, "list_id")
-    scored = hits.select("query_id", F.col(key).cast("long").alias(key), cosine(F.col(column), F.col("vector")).alias("score"))
-    return top_k(scored, k, key=key, digits=6)
-
-
-def knn_lsh(vectors: DataFrame, query: list[float], k: int, tables: int = 8, width: float = 1.0, key: str = "doc_id", column: str = "embedding") -> DataFrame:
-    """About the k nearest to one query by random-projection hashing of unit vectors."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-    from pyspark.ml.linalg import Vectors
-
-    unit = usable(vectors, column)
-    size = norm(F.col(column))
-    unit = unit.select(F.col(key).cast("long").alias(key), array_to_vector(F.transform(F.col(column), lambda x: x.cast("double") / size)).alias("features"))
-    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=width, numHashTables=tables, seed=42).fit(unit)
-    q = np.array(query, np.float64)
-    found = model.approxNearestNeighbors(unit, Vectors.dense(q / np.linalg.norm(q)), k)
-    return found.select(key, F.round(1 - F.col("distCol") ** 2 / 2, 6).alias("score"))
+    best written partitioned by list_id, so that lists not probed are not read. Each task multiplies the
+    vectors of a list by the queries that probe it, a block of queries at a time."""
+    known = usable(lists, column).select(F.col(key).cast("long").alias(key), F.col(column).alias("vector"), "list_id")
+    hits = []
+    for ids, raw, unit in _queries(queries):
+        far = np.round((centres**2).sum(axis=1) - 2 * raw @ centres.T, 9) if len(ids) else np.empty((0, len(centres)))
+        probed = np.argsort(far, axis=1, kind="stable")[:, :probes]
+        of_list = {int(n): np.flatnonzero((probed == n).any(axis=1)) for n in np.unique(probed)}
+
+        def run(frames: Iterator[pd.DataFrame], ids=np.array(ids, np.int64), unit=unit, of_list=of_list) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                for number, rows in frame.groupby("list_id"):
+                    asked = of_list.get(int(number))
+                    if asked is not None:
+                        yield _best(ids[asked], unit[asked], rows, k, key, digits)
+
+        hits.append(known.where(F.col("list_id").isin(sorted(of_list))).mapInPandas(run, f"query_id long, {key} long, score double"))
+    return top_k(reduce(DataFrame.union, hits), k, key=key)
+
+
+def with_signatures(vectors: DataFrame, bits: int = 512, seed: int = 42, column: str = "embedding") -> DataFrame:
+    """Adds ``signature``: on which side of ``bits`` random planes a vector is. Rows without a usable vector go."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            if len(frame):
+                sides = np.packbits(np.stack(frame[column].to_numpy()).astype(np.float64) @ _planes(len(frame[column].iloc[0]), bits, seed) > 0, axis=1)
+                yield frame.assign(signature=[r.tobytes() for r in sides])
+
+    rows = usable(vectors, column)
+    return rows.mapInPandas(run, StructType([*rows.schema.fields, StructField("signature", BinaryType())]))
+
+
+def _planes(size: int, bits: int, seed: int) -> np.ndarray:
+    return np.random.default_rng(seed).normal(size=(size, bits))
+
+
+def knn_lsh(signed: DataFrame, queries: DataFrame, k: int, candidates: int = 400, seed: int = 42, key: str = "doc_id", column: str = "embedding", digits: int = 6) -> DataFrame:
+    """About the k nearest, by random-plane hashing: of each part of the rows of ``with_signatures``, the
+    ``candidates`` of nearest signatures are compared in full. Recall falls with rows per part over candidates."""
+    known = signed.select(F.col(key).cast("long").alias(key), F.col(column).alias("vector"), "signature")
+    schema = f"query_id long, {key} long, score double"
+    hits = []
+    for ids, _, q in _queries(queries):
+
+        def run(frames: Iterator[pd.DataFrame], ids=ids, q=q) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                if not len(frame) or not len(ids):
+                    continue
+                rows = np.frombuffer(b"".join(frame.signature), np.uint64).reshape(len(frame), -1)
+                asked = np.packbits(q @ _planes(q.shape[1], rows.shape[1] * 64, seed) > 0, axis=1).view(np.uint64)
+                x, own = np.stack(frame.vector.to_numpy()).astype(np.float64), frame[key].to_numpy()
+                x /= np.linalg.norm(x, axis=1, keepdims=True)
+                for i, query_id in enumerate(ids):
+                    far = np.bitwise_count(rows ^ asked[i]).sum(axis=1, dtype=np.int64)
+                    some = np.argpartition(far, candidates)[:candidates] if len(far) > candidates else np.arange(len(far))
+                    near = np.round(x[some] @ q[i], digits)
+                    best = some[np.lexsort((own[some], -near))[:k]]
+                    yield pd.DataFrame({"query_id": query_id, key: own[best], "score": np.round(x[best] @ q[i], digits)})
+
+        hits.append(known.mapInPandas(run, schema))
+    return top_k(reduce(DataFrame.union, hits), k, key=key)

@@ -12,12 +12,12 @@ from ..functions.chunk import chunk_rows
 from ..functions.text import FIELDS, unpack_record
 from ..operators.fulltext import search_all
 from ..operators.index import Index, build_index, score, term_frequencies, visual_frequencies
-from ..operators.knn import knn_exact
+from ..functions.vectors import matrix
+from ..operators.knn import knn_exact, knn_lsh, with_signatures
 from ..operators.ranking import fuse, percentage, top_k
 from ..sources.sinks import write_table
 from ..sources.tables import query_frame
 
-ENGINES = ("spimi", "postgres")
 DATABASE_CUT = 1000
 
 
@@ -46,28 +46,51 @@ class Engine:
         stemmed: bool = True,
         chunked: bool = True,
         n_docs: int | None = None,
+        path: str | None = None,
     ) -> Engine:
-        """Chunks, tokens, codebook and index of the texts, and visual words and index of the vectors."""
+        """Chunks, tokens, codebook and index of the texts, and visual words and index of the vectors.
+
+        With a ``path`` each step is written there once and read by the next, and the engine is that of the files.
+        """
         tf = _frequencies(descriptors.select("doc_id", "text"), stop_words, stemmed, chunked, "doc_id")
+        if path is not None:  # frequencies are counted once and read by each step after
+            write_table(tf, f"{path}/frequencies")
+            tf = spark.read.parquet(f"{path}/frequencies")
         seen = tf.groupBy("term").agg(F.sum("tf").alias("cf"), F.min("doc_id").alias("first"))
         best = seen.orderBy(F.desc("cf"), "first", "term").limit(terms).select("term")
         n = n_docs or descriptors.count()
-        text = build_index(tf.join(best, "term"), n)
+        text = build_index(tf.join(F.broadcast(best), "term"), n)
         image = None
         if vectors is not None and centres is not None:
             image = build_index(visual_frequencies(vectors.where("embedding is not null"), centres), n, "codeword_id")
-        return Engine(spark, descriptors, text, image, vectors, centres, tuple(stop_words), stemmed, chunked)
+        built = Engine(spark, descriptors, text, image, vectors, centres, tuple(stop_words), stemmed, chunked)
+        if path is None:
+            return built
+        built.write(path)
+        return Engine.read(spark, path)
 
     def write(self, path: str) -> None:
+        """All that ``read`` needs: records, indexes with their codebook, vectors, centres and options."""
         write_table(self.descriptors, f"{path}/descriptors")
         self.text.write(f"{path}/text")
         if self.image is not None:
             self.image.write(f"{path}/image")
+        if self.vectors is not None:
+            write_table(self.vectors, f"{path}/vectors")
+        places = [] if self.centres is None else [(i, [float(x) for x in c]) for i, c in enumerate(self.centres)]
+        write_table(self.spark.createDataFrame(places, "codeword_id long, centre array<double>"), f"{path}/centres")
+        options = [(list(self.stop_words), self.stemmed, self.chunked, self.image is not None, self.vectors is not None)]
+        write_table(self.spark.createDataFrame(options, "stop_words array<string>, stemmed boolean, chunked boolean, image boolean, vectors boolean"), f"{path}/options")
 
-    def load(self, path: str) -> Engine:
-        """This engine over written tables."""
-        image = Index.read(self.spark, f"{path}/image") if self.image is not None else None
-        return Engine(self.spark, self.spark.read.parquet(f"{path}/descriptors"), Index.read(self.spark, f"{path}/text"), image, self.vectors, self.centres, self.stop_words, self.stemmed, self.chunked)
+    @staticmethod
+    def read(spark: SparkSession, path: str) -> Engine:
+        """The engine that was written at ``path``, from its files alone."""
+        has = spark.read.parquet(f"{path}/options").first()
+        places = spark.read.parquet(f"{path}/centres").orderBy("codeword_id").collect()
+        image = Index.read(spark, f"{path}/image") if has.image else None
+        vectors = spark.read.parquet(f"{path}/vectors") if has.vectors else None
+        centres = matrix([r.centre for r in places]) if places else None
+        return Engine(spark, spark.read.parquet(f"{path}/descriptors"), Index.read(spark, f"{path}/text"), image, vectors, centres, tuple(has.stop_words), has.stemmed, has.chunked)
 
     # scores
 
@@ -76,33 +99,33 @@ class Engine:
 
     def text_scores(self, queries: DataFrame, engine: str = "spimi") -> DataFrame:
         tf = self._query_tf(queries)
-        return score(self.text, tf) if engine == "spimi" else search_all(self.text, tf)
+        return search_all(self.text, tf) if engine == "postgres" else score(self.text, tf)
 
-    def image_scores(self, queries: DataFrame, engine: str = "spimi") -> DataFrame:
+    def image_scores(self, queries: DataFrame, engine: str = "spimi", approximate: bool = False) -> DataFrame:
         """``queries``: query_id and vector, several rows for the descriptors of one image."""
         if engine == "postgres":
-            return knn_exact(self.vectors, queries, DATABASE_CUT).drop("rank")
+            found = knn_lsh(with_signatures(self.vectors), queries, DATABASE_CUT, 4 * DATABASE_CUT) if approximate else knn_exact(self.vectors, queries, DATABASE_CUT)
+            return found.drop("rank")
         tf = visual_frequencies(queries, self.centres, "vector", "query_id")
         return score(self.image, tf)
 
     # searches
 
-    def search(self, texts: DataFrame | None = None, images: DataFrame | None = None, k: int = 10, weights: tuple[float, float] = (60, 40), engine: str = "spimi") -> DataFrame:
+    def search(self, texts: DataFrame | None = None, images: DataFrame | None = None, k: int = 10, weights: tuple[float, float] = (60, 40), engine: str = "spimi", approximate: bool = False) -> DataFrame:
         """The k best products of each query by what is given, with their record; nothing given, nothing found.
 
-        ``postgres`` matches all terms, compares vectors exactly, and cuts each
-        side at its 1000 best before fusion.
+        ``postgres`` matches all terms, compares vectors, exactly unless
+        ``approximate``, and cuts each side at its 1000 best before fusion. Any
+        other engine is ``spimi``, the inverted indexes.
         """
-        if engine not in ENGINES:
-            raise ValueError(f"unknown engine {engine!r}: one of {', '.join(ENGINES)}")
         if texts is not None:
             texts = texts.withColumn("text", F.trim("text")).where("text != ''")
         if texts is not None and images is not None:
-            scored = fuse(self.text_scores(texts, engine), self.image_scores(images, engine), *weights, truncate=DATABASE_CUT if engine == "postgres" else None)
+            scored = fuse(self.text_scores(texts, engine), self.image_scores(images, engine, approximate), *weights, truncate=DATABASE_CUT if engine == "postgres" else None)
         elif texts is not None:
             scored = self.text_scores(texts, engine)
         elif images is not None:
-            scored = self.image_scores(images, engine)
+            scored = self.image_scores(images, engine, approximate)
         else:
             return self.spark.createDataFrame([], f"query_id long, rank long, doc_id long, score double, url string, {', '.join(f'{f} string' for f in FIELDS)}")
         return enriched(top_k(scored, k), self.descriptors)

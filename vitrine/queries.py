@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .functions import text as T
 from .functions.chunk import chunk_rows
 from .functions.stem import stem_terms
-from .functions.vectors import cosine, matrix, nearest_codeword
+from .functions.vectors import matrix, nearest_codeword
 from .operators import evaluate, fulltext, index, knn, ranking
 from .plans import engine
 from .sources import sinks, tables
@@ -171,19 +171,19 @@ def text_histogram(spark, sf_dir):
 
 @query(
     f"""WITH {TF}, {SQL_CODEBOOK}, h AS (SELECT doc_id, map(list(codeword_id), list(tf)) AS m FROM tf JOIN c USING (term) GROUP BY doc_id)
-SELECT doc_id, array_to_string(list_transform(range(64), lambda i: coalesce(m[i], 0)), ',') AS histogram FROM h"""
+SELECT doc_id, array_to_string(list_transform(range(1000), lambda i: coalesce(m[i], 0)), ',') AS histogram FROM h"""
 )
 def text_histogram_dense(spark, sf_dir):
     d = docs(spark, sf_dir)
     tf = index.codewords(index.term_frequencies(d), index.text_codebook(d))
-    found = index.dense(tf, 64)
+    found = index.dense(tf, 1000)
     return found.select("doc_id", F.array_join(F.transform("histogram", lambda x: x.cast("long").cast("string")), ",").alias("histogram"))
 
 
-@query(f"WITH {TF} SELECT term, string_agg(doc_id || ':' || tf, ',' ORDER BY doc_id) AS postings FROM tf GROUP BY term")
+@query(f"WITH {TF} SELECT term, (doc_id // {index.POSTING_RANGE})::BIGINT AS block, string_agg(doc_id || ':' || tf, ',' ORDER BY doc_id) AS postings FROM tf GROUP BY ALL")
 def posting_lists(spark, sf_dir):
     lists = index.posting_lists(index.term_frequencies(docs(spark, sf_dir)))
-    return lists.select("term", F.array_join(F.transform("postings", lambda p: F.concat_ws(":", p["doc_id"].cast("string"), p["tf"].cast("string"))), ",").alias("postings"))
+    return lists.select("term", "block", F.array_join(F.transform("postings", lambda p: F.concat_ws(":", p["doc_id"].cast("string"), p["tf"].cast("string"))), ",").alias("postings"))
 
 
 @query(f"WITH {TF} SELECT term, doc_id, (CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END * tf)::BIGINT AS tf FROM tf")
@@ -206,10 +206,10 @@ def tfidf_topk_batch(spark, sf_dir):
     return ranking.top_k(index.score(text_index(spark, sf_dir), query_tf(benchmark(spark, sf_dir))), 50, digits=6)
 
 
-@query(sql_scores("SELECT item_id AS query_id, text FROM benchmark WHERE item_id < 5") + sql_top("s", 50))
+@query(sql_scores("SELECT item_id AS query_id, text FROM benchmark") + sql_top("s", 50))
 def tfidf_linear(spark, sf_dir):
     d = docs(spark, sf_dir)
-    return ranking.top_k(index.score_linear(index.term_frequencies(d), query_tf(benchmark(spark, sf_dir, "item_id < 5")), d.count()), 50, digits=6)
+    return ranking.top_k(index.score_linear(index.term_frequencies(d), query_tf(benchmark(spark, sf_dir)), d.count()), 50, digits=6)
 
 
 @query(
@@ -253,19 +253,19 @@ def tsvector(spark, sf_dir):
     return fulltext.lexemes(index.term_frequencies(docs(spark, sf_dir))).select("doc_id", F.array_join("lexemes", " ").alias("lexemes"))
 
 
-@query(sql_scores("SELECT item_id AS query_id, text FROM benchmark WHERE item_id < 10") + f", r AS ({sql_top('s', 100)}) SELECT query_id, doc_id, score, rank FROM r WHERE rank > 20 AND rank <= 30")
+@query(sql_scores("SELECT item_id AS query_id, text FROM benchmark") + f", r AS ({sql_top('s', 100)}) SELECT query_id, doc_id, score, rank FROM r WHERE rank > 20 AND rank <= 30")
 def paginate(spark, sf_dir):
-    ranked = ranking.top_k(index.score(text_index(spark, sf_dir), query_tf(benchmark(spark, sf_dir, "item_id < 10"))), 100, digits=6)
+    ranked = ranking.top_k(index.score(text_index(spark, sf_dir), query_tf(benchmark(spark, sf_dir))), 100, digits=6)
     return ranking.page(ranked, 2, 10)
 
 
 @query(
-    sql_scores("SELECT item_id AS query_id, text FROM benchmark WHERE item_id < 5")
+    sql_scores("SELECT item_id AS query_id, text FROM benchmark")
     + """ SELECT query_id, doc_id, round(CASE WHEN max(score) OVER w = min(score) OVER w THEN 1.0 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END, 6) AS score
 FROM s WINDOW w AS (PARTITION BY query_id)"""
 )
 def minmax_normalise(spark, sf_dir):
-    scored = index.score(text_index(spark, sf_dir), query_tf(benchmark(spark, sf_dir, "item_id < 5")))
+    scored = index.score(text_index(spark, sf_dir), query_tf(benchmark(spark, sf_dir)))
     return ranking.min_max(scored).withColumn("score", F.round("score", 6))
 
 
@@ -293,7 +293,7 @@ VISUAL = f"""WITH {SQL_VQ}, tf AS (SELECT (doc_id // 5) AS doc_id, codeword_id A
 n AS (SELECT count(DISTINCT vec_id // 5) AS n FROM embeddings),
 idf AS (SELECT term, ln((SELECT n FROM n)::DOUBLE / count(*)) AS idf FROM tf GROUP BY term),
 norms AS (SELECT doc_id, sqrt(sum((tf * idf) * (tf * idf))) AS norm FROM tf JOIN idf USING (term) GROUP BY doc_id),
-qw AS (SELECT doc_id AS query_id, term, tf * idf AS w FROM tf JOIN idf USING (term) WHERE idf <> 0 AND doc_id < 5),
+qw AS (SELECT doc_id AS query_id, term, tf * idf AS w FROM tf JOIN idf USING (term) WHERE idf <> 0 AND doc_id % 20 = 0),
 qn AS (SELECT query_id, sqrt(sum(w * w)) AS qnorm FROM qw GROUP BY query_id),
 s AS (SELECT query_id, doc_id, sum(w * tf.tf * idf.idf) / (any_value(norm) * any_value(qnorm)) AS score
       FROM qw JOIN tf USING (term) JOIN idf USING (term) JOIN norms USING (doc_id) JOIN qn USING (query_id) GROUP BY query_id, doc_id)"""
@@ -306,18 +306,16 @@ def visual_tfidf_topk(spark, sf_dir):
     images = vectors(spark, sf_dir).selectExpr("doc_id div 5 AS doc_id", "embedding")
     tf = index.visual_frequencies(images, c)
     built = index.build_index(tf, images.select("doc_id").distinct().count(), "codeword_id")
-    asked = tf.where("doc_id < 5").withColumnRenamed("doc_id", "query_id")
+    asked = tf.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id")
     return ranking.top_k(index.score(built, asked), 10, digits=6)
 
 
 SQL_KNN = f"SELECT q.vec_id AS query_id, v.vec_id AS doc_id, {COS.format(a='q.embedding', b='v.embedding')} AS score FROM embeddings v, embeddings q WHERE "
 
 
-@query(f"WITH s AS ({SQL_KNN} q.vec_id = 0)" + sql_top("s", 10))
+@query(f"WITH s AS ({SQL_KNN} q.vec_id % 20 = 0)" + sql_top("s", 10))
 def knn_cosine_exact(spark, sf_dir):
-    q = vectors(spark, sf_dir).where("doc_id = 0").selectExpr("doc_id AS query_id", "embedding AS vector")
-    scored = knn.usable(vectors(spark, sf_dir), "embedding").join(F.broadcast(q)).select("query_id", "doc_id", cosine(F.col("embedding"), F.col("vector")).alias("score"))
-    return ranking.top_k(scored, 10, digits=6)
+    return knn.knn_exact(vectors(spark, sf_dir), vector_queries(spark, sf_dir, "doc_id % 20 = 0"), 10)
 
 
 @query(f"WITH s AS ({SQL_KNN} q.vec_id % 20 = 0)" + sql_top("s", 50))
@@ -328,7 +326,7 @@ def knn_cosine_batch(spark, sf_dir):
 SQL_LISTS = f"""cb AS (SELECT vec_id AS c, embedding AS e FROM embeddings WHERE vec_id < {LISTS}),
 d AS (SELECT v.vec_id, c, round(list_sum(list_transform(range(1, len(e) + 1), lambda i: e[i]::DOUBLE * e[i]::DOUBLE - 2 * e[i]::DOUBLE * v.embedding[i]::DOUBLE)), 9) AS dist FROM embeddings v, cb),
 home AS (SELECT vec_id, arg_min(c, struct_pack(d := dist, c := c)) AS list_id FROM d GROUP BY vec_id),
-probe AS (SELECT vec_id AS query_id, c AS list_id FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY dist, c) AS r FROM d WHERE vec_id % 20 = 0) WHERE r <= 2),
+probe AS (SELECT vec_id AS query_id, c AS list_id FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY dist, c) AS r FROM d WHERE vec_id % 20 = 0) WHERE r <= 8),
 s AS (SELECT query_id, v.vec_id AS doc_id, {COS.format(a='q.embedding', b='v.embedding')} AS score
       FROM probe JOIN home USING (list_id) JOIN embeddings v ON v.vec_id = home.vec_id JOIN embeddings q ON q.vec_id = query_id)"""
 
@@ -336,13 +334,13 @@ s AS (SELECT query_id, v.vec_id AS doc_id, {COS.format(a='q.embedding', b='v.emb
 @query(f"WITH {SQL_LISTS}" + sql_top("s", 10))
 def ivf_knn(spark, sf_dir):
     c = centres(spark, sf_dir, LISTS)
-    return knn.knn_ivf(knn.assign_lists(vectors(spark, sf_dir), c), vector_queries(spark, sf_dir, "doc_id % 20 = 0"), c, 10, probes=2)
+    return knn.knn_ivf(knn.assign_lists(vectors(spark, sf_dir), c), vector_queries(spark, sf_dir, "doc_id % 20 = 0"), c, 10, probes=8)
 
 
 @query()
 def lsh_knn(spark, sf_dir):
-    q = vectors(spark, sf_dir).where("doc_id = 0").first().embedding
-    return knn.knn_lsh(vectors(spark, sf_dir), list(q), 10)
+    signed = knn.with_signatures(vectors(spark, sf_dir))
+    return knn.knn_lsh(signed, vector_queries(spark, sf_dir, "doc_id % 20 = 0"), 10)
 
 
 @query()
@@ -353,13 +351,15 @@ def kmeans_codebook(spark, sf_dir):
 
 # fusion: the label of a vector query is its item's number in both lists
 
-FUSED = sql_scores("SELECT item_id AS query_id, text FROM benchmark WHERE item_id < 5") + f", v AS ({SQL_KNN} q.vec_id < 5)"
+FUSED = sql_scores("SELECT item_id AS query_id, text FROM benchmark") + f", v AS ({SQL_KNN} q.vec_id IN (SELECT item_id FROM benchmark))"
 
 
 def _sides(spark, sf_dir):
-    scored = index.score(text_index(spark, sf_dir), query_tf(benchmark(spark, sf_dir, "item_id < 5"))).withColumn("score", F.round("score", 6))
-    q = vector_queries(spark, sf_dir, "doc_id < 5")
-    near = vectors(spark, sf_dir).join(F.broadcast(q)).select("query_id", "doc_id", F.round(cosine(F.col("embedding"), F.col("vector")), 6).alias("score"))
+    """Scores of every benchmark text, and of the vector of its number, against all documents and vectors."""
+    asked = benchmark(spark, sf_dir)
+    scored = index.score(text_index(spark, sf_dir), query_tf(asked)).withColumn("score", F.round("score", 6))
+    q = vector_queries(spark, sf_dir, "true").join(asked.select("query_id"), "query_id", "left_semi")
+    near = knn.knn_exact(vectors(spark, sf_dir), q, None).select("query_id", "doc_id", "score")
     return scored, near
 
 
@@ -374,14 +374,14 @@ def fuse_full(spark, sf_dir):
 
 @query(
     FUSED
-    + """, s2 AS (SELECT query_id, doc_id, round(score, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) <= 50),
-v2 AS (SELECT query_id, doc_id, round(score, 6) AS score FROM v QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) <= 50),
+    + """, s2 AS (SELECT query_id, doc_id, round(score, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) <= 1000),
+v2 AS (SELECT query_id, doc_id, round(score, 6) AS score FROM v QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) <= 1000),
 f AS (SELECT query_id, doc_id, sum(score) AS score FROM (SELECT query_id, doc_id, 0.6 * score AS score FROM s2 UNION ALL SELECT query_id, doc_id, 0.4 * score FROM v2) GROUP BY ALL)"""
     + sql_top("f", 20)
 )
 def fuse_truncated(spark, sf_dir):
-    """Each side cut before fusion, at 50 here so that the cut shows on small tables."""
-    return ranking.top_k(ranking.fuse(*_sides(spark, sf_dir), 60, 40, truncate=50), 20, digits=6)
+    """Each side cut at its 1000 best before fusion."""
+    return ranking.top_k(ranking.fuse(*_sides(spark, sf_dir), 60, 40, truncate=1000), 20, digits=6)
 
 
 # records, cleaning, updates
@@ -453,7 +453,7 @@ def upsert_merge(spark, sf_dir):
     return sinks.upsert(old, new)
 
 
-@query("SELECT p_size::BIGINT AS doc_id, arg_max(p_brand, p_partkey) FILTER (WHERE p_partkey % 2 = 0) AS url, arg_max(p_name, p_partkey) AS text FROM part GROUP BY p_size")
+@query("SELECT p_size::BIGINT AS doc_id, coalesce(arg_max(p_brand, p_partkey) FILTER (WHERE p_partkey % 2 = 0), '') AS url, arg_max(p_name, p_partkey) AS text FROM part GROUP BY p_size")
 def batch_latest(spark, sf_dir):
     batch = table(spark, sf_dir, "part").selectExpr("CAST(p_size AS bigint) AS doc_id", "CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE '' END AS url", "p_name AS text", "p_partkey AS seq")
     return sinks.latest(batch, "seq")
@@ -523,6 +523,7 @@ def freq_buckets(spark, sf_dir):
 
 @query()
 def chunk_text(spark, sf_dir):
+    """Its counterpart is with the other source queries."""
     return chunk_rows(docs(spark, sf_dir))
 
 
@@ -536,4 +537,5 @@ def engine_multimodal(spark, sf_dir):
     """The facade end to end: stemmed chunks, both indexes, fusion, records."""
     d = table(spark, sf_dir, "documents").selectExpr("doc_id", "source AS url", "text")
     built = engine.Engine.build(spark, d, vectors(spark, sf_dir), centres(spark, sf_dir, CODEBOOK))
-    return built.search(benchmark(spark, sf_dir, "item_id < 5"), vector_queries(spark, sf_dir, "doc_id < 5"), k=10)
+    asked = benchmark(spark, sf_dir)
+    return built.search(asked, vector_queries(spark, sf_dir, "true").join(asked.select("query_id"), "query_id", "left_semi"), k=10)

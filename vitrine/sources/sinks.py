@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import atexit
+import shutil
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -38,6 +43,11 @@ def set_histograms(table: DataFrame, histograms: DataFrame, column: str, size: i
     return joined.drop("_new")
 
 
+def create_table(spark: SparkSession, path: str, schema: str) -> None:
+    """An empty table of the schema, in place of any that is there."""
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)
+
+
 def write_table(table: DataFrame, path: str) -> None:
     table.write.mode("overwrite").parquet(path)
 
@@ -52,3 +62,21 @@ def disk_mb(spark, *paths: str) -> float:
     """Size of the files under some folders in MB, from the file listing alone."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(list(paths)).select("length")
     return round((files.agg(F.sum("length")).first()[0] or 0) / 1e6, 2)
+
+
+_folders: list[str] = []
+
+
+def scratch_path(spark: SparkSession) -> str:
+    """A fresh path that all executors reach: under spark.checkpoint.dir, or where that is unset and the
+    executors are in this process, under a temporary folder that goes when the process does."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder shared by all executors")
+        if not _folders:
+            _folders.append(tempfile.mkdtemp(prefix="vitrine-"))
+            atexit.register(shutil.rmtree, _folders[0], ignore_errors=True)
+        shared = f"file://{_folders[0]}"
+    return f"{shared}/scratch-{uuid.uuid4().hex}"
