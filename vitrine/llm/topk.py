@@ -24,6 +24,8 @@ from .gather import gathered
 from .textbytes import Hasher, folded, slices, utf8, word_spans
 
 K1, B, BLOCK = 1.2, 0.75, 64
+#: Documents and bytes of text from which a shard is closed.
+SHARD_DOCS, SHARD_BYTES = 5000, 32 << 20
 #: Bytes of query texts that the driver and each task hold at once, and the terms from which a query is scored whole.
 QUERY_BYTES, LONG = 8 << 20, 64
 #: Terms are runs of ASCII letters and digits and bytes of other characters, ASCII and Latin-1 capitals made small.
@@ -185,7 +187,7 @@ def _forward(cursor: list, target: int) -> None:
     cursor[0] = docs[low] if low < n else 1 << 62
 
 
-def _hits(texts: DataFrame, queries: list, k: int, shard_docs: int) -> DataFrame:
+def _hits(texts: DataFrame, queries: list, k: int, shard_docs: int, shard_bytes: int) -> DataFrame:
     """query_id, doc_id and score of the k best of each shard for a block of queries."""
     asked = []
     for row in queries:
@@ -227,21 +229,25 @@ def _hits(texts: DataFrame, queries: list, k: int, shard_docs: int) -> DataFrame
             columns = list(zip(*out, strict=True)) or [[], [], []]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "doc_id", "score"])
 
+        held = 0
         for batch in batches:
             for i in range(0, batch.num_rows, shard_docs):
                 part = batch.slice(i, shard_docs)
-                index.add(*utf8(part.column(1)))
-                ids += part.column(0).to_pylist()
-                if len(ids) >= shard_docs:
-                    yield found()
-                    index, ids = Index(average), []
+                data, offsets = utf8(part.column(1))
+                for a, b in slices(offsets, shard_bytes):
+                    index.add(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                    ids += part.column(0)[a:b].to_pylist()
+                    held += int(offsets[b] - offsets[a])
+                    if len(ids) >= shard_docs or held >= shard_bytes:
+                        yield found()
+                        index, ids, held = Index(average), [], 0
         if ids:
             yield found()
 
     return texts.mapInArrow(run, "query_id bigint, doc_id bigint, score double")
 
 
-def search(docs: DataFrame, queries: DataFrame, k: int = 10, shard_docs: int = 5000) -> DataFrame:
+def search(docs: DataFrame, queries: DataFrame, k: int = 10, shard_docs: int = SHARD_DOCS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """query_id, rank, doc_id and score of the k best documents of every query.
 
     ``queries``: query_id and text, of any number; they are asked in blocks of about
@@ -252,13 +258,14 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, shard_docs: int = 5
 
     Null text is empty but counts in N; a null query finds nothing; null ids
     rank as the least; repeated rows are results each; empty tables give empty
-    results; further columns are ignored.
+    results; further columns are ignored. A shard ends at ``shard_docs`` documents
+    or ``shard_bytes`` of text, so its index is of bounded size but for one text longer than that.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
     asked = staged(queries.select(F.col("query_id").cast("long").alias("query_id"), whole_text().alias("text")))
     blocks = -(-(asked.agg(F.sum(F.octet_length("text"))).first()[0] or 1) // QUERY_BYTES)
     own = F.pmod(F.xxhash64("query_id", "text"), F.lit(blocks))
-    hits = [_hits(texts, asked.where(own == i).collect(), k, shard_docs) for i in range(max(1, blocks))]
+    hits = [_hits(texts, asked.where(own == i).collect(), k, shard_docs, shard_bytes) for i in range(max(1, blocks))]
     hits = reduce(DataFrame.union, hits)
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_first())
     ranked = hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
