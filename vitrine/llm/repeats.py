@@ -153,16 +153,16 @@ def _buckets(keys: np.ndarray, shift: int) -> np.ndarray:
     return (keys >> U(shift)).astype(np.int64) if shift < 64 else np.zeros(len(keys), np.int64)
 
 
-def _answers(table: pa.Table, n_round: int, keys: np.ndarray, place_of: np.ndarray, shift: int) -> np.ndarray:
+def _answers(table: pa.Table, n_round: int, keys: np.ndarray, shift: int) -> np.ndarray:
     """The bit of each key, put together from the rows that came back."""
-    distinct = np.unique(keys)
+    distinct, place = np.unique(keys, return_inverse=True)
     bits = np.zeros(len(distinct), bool)
     bucket = _buckets(distinct, shift)
     for b, k, packed in zip(table.column("bucket").to_pylist(), table.column("round").to_pylist(), table.column("repeated").to_pylist(), strict=True):
         if k == n_round:
             i, j = np.searchsorted(bucket, [b, b + 1])
             bits[i:j] = np.unpackbits(np.frombuffer(packed, np.uint8), count=j - i)
-    return bits[place_of]
+    return bits[place]
 
 
 def _count(n_round: int) -> Callable[[pa.Table], pa.Table]:
@@ -235,9 +235,8 @@ def remove_repeats(docs: DataFrame, width: int = 400, words: int = 50, trigger:
         return _packed(table.column("block")[0].as_py(), keys, many, shift)[0]
 
     def marked(block: Block, back: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-        keys, many = block.phrase_keys()
-        place = np.searchsorted(np.unique(keys), keys)
-        return block.candidates(_answers(back, 0, keys, place, shift))
+        keys, _ = block.phrase_keys()
+        return block.candidates(_answers(back, 0, keys, shift))
 
     def send_windows(table: pa.Table, back: pa.Table) -> pa.Table:
         _, keys, many, _ = marked(block_of(table), back)
@@ -246,7 +245,7 @@ def remove_repeats(docs: DataFrame, width: int = 400, words: int = 50, trigger:
     def cut(table: pa.Table, back: pa.Table) -> pa.Table:
         block = block_of(table)
         places, keys, _, count = marked(block, back)
-        repeated = _answers(back, 1, keys, np.searchsorted(np.unique(keys), keys), shift)
+        repeated = _answers(back, 1, keys, shift)
         starts = places[:count][repeated[:count]]
         passage_words = block.words_in(places[count:][repeated[count:]])
         found = []
