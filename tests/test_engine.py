@@ -232,3 +232,41 @@ def test_many_query_weights(spark, products):
     asked = tf.withColumnRenamed("doc_id", "query_id")
     few, many = ({(r.query_id, r.doc_id): round(r.score, 9) for r in index.score(built, asked, most=n).collect()} for n in (1000, 3))
     assert few == many and len(few) > 4
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from vitrine.__main__ import main
+
+    sinks.dump_csv(spark.createDataFrame([(r[0], r[2]) for r in RECORDS], "id long, texto string"), str(tmp_path / "corpus"))
+    (tmp_path / "stop").write_text("men\nMEN\n")
+    spark.createDataFrame([(d, [float(d == i) for i in range(1, 5)]) for d in range(1, 5)], "doc_id long, embedding array<double>").write.parquet(str(tmp_path / "vectors"))
+    spark.createDataFrame([(i, [float(i == j) for j in range(4)]) for i in range(4)], "codeword_id long, centre array<double>").write.parquet(str(tmp_path / "centres"))
+    main(["build", str(tmp_path / "corpus"), str(tmp_path / "engine"), "--stop-words", str(tmp_path / "stop"), "--vectors", str(tmp_path / "vectors"), "--centres", str(tmp_path / "centres")], spark)
+    assert main(["search", str(tmp_path / "engine"), "--text", "silver watch", "-k", "1"], spark)[0].id == "3"
+    assert main(["search", str(tmp_path / "engine"), "--vector", "0,1,0,0"], spark)[0].id == "2"
+    assert main(["search", str(tmp_path / "engine"), "--text", "men"], spark) == []
+    assert "Titan Women Silver Watch" in capsys.readouterr().out
+    with pytest.raises(SystemExit):
+        main(["search", str(tmp_path / "engine")], spark)
+
+
+def test_measured_runs(spark, products, tmp_path):
+    from vitrine.plans import benchmark
+
+    engine = Engine.build(spark, products)
+    labels = products.selectExpr("doc_id", "split(text, '[|]')[2] AS label")
+    cases = [(4, "text", q, "spimi", lambda q=q: engine.search_text(q, 50)) for q in ("silver watch", "navy", "zzz")]
+    runs = benchmark.measured(spark, cases, labels, {"silver watch": "Watches", "navy": "Topwear"})
+    out = {r.query: r for r in runs.collect()}
+    assert out["silver watch"].precision == 1 / 50 and out["silver watch"].recall == 1 and out["navy"].recall == 0.5
+    assert out["zzz"].io == 0 and out["zzz"].recall == 0 and all(r.latencia > 0 for r in out.values())
+    assert benchmark.averaged(runs).first().io_avg == sum(r.io for r in out.values()) / 3
+    engine.write(str(tmp_path))
+    assert benchmark.disk(spark, {"texto_mb": f"{tmp_path}/text"}).columns == ["texto_mb"]
+
+
+def test_strict_decoding(spark):
+    images = spark.createDataFrame([(1, bytearray(b"no image"))], "doc_id long, content binary")
+    assert descriptors(images, lambda b: None, lambda m: m).count() == 0
+    with pytest.raises(Exception, match="cannot be decoded"):
+        descriptors(images, lambda b: None, lambda m: m, strict=True).collect()

@@ -61,11 +61,12 @@ def grey(image: np.ndarray) -> np.ndarray:
     return image if image.ndim == 2 else (image[..., :3] @ np.array([0.114, 0.587, 0.299])).round().astype(image.dtype)
 
 
-def descriptors(images: DataFrame, decode: Callable[[bytes], np.ndarray | None], describe: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+def descriptors(images: DataFrame, decode: Callable[[bytes], np.ndarray | None], describe: Callable[[np.ndarray], np.ndarray], strict: bool = False) -> DataFrame:
     """doc_id, patch and descriptor of every descriptor of every patch.
 
     ``images``: doc_id and content. ``decode`` gives a matrix, or None for what
-    is no image, which is skipped; ``describe`` gives the rows of a patch.
+    is no image, which is skipped, or an error if ``strict`` as it is for the
+    image of a query; ``describe`` gives the rows of a patch.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -73,6 +74,8 @@ def descriptors(images: DataFrame, decode: Callable[[bytes], np.ndarray | None],
             rows = []
             for doc_id, content in zip(frame.doc_id, frame.content, strict=True):
                 image = decode(bytes(content)) if content is not None else None
+                if image is None and strict:
+                    raise ValueError(f"the image of {doc_id} cannot be decoded")
                 for i, tile in enumerate(patches(image) if image is not None else []):
                     rows += ((doc_id, i, [float(v) for v in d]) for d in describe(grey(tile)))
             yield pd.DataFrame(rows, columns=["doc_id", "patch", "descriptor"])

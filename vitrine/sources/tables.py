@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,8 +46,8 @@ def read_stop_words(spark: SparkSession, path: str) -> list[str]:
     """Distinct words of a file of one word a line; no such file, no words."""
     try:
         rows = spark.read.text(path).select(F.lower(F.trim("value")).alias("w")).where("w != ''").distinct().collect()
-    except Exception as e:  # the reader's own error for a path that is not there
-        if "PATH_NOT_FOUND" in str(e):
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
             return []
         raise
     return sorted(r.w for r in rows)
