@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 
 #: Bytes of an Arrow batch sent to a Python worker, whatever the rows' sizes.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import shuffle_partitions, whole_text
-from .textbytes import Hasher, joined, shingles, slices, utf8, word_spans
+from .textbytes import Hasher, joined, shingles, slices, tidy, utf8, word_spans
 
 K, WIDTH = 128, 5
 
@@ -87,7 +87,7 @@ def fingerprint(docs: DataFrame, text: str = "text", k: int = K, width: int = WI
                 names=["doc_id", "fingerprint", "distinct_shingles"],
             )
 
-    return docs.select("doc_id", whole_text(text).alias("text")).mapInArrow(run, "doc_id bigint, fingerprint string, distinct_shingles double")
+    return docs.select("doc_id", whole_text(text).alias("text")).mapInArrow(tidy(run), "doc_id bigint, fingerprint string, distinct_shingles double")
 
 
 SCHEMA = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -180,5 +180,5 @@ def edited_fingerprints(docs: DataFrame, k: int = K, width: int = WIDTH) -> Data
             yield rows_of(done)
 
     parts = shuffle_partitions(spark)
-    dealt = rows.mapInArrow(deal, "doc_id bigint, text string, span bigint, ahead tinyint").repartition(parts, "span")
-    return dealt.sortWithinPartitions("span", "ahead", F.col("doc_id").desc_nulls_last(), "text").mapInArrow(finish, SCHEMA)
+    dealt = rows.mapInArrow(tidy(deal), "doc_id bigint, text string, span bigint, ahead tinyint").repartition(parts, "span")
+    return dealt.sortWithinPartitions("span", "ahead", F.col("doc_id").desc_nulls_last(), "text").mapInArrow(tidy(finish), SCHEMA)

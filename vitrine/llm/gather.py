@@ -11,6 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .common import shuffle_partitions
+from .textbytes import tidy
 
 CHUNK, SALTS = 8192, 16
 PARTS = "chunk int, salt int, part binary"
@@ -53,8 +54,8 @@ def gathered(df: DataFrame, add: Callable[[pa.RecordBatch, np.ndarray], None], s
         return run
 
     n = shuffle_partitions(df.sparkSession)
-    parts = df.mapInArrow(count, PARTS).repartition(n, "chunk", "salt").mapInArrow(meet(True), PARTS)
+    parts = df.mapInArrow(tidy(count), PARTS).repartition(n, "chunk", "salt").mapInArrow(tidy(meet(True)), PARTS)
     out = np.zeros(-(-size // CHUNK) * CHUNK, np.int64)
-    for row in parts.repartition(n, "chunk").mapInArrow(meet(False), PARTS).collect():
+    for row in parts.repartition(n, "chunk").mapInArrow(tidy(meet(False)), PARTS).collect():
         out[row.chunk * CHUNK : (row.chunk + 1) * CHUNK] += np.frombuffer(zlib.decompress(row.part), "<i8")
     return out[:size]

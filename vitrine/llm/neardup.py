@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import discard, shuffle_partitions, staged, whole_rows, whole_text
 from .gather import gathered
-from .textbytes import BASE, Hasher, U, folded, mix, row_bounds, shingles, slices, utf8, word_spans
+from .textbytes import BASE, Hasher, U, folded, mix, row_bounds, shingles, slices, tidy, utf8, word_spans
 
 WIDTH, ENTRIES, SIMILARITY = 5, 24, 0.8
 _FACTORS = mix(np.arange(1, ENTRIES + 1).astype(U)) | U(1)
@@ -286,7 +286,7 @@ def _verified(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFram
 
     parts = shuffle_partitions(pairs.sparkSession)
     met = pairs.join(left, "a").repartition(parts, "b").join(right, "b")
-    return staged(met.select("a", "b", "wa", "wb").mapInArrow(run, "a bigint, b bigint"))
+    return staged(met.select("a", "b", "wa", "wb").mapInArrow(tidy(run), "a bigint, b bigint"))
 
 
 def _pair(x: Column, y: Column) -> list[Column]:
@@ -324,7 +324,7 @@ def _parted(hot: DataFrame, words: DataFrame, similarity: float, block: int) ->
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, v), pa.int64()) for v in (bucket, node, component)] + [pa.array(word), pa.array(np.full(n, n), pa.int64())], names=["bucket", "node", "component", "word", "size"])
 
     each = hot.join(words.select("node", "words"), "node").select("bucket", "node", "component", "words")
-    each = staged(each.mapInArrow(split, "bucket bigint, node bigint, component bigint, word bigint, size bigint"))
+    each = staged(each.mapInArrow(tidy(split), "bucket bigint, node bigint, component bigint, word bigint, size bigint"))
     shared = each.groupBy("bucket", "word").agg(F.count("*").alias("texts")).where("texts > 1")
     one = Window.partitionBy("bucket", "node")
     held = each.join(shared, ["bucket", "word"]).withColumn("alone", F.col("size") - F.count("*").over(one))
@@ -453,9 +453,9 @@ def _marked(nodes: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame, np.ndarray]:
     """(doc_id, node) of every row, (node, component) of every node that has a near duplicate, and a
     bitmap of fixed size that marks every node with near or equal texts, and a few others."""
-    rows = staged(docs.select("doc_id", whole_text().alias("text")).mapInArrow(_sketched, ROWS))
+    rows = staged(docs.select("doc_id", whole_text().alias("text")).mapInArrow(tidy(_sketched), ROWS))
     nodes = rows.groupBy("node").agg(F.first("sketch").alias("sketch"))
-    entries = nodes.mapInArrow(_entries, "bucket bigint, turned bigint, node bigint")
+    entries = nodes.mapInArrow(tidy(_entries), "bucket bigint, turned bigint, node bigint")
     # leader and last of a bucket in its entry's order: equal where it has one text
     led = entries.groupBy("bucket").agg(F.min(F.struct("turned", "node")).alias("low"), F.max("turned").alias("high")).where("low.turned != high").select("bucket", F.col("low.node").alias("leader"))
     members = staged(entries.select("bucket", "node").join(led, "bucket"))
@@ -480,7 +480,7 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataF
             found = pa.table({"node": pa.array(nodes, pa.int64()), "words": pa.array(out, pa.binary())}).group_by("node", use_threads=False).aggregate([("words", "first")])
             yield from pa.table({"node": found.column("node"), "words": found.column("words_first")}).combine_chunks().to_batches()
 
-    words = docs.select(whole_text().alias("text")).mapInArrow(chosen, "node bigint, words binary")
+    words = docs.select(whole_text().alias("text")).mapInArrow(tidy(chosen), "node bigint, words binary")
     words = staged(words.groupBy("node").agg(F.first("words").alias("words")).join(nodes, "node"))
 
     # each text with the leader it shares most buckets with, then what that leaves apart
@@ -537,7 +537,7 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
             nodes = np.array(nodes, np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes), pa.array(_marked(nodes, bitmap))], names=["doc", "doc_id", "text", "node", "marked"])
 
-    flagged = rows.mapInArrow(flag, schema)
+    flagged = rows.mapInArrow(tidy(flag), schema)
     placed = flagged.where("marked").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     first = F.min_by("doc", F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text")))
     kept = placed.groupBy("component").agg(first.alias("doc"))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import shuffle_partitions, whole_text
-from .textbytes import U, mix, utf8
+from .textbytes import U, mix, tidy, utf8
 from .tokens import encoder
 
 VOCABULARY = "word_bpe_49k.json"
@@ -102,5 +102,5 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = 2048, end_id:
         first = table.column("pack_group")[0].as_py() << 32
         return table.drop_columns(["pack_group"]).append_column("sequence_id", pa.array(first + bins)).append_column("offset", pa.array(offsets))
 
-    cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).mapInArrow(pieces, PIECES)
+    cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).mapInArrow(tidy(pieces), PIECES)
     return cut.repartition(shuffle_partitions(spark), "pack_group").groupBy("pack_group").applyInArrow(fit, PACKED)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import whole_text
 from .gather import gathered
-from .textbytes import Hasher, U, mix, row_bounds, slices, utf8
+from .textbytes import Hasher, U, mix, row_bounds, slices, tidy, utf8
 
 WORDS, SHAPES, DIM, REACH = 8192, 128, 32, 2
 _CASE = np.arange(256, dtype=np.uint8)
@@ -202,7 +202,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> tup
             x = pooled(*utf8(batch.column(1)), vectors)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "y", "x"])
 
-    rows = labelled(docs, labels, "quality", sample).mapInArrow(features, "doc_id bigint, y int, x binary").collect()
+    rows = labelled(docs, labels, "quality", sample).mapInArrow(tidy(features), "doc_id bigint, y int, x binary").collect()
     rows.sort(key=lambda r: (r.doc_id, r.x))
     x = np.frombuffer(b"".join(r.x for r in rows), np.float32).reshape(len(rows), DIM + SHAPES + 1)
     return vectors, fit_network(x, np.array([r.y for r in rows], np.int64))
@@ -219,7 +219,7 @@ def score_quality(docs: DataFrame, model: tuple[np.ndarray, Network], *keep: str
             score = net.score(pooled(*utf8(batch.column(len(keep))), vectors))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(score, pa.float64())], names=[*keep, "score"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
 
 
 def classify_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, folds: int = 5, fold: int = 0) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import shuffle_partitions, whole_text
-from .textbytes import Hasher, U, joined, mix, slices, word_spans
+from .textbytes import Hasher, U, joined, mix, slices, tidy, word_spans
 
 KEYS = "bucket bigint, block bigint, keys binary, several binary"
 BITS = "block bigint, bucket bigint, round int, repeated binary"
@@ -227,7 +227,7 @@ def remove_repeats(docs: DataFrame, width: int = 400, words: int = 50, trigger:
     def block_of(table: pa.Table) -> Block:
         return Block(table, width, words, trigger, mean)
 
-    texts = long.mapInArrow(_collapse, "text string, copies bigint").withColumn("block", F.pmod(F.xxhash64("text"), F.lit(blocks)))
+    texts = long.mapInArrow(tidy(_collapse), "text string, copies bigint").withColumn("block", F.pmod(F.xxhash64("text"), F.lit(blocks)))
     texts = texts.repartition(parts, "block")
 
     def send_phrases(table: pa.Table) -> pa.Table:

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +23,18 @@ SLICE_BYTES = 1 << 20
 
 if TaskContext.get() is not None:  # in a worker only: gives freed batches back at once
     pa.set_memory_pool(pa.system_memory_pool())
-    with contextlib.suppress(AttributeError, OSError):  # where the C library has it: large arrays go back when freed, too
-        ctypes.CDLL(None).mallopt(-3, 4 << 20)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for ``mapInArrow``, after which a worker, which waits for its next task, keeps no freed memory."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        with contextlib.suppress(AttributeError, OSError):  # where the C library has it
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
 
 _powers: dict[int, np.ndarray] = {}
 

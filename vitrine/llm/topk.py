@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import staged, whole_text
 from .gather import gathered
-from .textbytes import Hasher, folded, slices, utf8, word_spans
+from .textbytes import Hasher, folded, slices, tidy, utf8, word_spans
 
 K1, B, BLOCK = 1.2, 0.75, 64
 #: Documents and bytes of text from which a shard is closed.
@@ -244,7 +244,7 @@ def _hits(texts: DataFrame, queries: list, k: int, shard_docs: int, shard_bytes:
         if ids:
             yield found()
 
-    return texts.mapInArrow(run, "query_id bigint, doc_id bigint, score double")
+    return texts.mapInArrow(tidy(run), "query_id bigint, doc_id bigint, score double")
 
 
 def search(docs: DataFrame, queries: DataFrame, k: int = 10, shard_docs: int = SHARD_DOCS, shard_bytes: int = SHARD_BYTES) -> DataFrame:

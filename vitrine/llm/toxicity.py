@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import whole_text
 from .gather import gathered
 from .quality import held_out, labelled
-from .textbytes import Hasher, U, joined, slices, utf8, word_spans
+from .textbytes import Hasher, U, joined, slices, tidy, utf8, word_spans
 
 # --- fixed values: what a sign may stand for
 LEET = {
@@ -297,7 +297,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 20_000, evide
             x = evidence(*utf8(batch.column(0)), weights, restore)
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(x.tolist(), pa.list_(pa.float64()))], names=["y", "x"])
 
-    found = labelled(docs, labels.where(half == 1), "toxic", sample).select("text", "y").mapInArrow(features, "y int, x array<double>").collect()
+    found = labelled(docs, labels.where(half == 1), "toxic", sample).select("text", "y").mapInArrow(tidy(features), "y int, x array<double>").collect()
     found = sorted((r.y, r.x) for r in found)
     x = np.array([r[1] for r in found], np.float64).reshape(len(found), 5)
     return Toxicity(model, word_weights(counts.sum(axis=0)), fit_logistic(_design(x), np.array([r[0] for r in found], np.float64)))
@@ -312,7 +312,7 @@ def score_toxicity(docs: DataFrame, fitted: Toxicity) -> DataFrame:
             score = fitted.score(*utf8(batch.column(1)), restore)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score, pa.float64())], names=["doc_id", "score"])
 
-    return docs.select("doc_id", whole_text().alias("text")).mapInArrow(run, "doc_id bigint, score double")
+    return docs.select("doc_id", whole_text().alias("text")).mapInArrow(tidy(run), "doc_id bigint, score double")
 
 
 def classify_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, folds: int = 3, fold: int = 1) -> DataFrame:
