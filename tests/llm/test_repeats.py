@@ -15,7 +15,7 @@ def spans_of(b):
 def brute(rows, width, words):
     texts = [(d, (t or "").encode()) for d, t in rows]
     seen = Counter(b[i : i + width] for _, b in texts for i in range(len(b) - width + 1))
-    passages = Counter(b[x[0] : y[1]] for _, b in texts for x, y in zip(spans_of(b), spans_of(b)[words - 1 :], strict=False))
+    passages = Counter(p for _, b in texts for p in {b[x[0] : y[1]] for x, y in zip(spans_of(b), spans_of(b)[words - 1 :], strict=False)})
     out = []
     for d, b in texts:
         gone = bytearray(len(b))
@@ -45,7 +45,7 @@ def pieces(seed, n):
         ([(1, None), (2, ""), (None, "a" * 399)], {}),
         ([(1, "a" * 1000), (2, "b" * 400), (3, "b" * 400), (3, "ab" * 399)], {}),
         ([(1, "x" * 399 + "y"), (2, "z" + "x" * 399 + "y")], {}),
-        ([(i, f"{i} " + " ".join(f"w{k}" for k in range(50)) + f" {i}") for i in range(3)] + [(9, "of the " * 25 + "end")], {}),
+        ([(i, f"{i} " + " ".join(f"w{k}" for k in range(50)) + f" {i}") for i in range(3)] + [(9, "of the " * 60 + "end"), (10, "at the " * 60), (11, "at the " * 27)], {}),
         (pieces(3, 150), {"width": 40, "trigger": 4, "mean": 4, "block_bytes": 5000, "words": 8}),
         (pieces(4, 60), {"width": 40, "trigger": 16, "mean": 64, "block_bytes": 3000, "words": 5}),
     ],

@@ -75,14 +75,16 @@ class Block:
             many.append(self.copied[a + row])
         return np.concatenate(keys), np.concatenate(many)
 
-    def candidates(self, repeated: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-        """Position, key and copied flag of each window all whose phrases are repeated, and the number of those that are ``width`` bytes.
+    def candidates(self, repeated: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, np.ndarray]:
+        """Position, key and copied flag of each window all whose phrases are repeated, the number of those that are
+        ``width`` bytes, and which are to be counted.
 
-        After them come the passages of ``words`` words, whose position is that
-        of their first word among all words of the block.
+        After those come the passages of ``words`` words, whose position is that
+        of their first word among all words of the block. A passage counts once
+        for each text, as it must be in another text to be repeated.
         """
         places, keys, many, done = [NONE], [np.empty(0, U)], [np.empty(0, bool)], 0
-        passages, passage_keys, passage_many, words_before = [NONE], [np.empty(0, U)], [np.empty(0, bool)], 0
+        passages, passage_keys, passage_many, passage_texts, words_before = [NONE], [], [np.empty(0, bool)], [], 0
         for a, b in self.ranges:
             hasher, bounds, start, end, row = self.phrases(a, b)
             once = ~repeated[done : done + len(start)]
@@ -107,10 +109,15 @@ class Block:
                 i, x, y = i[~spoilt], x[~spoilt], y[~spoilt]
                 passages.append(i + words_before)
                 passage_keys.append(mix(hasher.spans(x, y) ^ PASSAGE))
+                passage_texts.append(a + of[i])
                 passage_many.append(self.copied[a + of[i]])
             words_before += len(first)
         count = sum(map(len, places))
-        return np.concatenate(places + passages), np.concatenate(keys + passage_keys), np.concatenate(many + passage_many), count
+        texts, passage_key = np.concatenate([NONE, *passage_texts]), np.concatenate([np.empty(0, U), *passage_keys])
+        order = np.lexsort((passage_key, texts))
+        counted = np.ones(count + len(order), bool)
+        counted[count + order[1:]] = (texts[order][1:] != texts[order][:-1]) | (passage_key[order][1:] != passage_key[order][:-1])
+        return np.concatenate(places + passages), np.concatenate([*keys, passage_key]), np.concatenate(many + passage_many), count, counted
 
     def word_spans(self, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start, end and row of every word of rows a to b; found once."""
@@ -207,7 +214,7 @@ def remove_repeats(docs: DataFrame, width: int = 400, words: int = 50, trigger:
     else, in its own text or another; matches end with their text. Returns
     doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 and
     n_repeated_words, a row for each input row. The last counts the words in
-    passages of ``words`` words that also start anywhere else; these are only
+    passages of ``words`` words that another document has too; these are only
     reported, as they may be shorter than ``width`` bytes.
 
     Null text is empty; texts shorter than ``width`` stay whole; equal rows are
@@ -234,17 +241,17 @@ def remove_repeats(docs: DataFrame, width: int = 400, words: int = 50, trigger:
         keys, many = block_of(table).phrase_keys()
         return _packed(table.column("block")[0].as_py(), keys, many, shift)[0]
 
-    def marked(block: Block, back: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    def marked(block: Block, back: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, np.ndarray]:
         keys, _ = block.phrase_keys()
         return block.candidates(_answers(back, 0, keys, shift))
 
     def send_windows(table: pa.Table, back: pa.Table) -> pa.Table:
-        _, keys, many, _ = marked(block_of(table), back)
-        return _packed(table.column("block")[0].as_py() if table.num_rows else -1, keys, many, shift)[0]
+        _, keys, many, _, counted = marked(block_of(table), back)
+        return _packed(table.column("block")[0].as_py() if table.num_rows else -1, keys[counted], many[counted], shift)[0]
 
     def cut(table: pa.Table, back: pa.Table) -> pa.Table:
         block = block_of(table)
-        places, keys, _, count = marked(block, back)
+        places, keys, _, count, _ = marked(block, back)
         repeated = _answers(back, 1, keys, shift)
         starts = places[:count][repeated[:count]]
         passage_words = block.words_in(places[count:][repeated[count:]])
