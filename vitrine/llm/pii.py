@@ -102,7 +102,7 @@ def disclosure(uses: DataFrame, rows: DataFrame, texts: DataFrame, least: float,
     however often it is copied.
     """
     total = rows.agg(F.sum("terms")).first()[0] or 0
-    entities = uses.groupBy("entity").agg(F.count("*").alias("n_entity"))
+    entities = staged(uses.groupBy("entity").agg(F.count("*").alias("n_entity")), narrow=True)  # apart from the join, which can then split a kind
     per_context = uses.select("entity", "context", F.explode("near").alias("term")).groupBy("entity", "term", "context").agg(F.count("*").alias("n"))
     pairs = per_context.groupBy("entity", "term").agg(F.count("*").alias("contexts"), F.sum("n").alias("n_both"))
     sure = (F.col("contexts") - sureness * F.sqrt("contexts")) / F.col("contexts")
