@@ -51,14 +51,21 @@ def shared_dir(spark: SparkSession) -> str:
 _local_dir: str | None = None
 
 
-def staged(df: DataFrame) -> DataFrame:
+#: Shuffle partitions are counted for whole texts; a table of a few numbers a row is written by a part of as many tasks.
+NARROW = 8
+
+
+def staged(df: DataFrame, narrow: bool = False) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     Later jobs start from the files, so a lost executor costs a re-read and
-    not the whole lineage, and rows computed once stay the same rows.
+    not the whole lineage, and rows computed once stay the same rows. ``narrow``
+    is for rows of a few numbers: fewer tasks, and so fewer files, are enough.
     """
     spark = df.sparkSession
     bound_batches(spark)
+    if narrow:
+        df = df.coalesce(max(1, shuffle_partitions(spark) // NARROW))
     path = f"{shared_dir(spark)}/vitrine-{uuid.uuid4().hex}"
     df.write.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)

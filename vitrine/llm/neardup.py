@@ -252,20 +252,20 @@ def components(edges: DataFrame) -> DataFrame:
     written between rounds.
     """
     spark = edges.sparkSession
-    left = staged(edges.select("a", "b").where("a != b").distinct())
+    left = staged(edges.select("a", "b").where("a != b").distinct(), narrow=True)
     found = None
     while not left.isEmpty():
         both = left.union(left.select("b", "a"))
-        least = staged(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("to")).select(F.col("a").alias("node"), "to"))
+        least = staged(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("to")).select(F.col("a").alias("node"), "to"), narrow=True)
         hop = least.select(F.col("node").alias("to"), F.col("to").alias("then"))
-        parent = staged(least.join(hop, "to").select("node", F.col("then").alias("to")))
+        parent = staged(least.join(hop, "to").select("node", F.col("then").alias("to")), narrow=True)
         pa_, pb = parent.select(F.col("node").alias("a"), F.col("to").alias("ta")), parent.select(F.col("node").alias("b"), F.col("to").alias("tb"))
-        before, left = left, staged(left.join(pa_, "a").join(pb, "b").where("ta != tb").select(F.col("ta").alias("a"), F.col("tb").alias("b")).distinct())
+        before, left = left, staged(left.join(pa_, "a").join(pb, "b").where("ta != tb").select(F.col("ta").alias("a"), F.col("tb").alias("b")).distinct(), narrow=True)
         discard(before, least)
         if found is None:
             found = parent
         else:
-            old, found = found, staged(found.join(parent.select(F.col("node").alias("to"), F.col("to").alias("then")), "to", "left").select("node", F.coalesce("then", "to").alias("to")))
+            old, found = found, staged(found.join(parent.select(F.col("node").alias("to"), F.col("to").alias("then")), "to", "left").select("node", F.coalesce("then", "to").alias("to")), narrow=True)
             discard(old, parent)
     if found is None:
         return spark.createDataFrame([], "node bigint, component bigint")
@@ -299,7 +299,7 @@ def joined(found: DataFrame, links: DataFrame) -> DataFrame:
     between = links.join(ca, "a", "left").join(cb, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
     merged = components(between)
     moved = found.join(merged.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
-    return staged(moved.union(merged.join(found, "node", "left_anti")))
+    return staged(moved.union(merged.join(found, "node", "left_anti")), narrow=True)
 
 
 def labelled_words(words: np.ndarray) -> np.ndarray:
