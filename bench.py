@@ -60,14 +60,15 @@ def main() -> None:
         index.term_occurrences(docs).write.mode("overwrite").parquet(f"{work}/tf")  # read by each pass of the build
         tf = spark.read.parquet(f"{work}/tf")
         index.codebook_of(tf).select("term").write.mode("overwrite").parquet(f"{work}/codebook")
-        index.build_index(tf.join(spark.read.parquet(f"{work}/codebook"), "term"), n_docs).write(f"{work}/text")
+        index.write_index(tf.join(spark.read.parquet(f"{work}/codebook"), "term"), n_docs, f"{work}/text")
 
     timed("build_text_index", build_text, warm=False)
     centres = Q.centres(spark, sf_dir, 64)
     images = vectors.selectExpr("doc_id div 5 AS doc_id", "embedding")
 
     def build_image():
-        index.build_index(index.visual_frequencies(images, centres), images.select("doc_id").distinct().count(), "codeword_id").write(f"{work}/image")
+        index.visual_frequencies(images, centres).write.mode("overwrite").parquet(f"{work}/visual")
+        index.write_index(spark.read.parquet(f"{work}/visual"), images.select("doc_id").distinct().count(), f"{work}/image", "codeword_id")
 
     timed("build_image_index", build_image, warm=False)
     text, image = index.Index.read(spark, f"{work}/text"), index.Index.read(spark, f"{work}/image")

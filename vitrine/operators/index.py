@@ -112,11 +112,9 @@ class Index:
     codeword: str
 
     def write(self, path: str) -> None:
-        """Postings sorted by codeword, so a query's codewords are found by row-group statistics."""
         self.idf.write.mode("overwrite").parquet(f"{path}/idf")
         self.norms.write.mode("overwrite").parquet(f"{path}/norms")
-        parts = int(self.postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        self.postings.repartition(parts, self.codeword).sortWithinPartitions(self.codeword, "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
+        _write_postings(self.postings, self.codeword, path)
 
     @staticmethod
     def read(spark: SparkSession, path: str) -> Index:
@@ -132,11 +130,40 @@ def document_frequency(tf: DataFrame, n_docs: int, codeword: str) -> DataFrame:
 def build_index(tf: DataFrame, n_docs: int, codeword: str = "term") -> Index:
     """Inverted index of frequencies (doc_id, codeword, tf); ``n_docs`` is the N of the idf."""
     idf = document_frequency(tf, n_docs, codeword)
-    weighted = tf.join(idf.select(codeword, "idf"), codeword).withColumn("raw", F.col("tf") * F.col("idf"))
-    norms = weighted.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
+    weighted = _weighted(tf, idf, codeword)
+    norms = _norms(weighted)
+    return Index(_scaled(weighted, norms, codeword), idf, norms, codeword)
+
+
+def write_index(tf: DataFrame, n_docs: int, path: str, codeword: str = "term") -> Index:
+    """The same index built on disk: each table is written once and read by the next. ``tf`` should be a written table."""
+    spark = tf.sparkSession
+    document_frequency(tf, n_docs, codeword).write.mode("overwrite").parquet(f"{path}/idf")
+    idf = spark.read.parquet(f"{path}/idf")
+    weighted = _weighted(tf, idf, codeword)
+    _norms(weighted).write.mode("overwrite").parquet(f"{path}/norms")
+    norms = spark.read.parquet(f"{path}/norms")
+    _write_postings(_scaled(weighted, norms, codeword), codeword, path)
+    return Index.read(spark, path)
+
+
+def _weighted(tf: DataFrame, idf: DataFrame, codeword: str) -> DataFrame:
+    return tf.join(idf.select(codeword, "idf"), codeword).withColumn("raw", F.col("tf") * F.col("idf"))
+
+
+def _norms(weighted: DataFrame) -> DataFrame:
+    return weighted.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
+
+
+def _scaled(weighted: DataFrame, norms: DataFrame, codeword: str) -> DataFrame:
     scaled = F.when(F.col("norm") > 0, F.col("raw") / F.col("norm")).otherwise(F.col("raw"))
-    postings = weighted.join(norms, "doc_id").select(codeword, "doc_id", "tf", scaled.alias("weight"))
-    return Index(postings, idf, norms, codeword)
+    return weighted.join(norms, "doc_id").select(codeword, "doc_id", "tf", scaled.alias("weight"))
+
+
+def _write_postings(postings: DataFrame, codeword: str, path: str) -> None:
+    """Sorted by codeword, so a query's codewords are found by row-group statistics."""
+    parts = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    postings.repartition(parts, codeword).sortWithinPartitions(codeword, "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
 
 
 def posting_lists(tf: DataFrame, codeword: str = "term", span: int = POSTING_RANGE) -> DataFrame:

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions.chunk import chunk_rows
 from ..functions.text import FIELDS, unpack_record
-from ..operators.fulltext import search_all
-from ..operators.index import Index, build_index, score, term_frequencies, visual_frequencies
 from ..functions.vectors import matrix
+from ..operators.fulltext import search_all
+from ..operators.index import Index, build_index, score, term_frequencies, visual_frequencies, write_index
 from ..operators.knn import knn_exact, knn_lsh, with_signatures
 from ..operators.ranking import fuse, percentage, top_k
 from ..sources.sinks import write_table
@@ -53,28 +53,34 @@ class Engine:
         With a ``path`` each step is written there once and read by the next, and the engine is that of the files.
         """
         tf = _frequencies(descriptors.select("doc_id", "text"), stop_words, stemmed, chunked, "doc_id")
-        if path is not None:  # frequencies are counted once and read by each step after
-            write_table(tf, f"{path}/frequencies")
-            tf = spark.read.parquet(f"{path}/frequencies")
-        seen = tf.groupBy("term").agg(F.sum("tf").alias("cf"), F.min("doc_id").alias("first"))
-        best = seen.orderBy(F.desc("cf"), "first", "term").limit(terms).select("term")
+        visual = visual_frequencies(vectors.where("embedding is not null"), centres) if vectors is not None and centres is not None else None
         n = n_docs or descriptors.count()
-        text = build_index(tf.join(F.broadcast(best), "term"), n)
-        image = None
-        if vectors is not None and centres is not None:
-            image = build_index(visual_frequencies(vectors.where("embedding is not null"), centres), n, "codeword_id")
-        built = Engine(spark, descriptors, text, image, vectors, centres, tuple(stop_words), stemmed, chunked)
+
+        def finished(text: Index, image: Index | None) -> Engine:
+            return Engine(spark, descriptors, text, image, vectors, centres, tuple(stop_words), stemmed, chunked)
+
         if path is None:
-            return built
-        built.write(path)
+            return finished(build_index(_in_codebook(tf, terms), n), build_index(visual, n, "codeword_id") if visual is not None else None)
+        write_table(tf, f"{path}/frequencies")
+        kept = f"{path}/codebook"
+        tf = spark.read.parquet(f"{path}/frequencies")
+        write_table(_codebook(tf, terms), kept)
+        text, image = write_index(tf.join(spark.read.parquet(kept), "term"), n, f"{path}/text"), None
+        if visual is not None:
+            write_table(visual, f"{path}/visual_frequencies")
+            image = write_index(spark.read.parquet(f"{path}/visual_frequencies"), n, f"{path}/image", "codeword_id")
+        finished(text, image)._write_rest(path)
         return Engine.read(spark, path)
 
     def write(self, path: str) -> None:
         """All that ``read`` needs: records, indexes with their codebook, vectors, centres and options."""
-        write_table(self.descriptors, f"{path}/descriptors")
         self.text.write(f"{path}/text")
         if self.image is not None:
             self.image.write(f"{path}/image")
+        self._write_rest(path)
+
+    def _write_rest(self, path: str) -> None:
+        write_table(self.descriptors, f"{path}/descriptors")
         if self.vectors is not None:
             write_table(self.vectors, f"{path}/vectors")
         places = [] if self.centres is None else [(i, [float(x) for x in c]) for i, c in enumerate(self.centres)]
@@ -137,6 +143,16 @@ class Engine:
         return details(self.descriptors, doc_id)
 
 
+def _codebook(tf: DataFrame, terms: int) -> DataFrame:
+    """The ``terms`` most frequent terms, equals by the least document, then term."""
+    seen = tf.groupBy("term").agg(F.sum("tf").alias("cf"), F.min("doc_id").alias("first"))
+    return seen.orderBy(F.desc("cf"), "first", "term").limit(terms).select("term")
+
+
+def _in_codebook(tf: DataFrame, terms: int) -> DataFrame:
+    return tf.join(_codebook(tf, terms), "term")
+
+
 def _frequencies(rows: DataFrame, stop_words, stemmed: bool, chunked: bool, key: str) -> DataFrame:
     if chunked:
         rows = chunk_rows(rows.withColumnRenamed(key, "doc_id")).withColumnRenamed("doc_id", key)
