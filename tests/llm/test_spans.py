@@ -102,11 +102,11 @@ def brute_terms(texts, reach=80, generalise=0.6, remove=0.85):
     out = []
     for i, t in enumerate(texts):
         own = {}
-        for j, e, _, _ in uses:
+        for j, e, _, near in uses:
             if j == i:
-                for (x, w), strength in told.items():
-                    if x == e:
-                        own[w] = max(own.get(w, 0), strength)
+                for w in near:
+                    own[w] = max(own.get(w, 0), told.get((e, w), 0))
+        own = {w: strength for w, strength in own.items() if strength}
         out.append([f"{'removed' if own[m[0].lower()] >= remove else 'term'}:{m.start()}:{m.end()}" for m in word.finditer(t) if m[0].lower() in own and not any(x < m.end() and m.start() < y for x, y, _, _ in base[i])])
     return out
 

@@ -114,14 +114,14 @@ def disclosure(uses: DataFrame, rows: DataFrame, texts: DataFrame, least: float,
 
 
 def revealing(rows: DataFrame, texts: DataFrame, generalise: float = 0.6, remove: float = 0.85) -> DataFrame:
-    """Spans of revealing terms of each row (row, added): every place of a term in a text that holds an entity it reveals.
+    """Spans of revealing terms of each row (row, added): every place of a term in a text where it stands near an entity that it reveals.
 
     ``rows``: written rows with row, base, near, terms, and text where there are base spans.
     """
     uses = rows.select("row", F.explode("near").alias("n")).select("row", F.explode("n.entities").alias("entity"), "n.context", "n.near")
     told = disclosure(uses, rows, texts, generalise)
     act = F.when(F.max("strength") >= remove, "removed").otherwise("term")
-    of_row = uses.select("row", "entity").distinct().join(told, "entity").groupBy("row", "term").agg(act.alias("kind"))
+    of_row = uses.select("row", "entity", F.explode("near").alias("term")).join(told, ["entity", "term"]).groupBy("row", "term").agg(act.alias("kind"))
     of_row = of_row.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("term", "kind"))).alias("told"))
     found = F.transform(matches(F.col("text"), TERM), lambda m: F.struct(m["start"].alias("start"), F.lit(len(KINDS)).alias("rank"), F.element_at(F.col("told"), F.lower(m["value"])).alias("kind"), m["end"].alias("end")))
     placed = F.filter(F.filter(found, lambda m: m["kind"].isNotNull()), lambda m: ~overlaps(F.col("base"), m["start"], m["end"]))
