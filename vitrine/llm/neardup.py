@@ -345,14 +345,14 @@ def _meetings(rest: DataFrame, words: DataFrame, similarity: float, block: int)
     of = ["bucket", "sub"]
     low, high = F.min("component").alias("low"), F.max("component").alias("high")
     size = rest.groupBy("bucket").agg(low, high, F.count("*").alias("texts")).where("low != high").select("bucket", "texts")
-    sized = staged(rest.join(size, "bucket"))
+    sized = staged(rest.join(size, "bucket"), narrow=True)
     groups = sized.where(F.col("texts") <= block).select("bucket", F.lit(0).cast("long").alias("sub"), "node", "component")
     hot = sized.where(F.col("texts") > block)
     if not hot.isEmpty():
         groups = staged(groups.unionByName(_parted(hot.drop("texts"), words, similarity, block)))
     several = groups.groupBy(*of).agg(low, high).where("low != high").select(*of)
     order = Window.partitionBy(*of).orderBy("component", "node")
-    dealt = staged(groups.join(several, of).withColumn("own", F.floor((F.row_number().over(order) - 1) / block).cast("int")))
+    dealt = staged(groups.join(several, of).withColumn("own", F.floor((F.row_number().over(order) - 1) / block).cast("int")), narrow=True)
     blocks = dealt.groupBy(*of, "own").agg(low, high)
     left, right = blocks.toDF(*of, "i", "low_i", "high_i"), blocks.toDF(*of, "j", "low_j", "high_j")
     meet = left.join(right, of).where("i <= j and not (low_i = high_i and low_j = high_j and low_i = low_j)").select(*of, "i", "j")
@@ -458,8 +458,8 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataF
     entries = nodes.mapInArrow(tidy(_entries), "bucket bigint, turned bigint, node bigint")
     # leader and last of a bucket in its entry's order: equal where it has one text
     led = entries.groupBy("bucket").agg(F.min(F.struct("turned", "node")).alias("low"), F.max("turned").alias("high")).where("low.turned != high").select("bucket", F.col("low.node").alias("leader"))
-    members = staged(entries.select("bucket", "node").join(led, "bucket"))
-    candidates = staged(members.where("node != leader").groupBy("node", "leader").agg(F.count("*").alias("times")))
+    members = staged(entries.select("bucket", "node").join(led, "bucket"), narrow=True)
+    candidates = staged(members.where("node != leader").groupBy("node", "leader").agg(F.count("*").alias("times")), narrow=True)
 
     copied = rows.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node")
     bitmap = np.packbits(gathered(members.select("node").union(copied), _marks, FILTER_BITS) > 0)  # where it is full, more rows pass
@@ -512,7 +512,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     """
     rows, found, _ = near_classes(docs, similarity)
     placed = rows.join(found, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component"))
-    sizes = staged(placed.groupBy("component").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")))  # apart from the join, which can then split a large class
+    sizes = staged(placed.groupBy("component").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")), narrow=True)  # apart from the join, which can then split a large class
     return placed.join(sizes, "component").select("doc_id", "class_id", "class_size")
 
 
