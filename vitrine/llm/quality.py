@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import whole_text
 from .gather import gathered
-from .textbytes import Hasher, U, mix, row_bounds, slices, tidy, utf8
+from .textbytes import Hasher, U, row_bounds, slices, tidy, utf8
 
 WORDS, SHAPES, DIM, REACH = 8192, 128, 32, 2
 _CASE = np.arange(256, dtype=np.uint8)
