@@ -10,7 +10,7 @@ from .functions.chunk import SIZE
 from .functions.stem import stem_terms
 from .functions.vectors import patches
 from .operators import index, knn, ranking
-from .queries import ORACLES, QUERIES, SQL_RECORD, TF, _records, benchmark, docs, query, query_tf, sql_scores, sql_top, table, text_index, vector_queries, vectors
+from .queries import CODEBOOK, ORACLES, QUERIES, SQL_RECORD, TF, _records, benchmark, centres, docs, query, query_tf, sql_scores, sql_top, table, text_index, vector_queries, vectors
 from .sources import sinks, tables
 from .streaming import incremental
 
@@ -205,3 +205,24 @@ def lsh_recall(spark, sf_dir):
 def ivf_recall(spark, sf_dir):
     """The same of search by lists."""
     return measured_recall(spark, sf_dir, QUERIES["ivf_knn"](spark, sf_dir))
+
+
+def inertia(found, centres: np.ndarray) -> float:
+    """Sum of squared distances of all vectors to their nearest centre."""
+
+    def run(frames):
+        for frame in frames:
+            if len(frame):
+                x = np.stack(frame.embedding.to_numpy()).astype(np.float64)
+                far = (x**2).sum(axis=1)[:, None] - 2 * x @ centres.T + (centres**2).sum(axis=1)[None, :]
+                yield pd.DataFrame({"part": [float(far.min(axis=1).sum())]})
+
+    return found.select("embedding").mapInPandas(run, "part double").agg(F.sum("part")).first()[0]
+
+
+@query("SELECT true AS closer")
+def kmeans_inertia(spark, sf_dir):
+    """Whether the k-means codebook lies closer to all vectors than as many of them do."""
+    found = vectors(spark, sf_dir)
+    made = inertia(found, index.kmeans_codebook(found, CODEBOOK))
+    return spark.createDataFrame([(bool(made < 0.95 * inertia(found, centres(spark, sf_dir, CODEBOOK))),)], "closer boolean")
