@@ -81,7 +81,7 @@ def main() -> None:
     visual = index.visual_frequencies(images.where("doc_id < 50").withColumnRenamed("doc_id", "query_id"), centres, key="query_id").cache()
     n_visual = visual.select("query_id").distinct().count()
 
-    timed("text_search_one", lambda: collect(ranking.top_k(index.score(text, one), K)), 1)
+    timed("text_search_one", lambda: collect(ranking.top_k(index.score(text, one, lookup=True), K)), 1)
     timed("text_search_batch", lambda: collect(ranking.top_k(index.score(text, asked), K)), n_text)
     timed("text_scan_batch", lambda: collect(ranking.top_k(index.score_linear(text.postings.select("term", "doc_id", "tf"), asked, n_docs), K)), n_text, warm=False)
     timed("fulltext_batch", lambda: collect(ranking.top_k(fulltext.search_all(text, asked), K)), n_text)

@@ -17,8 +17,8 @@ from ..functions.vectors import nearest_codeword
 
 #: Ids of documents whose first occurrences are numbered in one task; and of a block of a posting list.
 VOCABULARY_RANGE, POSTING_RANGE = 1 << 16, 1 << 20
-#: Weights of query terms that are sent to a scan, and codewords that filter it.
-MOST_WEIGHTS, FEW_WORDS = 100_000, 200
+#: Weights of query terms that are sent to a scan as its filter; more are joined.
+MOST_WEIGHTS = 200
 
 
 def token_stream(docs: DataFrame, stop_words: list[str] = []) -> DataFrame:  # noqa: B006
@@ -191,14 +191,14 @@ def query_weights(query_tf: DataFrame, idf: DataFrame, codeword: str) -> DataFra
     return _raw_weights(query_tf, idf, codeword).select("query_id", codeword, (F.col("raw") / norm).alias("query_weight"))
 
 
-def score(index: Index, query_tf: DataFrame, most: int = MOST_WEIGHTS) -> DataFrame:
+def score(index: Index, query_tf: DataFrame, lookup: bool = False, most: int = MOST_WEIGHTS) -> DataFrame:
     """Cosine of every document that shares a codeword with a query: one join and one sum.
 
-    The weights of up to ``most`` query terms are looked up first and go to the
-    scan of the postings, their codewords as its filter where they are few; more are joined.
+    With ``lookup``, for one query or a few, the weights of up to ``most`` query
+    terms are found first and go to the scan of the postings, their codewords as its filter.
     """
-    rows = _raw_weights(query_tf, index.idf, index.codeword).limit(most + 1).collect()
-    if len(rows) > most:
+    rows = _raw_weights(query_tf, index.idf, index.codeword).limit(most + 1).collect() if lookup else None
+    if rows is None or len(rows) > most:
         hits = index.postings.join(query_weights(query_tf, index.idf, index.codeword), index.codeword)
     else:
         size: dict = {}
@@ -206,9 +206,8 @@ def score(index: Index, query_tf: DataFrame, most: int = MOST_WEIGHTS) -> DataFr
             size[r.query_id] = size.get(r.query_id, 0.0) + r.raw * r.raw
         schema = query_tf.select("query_id").schema.add(index.postings.schema[index.codeword]).add("query_weight", "double")
         asked = query_tf.sparkSession.createDataFrame([(r.query_id, r[1], r.raw / math.sqrt(size[r.query_id])) for r in rows], schema)
-        words = {r[1] for r in rows}
-        postings = index.postings.where(F.col(index.codeword).isin(sorted(words))) if len(words) <= FEW_WORDS else index.postings
-        hits = postings.join(F.broadcast(asked), index.codeword)
+        words = sorted({r[1] for r in rows})
+        hits = index.postings.where(F.col(index.codeword).isin(words)).join(F.broadcast(asked), index.codeword)
     return hits.groupBy("query_id", "doc_id").agg(F.sum(F.col("weight") * F.col("query_weight")).alias("score"))
 
 
