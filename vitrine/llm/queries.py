@@ -7,6 +7,7 @@ from .divergence import divergence
 from .fingerprint import edited_fingerprints
 from .mixing import mix_sources
 from .neardup import near_duplicates
+from .ngrams import language_model_scores
 from .packing import pack
 from .pii import find_pii
 from .quality import classify_quality
@@ -144,3 +145,37 @@ every AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(va
           UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM p WHERE n > 0 AND p > q)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM every) WHERE part = 'pair' OR rank <= 200
 """
+
+
+@query
+def op12_ngram_scores(spark, sf_dir):
+    return language_model_scores(documents(spark, sf_dir)).drop("perplexity")
+
+
+def sql_crc32(text: str) -> str:
+    """The checksum bit by bit, as DuckDB has no function for it."""
+    byte = "list_reduce([xor(c, b)] || [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))"
+    return f"xor(list_reduce([4294967295::BIGINT] || list_transform(string_split({text}, ''), lambda s: ascii(s)::BIGINT), lambda c, b: {byte}), 4294967295)"
+
+
+ORACLES["op12_ngram_scores"] = rf"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS i, {sql_crc32("doc_id::VARCHAR")} % 7 = 2 AS held_out,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+tok AS (SELECT i, held_out, unnest(words || [' ']) AS w, unnest([''] || words) AS v FROM d),
+u AS (SELECT w, count(*) AS c FROM tok WHERE NOT held_out GROUP BY w),
+s AS (SELECT sum(c)::BIGINT AS n, count(*) AS kinds FROM u),
+b AS (SELECT v, w, count(*) AS c FROM tok WHERE NOT held_out GROUP BY ALL),
+k AS (SELECT w, count(*) AS c FROM b GROUP BY w),
+x AS (SELECT v, sum(c) AS total, count(*) FILTER (c = 1) AS a1, count(*) FILTER (c = 2) AS a2, count(*) FILTER (c > 2) AS a3 FROM b GROUP BY v),
+t AS (SELECT 1 AS level, c FROM k UNION ALL SELECT 2, c FROM b),
+o AS (SELECT level, count(*) FILTER (c = 1)::DOUBLE AS t1, count(*) FILTER (c = 2) AS t2, count(*) FILTER (c = 3) AS t3, count(*) FILTER (c = 4) AS t4,
+             count(*) FILTER (c > 2) AS more, sum(c) AS total, count(*) AS kinds FROM t GROUP BY level),
+e AS (SELECT *, 1 - 2 * t1 / (t1 + 2 * t2) * t2 / t1 AS d1, 2 - 3 * t1 / (t1 + 2 * t2) * t3 / t2 AS d2, 3 - 4 * t1 / (t1 + 2 * t2) * t4 / t3 AS d3 FROM o),
+f AS (SELECT level, t1, t2, more, total, kinds, unnest([CASE WHEN least(t1, t2, t3, t4) > 0 AND d1 BETWEEN 0 AND 1 AND d2 BETWEEN 0 AND 2 AND d3 BETWEEN 0 AND 3 THEN [0, d1, d2, d3] ELSE [0, 0.5, 1, 1.5] END]) AS d FROM e),
+p AS (SELECT tok.i, coalesce(u.c, 0) AS c, (greatest(coalesce(k.c, 0) - f1.d[least(coalesce(k.c, 0), 3) + 1], 0) + (f1.d[2] * f1.t1 + f1.d[3] * f1.t2 + f1.d[4] * f1.more) / (f1.kinds + 1)) / f1.total AS p1,
+             greatest(coalesce(b.c, 0) - f2.d[least(coalesce(b.c, 0), 3) + 1], 0) AS c2, x.total, f2.d[2] * a1 + f2.d[3] * a2 + f2.d[4] * a3 AS spared
+      FROM tok LEFT JOIN u USING (w) LEFT JOIN k USING (w) LEFT JOIN b USING (v, w) LEFT JOIN x USING (v), (SELECT * FROM f WHERE level = 1) f1, (SELECT * FROM f WHERE level = 2) f2),
+r AS (SELECT i, count(*) AS n_tokens, count(*) FILTER (c > 0) AS n_known, fsum(log10((c + 1) / (n + kinds + 1))) AS base, fsum(log10(CASE WHEN total > 0 THEN (c2 + spared * p1) / total ELSE p1 END)) AS score
+      FROM p, s GROUP BY i)
+SELECT doc_id, held_out, n_tokens, n_known, n AS train_tokens, round(base, 9) AS base_score, round(score, 9) AS score FROM d JOIN r USING (i), s
+"""

@@ -176,3 +176,12 @@ def folded(data: np.ndarray) -> np.ndarray:
     if len(out) > 1:
         out[1:] += ((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)) * np.uint8(32)
     return out
+
+
+_SMALL = np.arange(256, dtype=np.uint8)
+_SMALL[0x41:0x5B] += 32
+
+
+def lowered(data: np.ndarray) -> np.ndarray:
+    """The bytes with ASCII capitals made small."""
+    return _SMALL[data]
