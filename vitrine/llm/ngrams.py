@@ -276,8 +276,8 @@ def score_texts(rows: DataFrame, model: NGrams, *keep: str) -> DataFrame:
             yield from table.to_batches(max_chunksize=1 << 14)
 
     rows = rows.select(*keep, whole_text().alias("text"))
-    kept = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(tidy(run), f"{kept}, {SCORES}")
+    kept = [f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
+    return rows.mapInArrow(tidy(run), ", ".join([*kept, SCORES]))
 
 
 def held_out(doc_id: Column, folds: int, fold: int) -> Column:
