@@ -1,7 +1,7 @@
 """Language-model scores: interpolated modified Kneser-Ney n-grams.
 
 Tasks count the n-grams of a block of texts and send them, in packed arrays, to
-ranges of their 64-bit hashes. The task of a range adds the counts up, writes
+ranges of their 64-bit hashes, over which a context is spread by a salt. The task of a range adds the counts up, writes
 them as a file of sorted hashes and counts, and sends on what the order below
 needs: each distinct n-gram counts once for the n-gram without its first word.
 Sums over the words that follow a context meet in ranges of contexts. Scoring
@@ -34,6 +34,24 @@ PLAIN = (0.5, 1.0, 1.5)
 GRAMS, CONTEXTS, WORDS, TOTALS = range(4)
 MESSAGE = "kind int, level int, part bigint, data binary, totals array<bigint>"
 NONE = np.empty(0, np.int64)
+#: Bits of a key that hold the place of its context.
+PLACE = U(0xFFFF << 48)
+
+
+def salts(parts: int) -> int:
+    """Places among which the n-grams of one context are spread, so that a third of all n-grams is no more than other ranges hold."""
+    return -(-parts // 3)
+
+
+def gram_keys(context: np.ndarray, words: np.ndarray, parts: int) -> np.ndarray:
+    """Hash of each n-gram; its upper bits are from the context and a salt of the word, so a range holds few contexts."""
+    return (join(context, words % U(salts(parts))) & PLACE) | (join(context, words) & ~PLACE)
+
+
+def _narrow(numbers: np.ndarray) -> np.ndarray:
+    """Numbers from 0 in the least bytes."""
+    most = int(numbers.max(initial=0))
+    return numbers.astype(next(k for k in (np.uint8, np.uint16, np.uint32, np.int64) if most <= np.iinfo(k).max))
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -70,7 +88,7 @@ def _rows(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
 
 def _word_rows(kind: int, keys: np.ndarray, counts: np.ndarray, parts: int) -> list[tuple]:
     """Messages of sorted words and their counts."""
-    return [(kind, 1, i, pack(keys=keys[a:b], counts=counts[a:b].astype(np.uint32)), None) for i, a, b in by_part(keys, parts)]
+    return [(kind, 1, i, pack(keys=keys[a:b], counts=_narrow(counts[a:b])), None) for i, a, b in by_part(keys, parts)]
 
 
 def _gram_rows(columns: list[np.ndarray], words: np.ndarray, parts: int) -> list[tuple]:
@@ -87,7 +105,7 @@ def _gram_rows(columns: list[np.ndarray], words: np.ndarray, parts: int) -> list
         _, first, context = np.unique(above[0], return_index=True, return_inverse=True)
         word, number = np.unique(words[a : a + PIECE], return_inverse=True)
         bits = max(1, int(PIECE - 1).bit_length())
-        part = part_of(join(above[0], words[a : a + PIECE]), parts)
+        part = part_of(gram_keys(above[0], words[a : a + PIECE], parts), parts)
         grams, counts = distinct((part << (2 * bits)) | (context << bits) | number)
         at = np.searchsorted(grams >> (2 * bits), np.arange(parts + 1))
         mask = (1 << bits) - 1
@@ -96,8 +114,7 @@ def _gram_rows(columns: list[np.ndarray], words: np.ndarray, parts: int) -> list
             follows, runs = distinct((own >> bits) & mask)
             named, place = np.unique(own & mask, return_inverse=True)
             data = {f"context{k}": c[first[follows]] for k, c in enumerate(above)}
-            small = np.uint16 if len(named) < 1 << 16 else np.uint32
-            out.append((GRAMS, len(columns) + 1, i, pack(**data, runs=runs.astype(np.uint32), words=word[named], place=place.astype(small), counts=counts[at[i] : at[i + 1]].astype(np.uint32)), None))
+            out.append((GRAMS, len(columns) + 1, i, pack(**data, runs=_narrow(runs), words=word[named], place=_narrow(place), counts=_narrow(counts[at[i] : at[i + 1]])), None))
     return out
 
 
@@ -133,7 +150,7 @@ def _merge(folder: str, parts: int):
             column = lambda name: np.concatenate([x[name] for x in sent])
             if kind == CONTEXTS:
                 keys, *sums = added(column("keys"), *(column(n) for n in ("total", "ones", "twos", "more")))
-                save(folder, f"contexts{level}-{part}", keys=keys, **{n: x for n, x in zip(("total", "ones", "twos", "more"), sums, strict=True)})
+                save(folder, f"contexts{level}-{part}", keys=keys, **{n: _narrow(x) for n, x in zip(("total", "ones", "twos", "more"), sums, strict=True)})
                 rows = []
             elif level == 1:
                 keys, counts = added(column("keys"), column("counts"))
@@ -150,7 +167,7 @@ def _merge(folder: str, parts: int):
 def _merge_grams(folder: str, level: int, part: int, sent: list[dict[str, np.ndarray]], parts: int) -> list[tuple]:
     columns = [np.concatenate([np.repeat(x[f"context{k}"], x["runs"]) for x in sent]) for k in range(level - 1)]
     words = np.concatenate([x["words"][x["place"]] for x in sent])
-    keys = join(columns[0], words)
+    keys = gram_keys(columns[0], words, parts)
     order = np.argsort(keys)
     keys = keys[order]
     first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
@@ -161,7 +178,7 @@ def _merge_grams(folder: str, level: int, part: int, sent: list[dict[str, np.nda
     above, *sums = added(columns[0], counts, counts == 1, counts == 2, counts > 2)
     rows = [_totals(level, counts), *_gram_rows(columns[1:], words, parts)]
     for i, a, b in by_part(above, parts):
-        rows.append((CONTEXTS, level, i, pack(keys=above[a:b], **{n: x[a:b] for n, x in zip(("total", "ones", "twos", "more"), sums, strict=True)}), None))
+        rows.append((CONTEXTS, level, i, pack(keys=above[a:b], **{n: _narrow(x[a:b]) for n, x in zip(("total", "ones", "twos", "more"), sums, strict=True)}), None))
     return rows
 
 
@@ -225,7 +242,7 @@ class NGrams:
             p = np.ones(len(kinds))
         p = p[place]
         for m, context in zip(range(2, self.order + 1), reversed(contexts(word, bounds, self.order)), strict=True):
-            keys, own = np.unique(join(context, word), return_inverse=True)
+            keys, own = np.unique(gram_keys(context, word, self.parts), return_inverse=True)
             count = self.levels[m].discounted(self._seek(f"grams{m}", keys, [])[0])[own]
             keys, own = np.unique(context, return_inverse=True)
             total, *more = self._seek(f"contexts{m}", keys, ["total", "ones", "twos", "more"])
