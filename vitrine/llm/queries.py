@@ -9,6 +9,7 @@ from .mixing import mix_sources
 from .neardup import near_duplicates
 from .ngrams import language_model_scores
 from .packing import pack
+from .phrases import collocations
 from .pii import find_pii
 from .quality import classify_quality
 from .repeats import remove_repeats
@@ -179,3 +180,25 @@ r AS (SELECT i, count(*) AS n_tokens, count(*) FILTER (c > 0) AS n_known, fsum(l
       FROM p, s GROUP BY i)
 SELECT doc_id, held_out, n_tokens, n_known, n AS train_tokens, round(base, 9) AS base_score, round(score, 9) AS score FROM d JOIN r USING (i), s
 """
+
+
+@query
+def op13_collocations(spark, sf_dir):
+    return collocations(documents(spark, sf_dir))
+
+
+ORACLES["op13_collocations"] = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+f AS (SELECT lang, phrase, count(*) AS f FROM (SELECT lang, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM w, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(w) >= k) GROUP BY ALL),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+c AS (SELECT lang, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE f >= 30 AND contains(phrase, ' ')),
+k AS (SELECT lang, phrase, a, cut, array_to_string(w[1:cut], ' ') AS first, array_to_string(w[cut + 1:], ' ') AS rest FROM c, (SELECT unnest([1, 2, 3]) AS cut) WHERE cut < len(w)),
+s AS (SELECT k.lang, k.phrase, a, cut, x.f AS l, y.f AS r, (2000000::HUGEINT * a // (x.f + y.f))::BIGINT AS score
+      FROM k JOIN f x ON x.lang = k.lang AND x.phrase = k.first JOIN f y ON y.lang = k.lang AND y.phrase = k.rest
+      QUALIFY row_number() OVER (PARTITION BY k.lang, k.phrase ORDER BY score, cut) = 1),
+i AS (SELECT lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' '), array_to_string(w[3:4], ' '), array_to_string(w[1:3], ' '), array_to_string(w[2:4], ' ')]) AS phrase, phrase AS longer FROM c WHERE len(w) > 2),
+x AS (SELECT DISTINCT c.lang, c.phrase FROM c JOIN i ON i.lang = c.lang AND i.phrase = c.phrase AND i.longer <> c.phrase WHERE 100 * i.a >= 80 * c.a)
+SELECT * FROM (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+               FROM s ANTI JOIN x USING (lang, phrase) JOIN n USING (lang)) WHERE rank <= 2000
+"""
