@@ -1,9 +1,12 @@
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from vitrine.functions.vectors import descriptors, grey, nearest_codeword, patches
-from vitrine.operators import evaluate, index, knn, ranking
+from vitrine.operators import evaluate, fulltext, index, knn, ranking
+from vitrine.operators.index import build_index, score, term_frequencies
 from vitrine.plans.engine import Engine, enriched, formatted
 from vitrine.sources import sinks, tables
 
@@ -270,3 +273,52 @@ def test_strict_decoding(spark):
     assert descriptors(images, lambda b: None, lambda m: m).count() == 0
     with pytest.raises(Exception, match="cannot be decoded"):
         descriptors(images, lambda b: None, lambda m: m, strict=True).collect()
+
+
+def test_proximity(spark):
+    """Against the definition, place by place: stop words leave gaps, equal stems are one lexeme."""
+    import math
+    import random
+
+    r = random.Random(4)
+    words = ["red", "shirts", "shirt", "the", "blue", "watch", "x1"]
+    texts = [" ".join(r.choices(words, k=r.choice([3, 20, 400]))) for _ in range(60)] + ["", None, "red " + "pad " * 150 + "watch", "RED, red; Red"]
+    postings = fulltext.positions(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), ["the"], stemmed=True)
+    queries = ["red shirt", "shirts", "the", "", "red the blue watch", "red unseen", "watch red"]
+    asked = fulltext.query_lexemes(tables.query_frame(spark, queries), ["the"], stemmed=True)
+    found = {(x.query_id, x.doc_id): x.score for x in fulltext.search_near(postings, asked).collect()}
+
+    def lexemes(text):
+        return [(i, w.removesuffix("s")) for i, w in enumerate(re.findall("[a-z0-9]+", (text or "").lower())) if w != "the"]
+
+    want = {}
+    for q, query in enumerate(queries):
+        terms = {w for _, w in lexemes(query)}
+        for d, text in enumerate(texts):
+            places = [(i, w) for i, w in lexemes(text) if w in terms]
+            if not terms or {w for _, w in places} != terms:
+                continue
+            if len(terms) == 1:
+                want[q, d] = 0.1 * sum(1 / (n + 1) ** 2 for n in range(len(places))) / 1.64493406685
+            else:
+                rest = 1.0
+                for i, (a, v) in enumerate(places):
+                    for b, w in places[i + 1 :]:
+                        if v != w and b - a <= 100:
+                            rest *= 1 - math.sqrt(0.01 / (1.005 + 0.05 * math.exp((b - a) / 1.5 - 2)))
+                want[q, d] = 1 - rest
+    assert found.keys() == want.keys() and len(want) > 40
+    assert all(found[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+
+
+def test_one_query_by_idf_at_hand(spark, products, monkeypatch):
+    """The same rows with the idf at hand, with too many codewords to keep, and with too many query terms."""
+    built = build_index(term_frequencies(products.select("doc_id", "text")), 4)
+    tf = term_frequencies(tables.query_frame(spark, ["navy blue shirts unseen", "silver watch watch", ""]), key="query_id")
+    want = sorted((r.query_id, r.doc_id, round(r.score, 9)) for r in score(built, tf).collect())
+    rows = lambda **o: sorted((r.query_id, r.doc_id, round(r.score, 9)) for r in score(built, tf, lookup=True, **o).collect())
+    assert rows() == want and built.kept
+    assert rows(most=2) == want
+    built.kept = None
+    monkeypatch.setattr("vitrine.operators.index.MOST_KEPT", 2)
+    assert rows() == want and not built.kept

@@ -42,7 +42,7 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
     engine = Engine.read(spark, given.path)
     texts = spark.createDataFrame([(0, given.text)], "query_id long, text string") if given.text else None
     images = spark.createDataFrame([(0, [float(x) for x in given.vector.split(",")])], "query_id long, vector array<double>") if given.vector else None
-    found = formatted(engine.search(texts, images, k=given.k, engine=given.engine)).orderBy("rank").collect()
+    found = formatted(engine.search(texts, images, k=given.k, engine=given.engine, few=True)).orderBy("rank").collect()
     for r in found:
         print(r.rank, r.id, r.match_percentage, r.name, sep="\t")
     return found

@@ -1,12 +1,17 @@
-"""Boolean full-text search: documents with every term of the query, ranked by cosine."""
+"""Boolean full-text search: documents with every term of the query, ranked by nearness of the terms or by cosine."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.stem import stem_terms
+from ..functions.text import tokens, without
 from .index import Index, score
 
+#: Weight of a lexeme without a label, sum of 1/n^2, and the words beyond which two lexemes are not near (fixed values).
+PLAIN_WEIGHT, ALL_SQUARES, NEAR = 0.1, 1.64493406685, 100
+
 
 def lexemes(tf: DataFrame) -> DataFrame:
     """doc_id and its sorted distinct terms."""
@@ -26,3 +31,55 @@ def search_all(index: Index, query_tf: DataFrame) -> DataFrame:
     a term that is in every document matches and weighs nothing."""
     matched = match_all(index.postings, query_tf)
     return matched.join(score(index, query_tf), ["query_id", "doc_id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+
+
+def positions(docs: DataFrame, stop_words: list[str] = [], stemmed: bool = False, key: str = "doc_id") -> DataFrame:  # noqa: B006
+    """Positional postings: key, term and the places, from 1, of its tokens in order. Stop words leave gaps; stems are
+    looked up by distinct term. Null and empty texts have none; repeated rows of a key are one document."""
+    words = docs.select(key, F.posexplode(tokens(F.col("text"))).alias("pos", "term"))
+    if stop_words:
+        words = words.where(~F.col("term").isin(*stop_words))
+    if stemmed:
+        words = words.join(stem_terms(words), "term").select(key, "pos", F.col("stem").alias("term"))
+    return words.groupBy(key, "term").agg(F.sort_array(F.collect_list(F.col("pos") + 1)).alias("positions"))
+
+
+def query_lexemes(queries: DataFrame, stop_words: list[str] = [], stemmed: bool = False) -> DataFrame:  # noqa: B006
+    """query_id and its distinct terms, made as those of documents are."""
+    words = queries.select("query_id", F.explode(F.array_distinct(without(tokens(F.col("text")), stop_words))).alias("term"))
+    if stemmed:
+        words = words.join(stem_terms(words), "term").select("query_id", F.col("stem").alias("term"))
+    return words.distinct()
+
+
+def nearness(distance: Column) -> Column:
+    """What two unlabelled lexemes at a distance add to a rank, from 0 to 1: about a tenth side by side, next to nothing beyond ten words."""
+    return PLAIN_WEIGHT / F.sqrt(1.005 + 0.05 * F.exp(distance / 1.5 - 2))
+
+
+def search_near(postings: DataFrame, asked: DataFrame) -> DataFrame:
+    """query_id, doc_id and score of the documents that have all lexemes of a query, higher the nearer they stand.
+
+    ``postings`` comes from ``positions``, ``asked`` from ``query_lexemes``. Every
+    two places of different lexemes that are at most NEAR words apart speak for the
+    document independently: 1 less the product of 1 - nearness. A query of one
+    lexeme ranks by its occurrences, the n-th of which adds 1/n^2. This is a
+    database's rank for unlabelled lexemes, without its limits on places.
+
+    Places meet by query, document and stretch of NEAR words, so a long document
+    spreads, and no two places further apart than two stretches are compared.
+    """
+    matched = match_all(postings, asked)
+    need = asked.groupBy("query_id").agg(F.count("*").alias("need"))
+    hits = postings.join(asked, "term").join(matched, ["query_id", "doc_id"]).join(need, "query_id")
+    squares = F.aggregate(F.sequence(F.lit(1), F.size("positions")), F.lit(0.0), lambda s, n: s + 1.0 / (n * n))
+    alone = hits.where("need = 1").select("query_id", "doc_id", (squares * PLAIN_WEIGHT / ALL_SQUARES).alias("score"))
+    places = hits.where("need > 1").select("query_id", "doc_id", "term", F.explode("positions").alias("pos"))
+    stretch = F.floor(F.col("pos") / NEAR)
+    left = places.withColumn("stretch", stretch)
+    right = places.select("query_id", "doc_id", F.col("term").alias("other"), F.col("pos").alias("place"), F.explode(F.array(stretch, stretch - 1)).alias("stretch"))
+    distance = F.col("place") - F.col("pos")
+    pairs = left.join(right, ["query_id", "doc_id", "stretch"]).where((F.col("term") != F.col("other")) & distance.between(1, NEAR))
+    near = pairs.groupBy("query_id", "doc_id").agg((1 - F.exp(F.sum(F.log(1 - nearness(distance))))).alias("score"))
+    several = matched.join(need, "query_id").where("need > 1").select("query_id", "doc_id", F.lit(0.0).alias("score"))
+    return alone.unionByName(several.unionByName(near)).groupBy("query_id", "doc_id").agg(F.max("score").alias("score"))

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import reduce
 
 import numpy as np
@@ -17,8 +18,8 @@ from ..functions.vectors import nearest_codeword
 
 #: Ids of documents whose first occurrences are numbered in one task; and of a block of a posting list.
 VOCABULARY_RANGE, POSTING_RANGE = 1 << 16, 1 << 20
-#: Weights of query terms that are sent to a scan as its filter; more are joined.
-MOST_WEIGHTS = 200
+#: Weights of query terms that are sent to a scan as its filter; more are joined. Codewords whose idf is kept in the driver.
+MOST_WEIGHTS, MOST_KEPT = 200, 10_000
 
 
 def token_stream(docs: DataFrame, stop_words: list[str] = []) -> DataFrame:  # noqa: B006
@@ -110,6 +111,14 @@ class Index:
     idf: DataFrame
     norms: DataFrame
     codeword: str
+    kept: dict | None = field(default=None, repr=False, compare=False)
+
+    def at_hand(self) -> dict | None:
+        """idf by codeword, read once, of an index of a codebook; None for one of more than MOST_KEPT codewords."""
+        if self.kept is None:
+            rows = self.idf.select(self.codeword, "idf").limit(MOST_KEPT + 1).collect()
+            self.kept = {r[0]: r.idf for r in rows} if len(rows) <= MOST_KEPT else {}
+        return self.kept or None
 
     def write(self, path: str) -> None:
         self.idf.write.mode("overwrite").parquet(f"{path}/idf")
@@ -195,22 +204,37 @@ def score(index: Index, query_tf: DataFrame, lookup: bool = False, most: int = M
     """Cosine of every document that shares a codeword with a query: one join and one sum.
 
     With ``lookup``, for one query or a few, the weights of up to ``most`` query
-    terms are found first and go to the scan of the postings, their codewords as its filter.
+    terms are found first and are part of the scan of the postings, their codewords
+    its filter; a codebook's idf is at hand, so that is one job over the index.
     """
-    rows = _raw_weights(query_tf, index.idf, index.codeword).limit(most + 1).collect() if lookup else None
+    rows = _found_weights(index, query_tf, most + 1) if lookup else None
     if rows is None or len(rows) > most:
         hits = index.postings.join(query_weights(query_tf, index.idf, index.codeword), index.codeword)
     else:
         size: dict = {}
-        for r in rows:
-            size[r.query_id] = size.get(r.query_id, 0.0) + r.raw * r.raw
-        schema = query_tf.select("query_id").schema.add(index.postings.schema[index.codeword]).add("query_weight", "double")
-        asked = query_tf.sparkSession.createDataFrame([(r.query_id, r[1], r.raw / math.sqrt(size[r.query_id])) for r in rows], schema)
-        words = sorted({r[1] for r in rows})
-        hits = index.postings.where(F.col(index.codeword).isin(words)).join(F.broadcast(asked), index.codeword)
+        for query_id, _, raw in rows:
+            size[query_id] = size.get(query_id, 0.0) + raw * raw
+        by_word: dict = {}
+        for query_id, word, raw in rows:
+            by_word.setdefault(str(word), []).append({"q": query_id, "w": raw / math.sqrt(size[query_id])})
+        kind = query_tf.schema["query_id"].dataType.simpleString()
+        asked = F.from_json(F.lit(json.dumps(by_word)), f"map<string, array<struct<q: {kind}, w: double>>>")
+        words = sorted({word for _, word, _ in rows})
+        hits = index.postings.where(F.col(index.codeword).isin(words)).withColumn("asked", F.explode(F.element_at(asked, F.col(index.codeword).cast("string"))))
+        hits = hits.withColumns({"query_id": F.col("asked.q"), "query_weight": F.col("asked.w")})
     return hits.groupBy("query_id", "doc_id").agg(F.sum(F.col("weight") * F.col("query_weight")).alias("score"))
 
 
+def _found_weights(index: Index, query_tf: DataFrame, most: int) -> list[tuple]:
+    """query_id, codeword and weight of up to ``most`` query terms."""
+    known = index.at_hand()
+    if known is None:
+        return [tuple(r) for r in _raw_weights(query_tf, index.idf, index.codeword).limit(most).collect()]
+    rows = query_tf.where("tf > 0").where(F.col(index.codeword).isNotNull()).select("query_id", index.codeword, "tf").limit(MOST_KEPT).collect()
+    found = [(r.query_id, r[1], r.tf * known[r[1]]) for r in rows if known.get(r[1])]
+    return found if len(rows) < MOST_KEPT else [(None, None, 0.0)] * most
+
+
 def score_linear(tf: DataFrame, query_tf: DataFrame, n_docs: int, codeword: str = "term", block: int = 100_000) -> DataFrame:
     """The same cosine by a scan of all document vectors, without an index; documents of score 0 go.
 

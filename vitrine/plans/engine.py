@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.chunk import chunk_rows
 from ..functions.text import FIELDS, unpack_record
 from ..functions.vectors import matrix
-from ..operators.fulltext import search_all
+from ..operators.fulltext import positions, query_lexemes, search_near
 from ..operators.index import Index, build_index, score, term_frequencies, visual_frequencies, write_index
 from ..operators.knn import knn_exact, knn_lsh, with_signatures
 from ..operators.ranking import fuse, percentage, top_k
@@ -23,7 +23,8 @@ DATABASE_CUT = 1000
 
 @dataclass
 class Engine:
-    """Indexes of one corpus. ``descriptors``: doc_id, url, text of each product; ``vectors``: doc_id, embedding."""
+    """Indexes of one corpus. ``descriptors``: doc_id, url, text of each product; ``vectors``: doc_id, embedding;
+    ``lexemes``: positional postings of whole texts, for full-text search."""
 
     spark: SparkSession
     descriptors: DataFrame
@@ -34,6 +35,7 @@ class Engine:
     stop_words: tuple[str, ...] = ()
     stemmed: bool = True
     chunked: bool = True
+    lexemes: DataFrame | None = None
 
     @staticmethod
     def build(
@@ -57,7 +59,7 @@ class Engine:
         n = n_docs or descriptors.count()
 
         def finished(text: Index, image: Index | None) -> Engine:
-            return Engine(spark, descriptors, text, image, vectors, centres, tuple(stop_words), stemmed, chunked)
+            return Engine(spark, descriptors, text, image, vectors, centres, tuple(stop_words), stemmed, chunked, positions(descriptors.select("doc_id", "text"), list(stop_words), stemmed))
 
         if path is None:
             return finished(build_index(_in_codebook(tf, terms), n), build_index(visual, n, "codeword_id") if visual is not None else None)
@@ -81,6 +83,8 @@ class Engine:
 
     def _write_rest(self, path: str) -> None:
         write_table(self.descriptors, f"{path}/descriptors")
+        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        write_table(self.lexemes.repartition(parts, "term").sortWithinPartitions("term", "doc_id"), f"{path}/lexemes")
         if self.vectors is not None:
             write_table(self.vectors, f"{path}/vectors")
         places = [] if self.centres is None else [(i, [float(x) for x in c]) for i, c in enumerate(self.centres)]
@@ -96,16 +100,18 @@ class Engine:
         image = Index.read(spark, f"{path}/image") if has.image else None
         vectors = spark.read.parquet(f"{path}/vectors") if has.vectors else None
         centres = matrix([r.centre for r in places]) if places else None
-        return Engine(spark, spark.read.parquet(f"{path}/descriptors"), Index.read(spark, f"{path}/text"), image, vectors, centres, tuple(has.stop_words), has.stemmed, has.chunked)
+        return Engine(spark, spark.read.parquet(f"{path}/descriptors"), Index.read(spark, f"{path}/text"), image, vectors, centres, tuple(has.stop_words), has.stemmed, has.chunked, spark.read.parquet(f"{path}/lexemes"))
 
     # scores
 
     def _query_tf(self, queries: DataFrame) -> DataFrame:
         return _frequencies(queries.select("query_id", "text"), self.stop_words, self.stemmed, self.chunked, "query_id")
 
-    def text_scores(self, queries: DataFrame, engine: str = "spimi") -> DataFrame:
-        tf = self._query_tf(queries)
-        return search_all(self.text, tf) if engine == "postgres" else score(self.text, tf)
+    def text_scores(self, queries: DataFrame, engine: str = "spimi", few: bool = False) -> DataFrame:
+        """``few``: the queries are one or a handful, whose weights are worth finding before the index is read."""
+        if engine == "postgres":
+            return search_near(self.lexemes, query_lexemes(queries, list(self.stop_words), self.stemmed))
+        return score(self.text, self._query_tf(queries), lookup=few)
 
     def image_scores(self, queries: DataFrame, engine: str = "spimi", approximate: bool = False) -> DataFrame:
         """``queries``: query_id and vector, several rows for the descriptors of one image."""
@@ -117,19 +123,19 @@ class Engine:
 
     # searches
 
-    def search(self, texts: DataFrame | None = None, images: DataFrame | None = None, k: int = 10, weights: tuple[float, float] = (60, 40), engine: str = "spimi", approximate: bool = False) -> DataFrame:
+    def search(self, texts: DataFrame | None = None, images: DataFrame | None = None, k: int = 10, weights: tuple[float, float] = (60, 40), engine: str = "spimi", approximate: bool = False, few: bool = False) -> DataFrame:
         """The k best products of each query by what is given, with their record; nothing given, nothing found.
 
-        ``postgres`` matches all terms, compares vectors, exactly unless
+        ``postgres`` matches all lexemes, ranks by how near they stand, compares vectors, exactly unless
         ``approximate``, and cuts each side at its 1000 best before fusion. Any
         other engine is ``spimi``, the inverted indexes.
         """
         if texts is not None:
             texts = texts.withColumn("text", F.trim("text")).where("text != ''")
         if texts is not None and images is not None:
-            scored = fuse(self.text_scores(texts, engine), self.image_scores(images, engine, approximate), *weights, truncate=DATABASE_CUT if engine == "postgres" else None)
+            scored = fuse(self.text_scores(texts, engine, few), self.image_scores(images, engine, approximate), *weights, truncate=DATABASE_CUT if engine == "postgres" else None)
         elif texts is not None:
-            scored = self.text_scores(texts, engine)
+            scored = self.text_scores(texts, engine, few)
         elif images is not None:
             scored = self.image_scores(images, engine, approximate)
         else:
@@ -137,7 +143,7 @@ class Engine:
         return enriched(top_k(scored, k), self.descriptors)
 
     def search_text(self, text: str, k: int = 10, engine: str = "spimi") -> DataFrame:
-        return self.search(query_frame(self.spark, [text]), k=k, engine=engine)
+        return self.search(query_frame(self.spark, [text]), k=k, engine=engine, few=True)
 
     def details(self, doc_id: int) -> DataFrame:
         return details(self.descriptors, doc_id)

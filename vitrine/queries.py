@@ -248,6 +248,44 @@ r AS (SELECT m.query_id, m.doc_id, coalesce(score, 0) AS score FROM m LEFT JOIN
 )
 
 
+SQL_STOP = ", ".join(repr(w) for w in STOP_WORDS)
+SQL_PLACES = f"""pos AS (SELECT doc_id, unnest(w) AS term, generate_subscripts(w, 1) AS pos FROM (SELECT doc_id, {sql_tokens('text')} AS w FROM documents)),
+tf AS (SELECT doc_id, term, list(pos ORDER BY pos) AS places FROM pos WHERE term NOT IN ({SQL_STOP}) GROUP BY ALL)"""
+
+
+@query(f"WITH {SQL_PLACES} SELECT doc_id, term, array_to_string(places, ',') AS positions FROM tf")
+def fts_positions(spark, sf_dir):
+    found = fulltext.positions(docs(spark, sf_dir), STOP_WORDS)
+    return found.select("doc_id", "term", F.array_join(F.transform("positions", lambda p: p.cast("string")), ",").alias("positions"))
+
+
+def _near_queries(spark, sf_dir):
+    """Every benchmark text, the opening two words of everything said in conversations, and a few fixed strings."""
+    spoken = table(spark, sf_dir, "conversations").select(F.concat_ws(" ", F.slice(T.tokens(F.col("text")), 1, 2)).alias("text")).distinct()
+    pairs = spoken.where(F.contains("text", F.lit(" "))).select(F.conv(F.substring(F.md5("text"), 1, 12), 16, 10).cast("long").alias("query_id"), "text")
+    fixed = tables.query_frame(spark, WORDS).select((F.col("query_id") - len(WORDS)).alias("query_id"), "text")
+    return benchmark(spark, sf_dir).unionByName(pairs).unionByName(fixed)
+
+
+SQL_NEAR = f"""WITH {SQL_PLACES}, spoken AS (SELECT DISTINCT array_to_string({sql_tokens('text')}[1:2], ' ') AS text FROM conversations),
+q AS (SELECT item_id AS query_id, text FROM benchmark UNION ALL SELECT ('0x' || substr(md5(text), 1, 12))::BIGINT, text FROM spoken WHERE contains(text, ' ') UNION ALL SELECT query_id - {len(WORDS)}, text FROM ({sql_words()})),
+asked AS (SELECT DISTINCT query_id, term FROM (SELECT query_id, unnest({sql_tokens('text')}) AS term FROM q) WHERE term NOT IN ({SQL_STOP})),
+need AS (SELECT query_id, count(*) AS need FROM asked GROUP BY query_id),
+m AS (SELECT query_id, doc_id, any_value(need) AS need FROM asked JOIN tf USING (term) JOIN need USING (query_id) GROUP BY query_id, doc_id HAVING count(*) = any_value(need)),
+p AS (SELECT query_id, doc_id, need, term, unnest(places) AS pos FROM m JOIN asked USING (query_id) JOIN tf USING (doc_id, term)),
+near AS (SELECT a.query_id, a.doc_id, 1 - exp(sum(ln(1 - 0.1 / sqrt(1.005 + 0.05 * exp((b.pos - a.pos) / 1.5 - 2))))) AS score
+         FROM p a JOIN p b ON a.query_id = b.query_id AND a.doc_id = b.doc_id AND a.term <> b.term AND b.pos > a.pos AND b.pos <= a.pos + 100 GROUP BY ALL),
+alone AS (SELECT query_id, doc_id, sum(1.0::DOUBLE / (n * n)) * 0.1 / 1.64493406685 AS score FROM (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id, doc_id) AS n FROM p WHERE need = 1) GROUP BY ALL),
+s AS (SELECT query_id, doc_id, coalesce(near.score, alone.score, 0) AS score FROM m LEFT JOIN near USING (query_id, doc_id) LEFT JOIN alone USING (query_id, doc_id))"""
+
+
+@query(SQL_NEAR + sql_top("s", 50))
+def fts_proximity(spark, sf_dir):
+    """Documents with all lexemes of a query, by how near these stand."""
+    asked = fulltext.query_lexemes(_near_queries(spark, sf_dir), STOP_WORDS)
+    return ranking.top_k(fulltext.search_near(fulltext.positions(docs(spark, sf_dir), STOP_WORDS), asked), 50, digits=6)
+
+
 @query(f"WITH {TF} SELECT doc_id, string_agg(term, ' ' ORDER BY term) AS lexemes FROM tf GROUP BY doc_id")
 def tsvector(spark, sf_dir):
     return fulltext.lexemes(index.term_frequencies(docs(spark, sf_dir))).select("doc_id", F.array_join("lexemes", " ").alias("lexemes"))
