@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vitrine.functions.vectors import descriptors, grey, nearest_codeword, patches
-from vitrine.operators import evaluate, fulltext, index, knn, ranking
+from vitrine.operators import evaluate, fulltext, graph, index, knn, ranking
 from vitrine.operators.index import build_index, score, term_frequencies
 from vitrine.plans.engine import Engine, enriched, formatted
 from vitrine.sources import sinks, tables
@@ -86,6 +86,8 @@ def test_engine(spark, products, tmp_path):
     for other in (built, Engine.read(spark, str(tmp_path))):  # from the files alone
         assert [r.doc_id for r in other.search_text("navy blue shirts").collect()] == [r.doc_id for r in found]
         assert other.search_text("men").count() == 0 and other.search(images=image).first().doc_id == 2
+        assert other.search_text("silver watch", engine="postgres").first().doc_id == 3
+        assert other.search(images=image, engine="postgres", approximate=True).first().doc_id == 2
     textual = Engine.build(spark, products)
     textual.write(str(tmp_path))
     assert Engine.read(spark, str(tmp_path)).search_text("watch").first().doc_id == 3
@@ -322,3 +324,30 @@ def test_one_query_by_idf_at_hand(spark, products, monkeypatch):
     built.kept = None
     monkeypatch.setattr("vitrine.operators.index.MOST_KEPT", 2)
     assert rows() == want and not built.kept
+
+
+def test_graph_finds_nine_tenths_for_a_tenth_of_the_work(spark, tmp_path):
+    r = np.random.default_rng(7)
+    x = r.normal(size=(6000, 12)) @ r.normal(size=(12, 48)) + 0.3 * r.normal(size=(6000, 48))
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "doc_id long, embedding array<double>")
+    asked = vectors.where("doc_id % 40 = 0").selectExpr("doc_id AS query_id", "embedding AS vector")
+    exact = {(r.query_id, r.doc_id): r.score for r in knn.knn_exact(vectors, asked, 10).collect()}
+    for shard, share in ((6000, 0.1), (2000, 0.2)):  # in three shards there is three times the searching
+        graph.write_graph(graph.build_graph(vectors, shard=shard), path := str(tmp_path / str(shard)))
+        found = graph.knn_graph(spark.read.parquet(path), asked, 10).collect()
+        assert len(found) == len(exact) and {r.rank for r in found} == set(range(1, 11))
+        same = [r for r in found if (r.query_id, r.doc_id) in exact]
+        assert len(same) >= 0.9 * len(exact) and all(abs(r.score - exact[r.query_id, r.doc_id]) < 1e-5 for r in same)
+        assert max(r.compared for r in found) < share * len(x)
+
+
+def test_graph_of_odd_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [0.0, 2.0]), (4, [0.0, 2.0]), (5, [-1.0, 0.0])]
+    built = graph.build_graph(spark.createDataFrame(rows, "doc_id long, embedding array<double>"))
+    asked = spark.createDataFrame([(0, [0.1, 1.0]), (1, [0.0, 0.0])], "query_id long, vector array<double>")
+    assert [r.doc_id for r in graph.knn_graph(built, asked, 10).orderBy("rank").collect()] == [4, 4, 1, 5]
+    assert [r.doc_id for r in graph.knn_graph(built, asked, 1).collect()] == [4]
+    alone = graph.build_graph(spark.createDataFrame(rows[:1], "doc_id long, embedding array<double>"))
+    assert [(r.doc_id, r.compared) for r in graph.knn_graph(alone, asked, 3).collect()] == [(1, 2)]
+    empty = graph.build_graph(spark.createDataFrame([], "doc_id long, embedding array<double>"))
+    assert graph.knn_graph(empty, asked, 3).collect() == [] and graph.knn_graph(built, asked.limit(0), 3).collect() == []

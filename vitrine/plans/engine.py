@@ -12,6 +12,7 @@ from ..functions.chunk import chunk_rows
 from ..functions.text import FIELDS, unpack_record
 from ..functions.vectors import matrix
 from ..operators.fulltext import positions, query_lexemes, search_near
+from ..operators.graph import build_graph, knn_graph, write_graph
 from ..operators.index import Index, build_index, score, term_frequencies, visual_frequencies, write_index
 from ..operators.knn import knn_exact, knn_lsh, with_signatures
 from ..operators.ranking import fuse, percentage, top_k
@@ -24,7 +25,8 @@ DATABASE_CUT = 1000
 @dataclass
 class Engine:
     """Indexes of one corpus. ``descriptors``: doc_id, url, text of each product; ``vectors``: doc_id, embedding;
-    ``lexemes``: positional postings of whole texts, for full-text search."""
+    ``lexemes``: positional postings of whole texts, for full-text search; ``graph``: layered graphs of the vectors,
+    which an engine on disk has, for approximate search."""
 
     spark: SparkSession
     descriptors: DataFrame
@@ -36,6 +38,7 @@ class Engine:
     stemmed: bool = True
     chunked: bool = True
     lexemes: DataFrame | None = None
+    graph: DataFrame | None = None
 
     @staticmethod
     def build(
@@ -87,6 +90,7 @@ class Engine:
         write_table(self.lexemes.repartition(parts, "term").sortWithinPartitions("term", "doc_id"), f"{path}/lexemes")
         if self.vectors is not None:
             write_table(self.vectors, f"{path}/vectors")
+            write_graph(self.graph if self.graph is not None else build_graph(self.vectors), f"{path}/graph")
         places = [] if self.centres is None else [(i, [float(x) for x in c]) for i, c in enumerate(self.centres)]
         write_table(self.spark.createDataFrame(places, "codeword_id long, centre array<double>"), f"{path}/centres")
         options = [(list(self.stop_words), self.stemmed, self.chunked, self.image is not None, self.vectors is not None)]
@@ -99,8 +103,9 @@ class Engine:
         places = spark.read.parquet(f"{path}/centres").orderBy("codeword_id").collect()
         image = Index.read(spark, f"{path}/image") if has.image else None
         vectors = spark.read.parquet(f"{path}/vectors") if has.vectors else None
+        graph = spark.read.parquet(f"{path}/graph") if has.vectors else None
         centres = matrix([r.centre for r in places]) if places else None
-        return Engine(spark, spark.read.parquet(f"{path}/descriptors"), Index.read(spark, f"{path}/text"), image, vectors, centres, tuple(has.stop_words), has.stemmed, has.chunked, spark.read.parquet(f"{path}/lexemes"))
+        return Engine(spark, spark.read.parquet(f"{path}/descriptors"), Index.read(spark, f"{path}/text"), image, vectors, centres, tuple(has.stop_words), has.stemmed, has.chunked, spark.read.parquet(f"{path}/lexemes"), graph)
 
     # scores
 
@@ -116,7 +121,12 @@ class Engine:
     def image_scores(self, queries: DataFrame, engine: str = "spimi", approximate: bool = False) -> DataFrame:
         """``queries``: query_id and vector, several rows for the descriptors of one image."""
         if engine == "postgres":
-            found = knn_lsh(with_signatures(self.vectors), queries, DATABASE_CUT, 4 * DATABASE_CUT) if approximate else knn_exact(self.vectors, queries, DATABASE_CUT)
+            if not approximate:
+                found = knn_exact(self.vectors, queries, DATABASE_CUT)
+            elif self.graph is not None:
+                found = knn_graph(self.graph, queries, DATABASE_CUT).drop("compared")
+            else:
+                found = knn_lsh(with_signatures(self.vectors), queries, DATABASE_CUT, 4 * DATABASE_CUT)
             return found.drop("rank")
         tf = visual_frequencies(queries, self.centres, "vector", "query_id")
         return score(self.image, tf)

@@ -17,7 +17,7 @@ from .functions import text as T
 from .functions.chunk import chunk_rows
 from .functions.stem import stem_terms
 from .functions.vectors import matrix, nearest_codeword
-from .operators import evaluate, fulltext, index, knn, ranking
+from .operators import evaluate, fulltext, graph, index, knn, ranking
 from .plans import engine
 from .sources import sinks, tables
 
@@ -381,6 +381,14 @@ def lsh_knn(spark, sf_dir):
     return knn.knn_lsh(signed, vector_queries(spark, sf_dir, "doc_id % 20 = 0"), 10)
 
 
+@query()
+def graph_knn(spark, sf_dir):
+    """Layered graphs, written and read back; ``graph_recall`` measures them."""
+    path = sinks.scratch_path(spark)
+    graph.write_graph(graph.build_graph(vectors(spark, sf_dir)), path)
+    return graph.knn_graph(spark.read.parquet(path), vector_queries(spark, sf_dir, "doc_id % 20 = 0"), 10)
+
+
 @query()
 def kmeans_codebook(spark, sf_dir):
     c = index.kmeans_codebook(vectors(spark, sf_dir), CODEBOOK)

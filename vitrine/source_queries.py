@@ -10,7 +10,7 @@ from .functions.chunk import SIZE
 from .functions.stem import stem_terms
 from .functions.vectors import patches
 from .operators import index, knn, ranking
-from .queries import CODEBOOK, ORACLES, QUERIES, SQL_RECORD, TF, _records, benchmark, centres, docs, query, query_tf, sql_scores, sql_top, table, text_index, vector_queries, vectors
+from .queries import CODEBOOK, ORACLES, QUERIES, SQL_KNN, SQL_LISTS, SQL_RECORD, TF, _records, benchmark, centres, docs, query, query_tf, sql_scores, sql_top, table, text_index, vector_queries, vectors
 from .sources import sinks, tables
 from .streaming import incremental
 
@@ -188,25 +188,39 @@ def matrix_patches(spark, sf_dir):
 
 
 def measured_recall(spark, sf_dir, found, k: int = 10):
-    """Of every query of an approximate search, the share of its exact answers that were found."""
+    """The share of the exact answers to all queries that an approximate search found, and whether it is nine tenths."""
     asked = vector_queries(spark, sf_dir, "doc_id % 20 = 0")
     exact = knn.knn_exact(vectors(spark, sf_dir), asked, k).select("query_id", "doc_id")
-    hits = exact.join(found.select("query_id", "doc_id"), ["query_id", "doc_id"]).count()
-    return spark.createDataFrame([(hits >= 0.9 * exact.count(),)], "reached boolean")
+    hits = exact.join(found.select("query_id", "doc_id").withColumn("hit", F.lit(1)), ["query_id", "doc_id"], "left")
+    recall = F.round(F.count("hit") / F.count("*"), 6)
+    return hits.agg(recall.alias("recall"), (recall >= 0.9).alias("reached"))
 
 
-@query("SELECT true AS reached")
+@query()
 def lsh_recall(spark, sf_dir):
-    """Whether search by signatures finds nine tenths of what exact search does."""
+    """Recall of search by signatures."""
     return measured_recall(spark, sf_dir, QUERIES["lsh_knn"](spark, sf_dir))
 
 
-@query("SELECT true AS reached")
+@query(
+    f"""WITH {SQL_LISTS}, l AS ({sql_top('s', 10)}), x AS ({SQL_KNN} q.vec_id % 20 = 0), e AS ({sql_top('x', 10)})
+SELECT round(count(l.doc_id) / count(*), 6) AS recall, count(l.doc_id) / count(*) >= 0.9 AS reached FROM e LEFT JOIN l ON l.query_id = e.query_id AND l.doc_id = e.doc_id"""
+)
 def ivf_recall(spark, sf_dir):
-    """The same of search by lists."""
+    """The same of search by lists, which SQL can do as well."""
     return measured_recall(spark, sf_dir, QUERIES["ivf_knn"](spark, sf_dir))
 
 
+@query()
+def graph_recall(spark, sf_dir):
+    """The same of search by graphs, with the share of all vectors that a query is compared with on average."""
+    found = QUERIES["graph_knn"](spark, sf_dir)
+    work = found.groupBy("query_id").agg(F.max("compared").alias("n")).agg(F.avg("n").alias("n"))
+    n = vectors(spark, sf_dir).agg(F.count("*").alias("every"))
+    share = work.first().n / n.first().every
+    return measured_recall(spark, sf_dir, found).withColumn("compared_share", F.round(F.lit(share), 6))
+
+
 def inertia(found, centres: np.ndarray) -> float:
     """Sum of squared distances of all vectors to their nearest centre."""
 
@@ -220,9 +234,9 @@ def inertia(found, centres: np.ndarray) -> float:
     return found.select("embedding").mapInPandas(run, "part double").agg(F.sum("part")).first()[0]
 
 
-@query("SELECT true AS closer")
+@query()
 def kmeans_inertia(spark, sf_dir):
-    """Whether the k-means codebook lies closer to all vectors than as many of them do."""
+    """Inertia of the k-means codebook over all vectors, and of as many vectors as centres."""
     found = vectors(spark, sf_dir)
-    made = inertia(found, index.kmeans_codebook(found, CODEBOOK))
-    return spark.createDataFrame([(bool(made < 0.95 * inertia(found, centres(spark, sf_dir, CODEBOOK))),)], "closer boolean")
+    made, plain = inertia(found, index.kmeans_codebook(found, CODEBOOK)), inertia(found, centres(spark, sf_dir, CODEBOOK))
+    return spark.createDataFrame([(round(made, 6), round(plain, 6), made < 0.95 * plain)], "inertia double, of_vectors double, closer boolean")
