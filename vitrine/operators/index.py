@@ -82,6 +82,72 @@ def kmeans_codebook(vectors: DataFrame, k: int = 512, seed: int = 42, column: st
     return np.array(KMeans(k=k, seed=seed, maxIter=10).fit(data).clusterCenters())
 
 
+@dataclass
+class MiniBatches:
+    """Centres that batches of vectors pull towards them, each by its number over that of all that came to the centre."""
+
+    centres: np.ndarray
+    counts: np.ndarray
+
+    @staticmethod
+    def start(first: np.ndarray, k: int, seed: int) -> MiniBatches:
+        """Centres among the vectors of a first batch, each drawn by its squared distance to those before it."""
+        draw = np.random.default_rng(seed)
+        chosen = [int(draw.integers(len(first)))]
+        far = ((first - first[chosen[0]]) ** 2).sum(axis=1)
+        while len(chosen) < k and far.max() > 1e-12:
+            chosen.append(int(draw.choice(len(first), p=far / far.sum())))
+            far = np.minimum(far, ((first - first[chosen[-1]]) ** 2).sum(axis=1))
+        return MiniBatches(first[chosen].copy(), np.zeros(len(chosen), np.int64))
+
+    def add(self, place: np.ndarray, number: np.ndarray, total: np.ndarray) -> None:
+        """A batch's vectors by nearest centre: which centres, how many vectors, and their sums."""
+        self.counts[place] += number
+        self.centres[place] += (total - number[:, None] * self.centres[place]) / self.counts[place, None]
+
+
+def batches_in_order(vectors: DataFrame, path: str, batch: int, order: str = "doc_id", column: str = "embedding") -> DataFrame:
+    """The vectors with the number of their batch, from 0, in order of ``order`` and then of themselves, written at ``path``.
+
+    Rows are ranked inside ranges of the order, which the rows of the ranges before
+    them shift; files keep the order, so that a batch is found by their statistics.
+    """
+    spark = vectors.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = vectors.where(F.col(column).isNotNull()).select(F.col(order).alias("at"), F.col(column).cast("array<double>").alias("vector"))
+    rows = rows.repartitionByRange(parts, "at", "vector").withColumn("part", F.spark_partition_id())
+    rows.withColumn("place", F.row_number().over(Window.partitionBy("part").orderBy("at", "vector")) - 1).write.mode("overwrite").parquet(f"{path}/ranked")
+    ranked = spark.read.parquet(f"{path}/ranked")
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = ranked.groupBy("part").agg(F.count("*").alias("n")).select("part", before.alias("start"))
+    numbered = ranked.join(starts, "part").select(F.floor((F.col("start") + F.col("place")) / batch).alias("batch"), "vector")
+    numbered.repartitionByRange(parts, "batch").sortWithinPartitions("batch").write.mode("overwrite").parquet(f"{path}/batches")
+    return spark.read.parquet(f"{path}/batches")
+
+
+def minibatch_codebook(vectors: DataFrame, path: str, k: int = 512, batch: int = 1024, seed: int = 42, order: str = "doc_id", column: str = "embedding") -> MiniBatches:
+    """Centres by k-means over batches in order of arrival, the rest of the last one included.
+
+    The first batch chooses the centres and every batch, the first too, pulls them.
+    A batch is a distributed sum of k vectors at most, and needs the one before it,
+    so there is a job a batch: ``batch`` should grow with the table. Fewer different
+    vectors in the first batch than k make fewer centres; no vectors make none.
+    Null vectors are left out.
+    """
+    numbered = batches_in_order(vectors, path, batch, order, column)
+    last = numbered.agg(F.max("batch").alias("n")).first().n
+    if last is None:
+        return MiniBatches(np.empty((0, 0)), np.empty(0, np.int64))
+    first = np.array(sorted(list(r.vector) for r in numbered.where("batch = 0").select("vector").collect()))
+    model = MiniBatches.start(first, k, seed)
+    for number in range(last + 1):
+        rows = numbered.where(F.col("batch") == number).select("vector", nearest_codeword(F.col("vector"), model.centres).alias("place"))
+        sums = rows.select("place", F.posexplode("vector")).groupBy("place", "pos").agg(F.sum("col").alias("total"), F.count("*").alias("n"))
+        found = sums.groupBy("place").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("pos", "total"))).alias("totals")).orderBy("place").collect()
+        model.add(np.array([r.place for r in found]), np.array([r.n for r in found]), np.array([[t.total for t in r.totals] for r in found]))
+    return model
+
+
 def codewords(tf: DataFrame, codebook: DataFrame) -> DataFrame:
     """Frequencies by codeword; terms outside the codebook go."""
     return tf.join(codebook.select("term", "codeword_id"), "term").drop("term")

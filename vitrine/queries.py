@@ -17,7 +17,7 @@ from .functions import text as T
 from .functions.chunk import chunk_rows
 from .functions.stem import stem_terms
 from .functions.vectors import matrix, nearest_codeword
-from .operators import evaluate, fulltext, graph, index, knn, ranking
+from .operators import evaluate, fulltext, graph, index, knn, ranking, threshold
 from .plans import engine
 from .sources import sinks, tables
 
@@ -389,6 +389,13 @@ def graph_knn(spark, sf_dir):
     return graph.knn_graph(spark.read.parquet(path), vector_queries(spark, sf_dir, "doc_id % 20 = 0"), 10)
 
 
+@query()
+def minibatch_codebook(spark, sf_dir):
+    """Centres of batches in order of doc_id, with the vectors that came to each."""
+    found = index.minibatch_codebook(vectors(spark, sf_dir), sinks.scratch_path(spark), CODEBOOK, batch=256)
+    return spark.createDataFrame([(i, int(n), [float(x) for x in c]) for i, (n, c) in enumerate(zip(found.counts, found.centres, strict=True))], "codeword_id long, n long, centre array<double>")
+
+
 @query()
 def kmeans_codebook(spark, sf_dir):
     c = index.kmeans_codebook(vectors(spark, sf_dir), CODEBOOK)
@@ -418,6 +425,27 @@ def fuse_full(spark, sf_dir):
     return ranking.top_k(ranking.fuse(*_sides(spark, sf_dir), 60, 40), 20, digits=6)
 
 
+def _fused_top(spark, sf_dir):
+    asked = benchmark(spark, sf_dir)
+    path = sinks.scratch_path(spark)
+    text_index(spark, sf_dir).write(path)
+    images = vector_queries(spark, sf_dir, "true").join(asked.select("query_id"), "query_id", "left_semi")
+    return threshold.fuse_top(asked, threshold.text_side(index.Index.read(spark, path), query_tf(asked)), threshold.vector_side(vectors(spark, sf_dir), images), 60, 40, 20)
+
+
+@query(ORACLES["fuse_full"])
+def fuse_threshold(spark, sf_dir):
+    """The rows of ``fuse_full`` from the upper ends of both lists."""
+    return _fused_top(spark, sf_dir).drop("read")
+
+
+@query()
+def fuse_threshold_read(spark, sf_dir):
+    """How many list entries each query took, beside those that there are vectors and documents."""
+    every = docs(spark, sf_dir).count() + vectors(spark, sf_dir).count()
+    return _fused_top(spark, sf_dir).groupBy("query_id").agg(F.max("read").alias("read")).withColumn("entries", F.lit(every))
+
+
 @query(
     FUSED
     + """, s2 AS (SELECT query_id, doc_id, round(score, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) <= 1000),

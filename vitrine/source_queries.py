@@ -240,3 +240,12 @@ def kmeans_inertia(spark, sf_dir):
     found = vectors(spark, sf_dir)
     made, plain = inertia(found, index.kmeans_codebook(found, CODEBOOK)), inertia(found, centres(spark, sf_dir, CODEBOOK))
     return spark.createDataFrame([(round(made, 6), round(plain, 6), made < 0.95 * plain)], "inertia double, of_vectors double, closer boolean")
+
+
+@query()
+def minibatch_inertia(spark, sf_dir):
+    """The same of centres of batches in order of arrival."""
+    found = vectors(spark, sf_dir)
+    made = inertia(found, index.minibatch_codebook(found, sinks.scratch_path(spark), CODEBOOK, batch=256).centres)
+    plain = inertia(found, centres(spark, sf_dir, CODEBOOK))
+    return spark.createDataFrame([(round(made, 6), round(plain, 6), made < 0.95 * plain)], "inertia double, of_vectors double, closer boolean")
