@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -55,7 +56,8 @@ class Engine:
     ) -> Engine:
         """Chunks, tokens, codebook and index of the texts, and visual words and index of the vectors.
 
-        With a ``path`` each step is written there once and read by the next, and the engine is that of the files.
+        With a ``path`` each step is written once, in a new folder there, and read by the next, and the engine is
+        that of the files. Readers see the new one when all is written; older ones stay.
         """
         tf = _frequencies(descriptors.select("doc_id", "text"), stop_words, stemmed, chunked, "doc_id")
         visual = visual_frequencies(vectors.where("embedding is not null"), centres) if vectors is not None and centres is not None else None
@@ -66,23 +68,27 @@ class Engine:
 
         if path is None:
             return finished(build_index(_in_codebook(tf, terms), n), build_index(visual, n, "codeword_id") if visual is not None else None)
-        write_table(tf, f"{path}/frequencies")
-        kept = f"{path}/codebook"
-        tf = spark.read.parquet(f"{path}/frequencies")
+        place = f"{path}/build-{uuid.uuid4().hex}"
+        write_table(tf, f"{place}/frequencies")
+        kept = f"{place}/codebook"
+        tf = spark.read.parquet(f"{place}/frequencies")
         write_table(_codebook(tf, terms), kept)
-        text, image = write_index(tf.join(spark.read.parquet(kept), "term"), n, f"{path}/text"), None
+        text, image = write_index(tf.join(spark.read.parquet(kept), "term"), n, f"{place}/text"), None
         if visual is not None:
-            write_table(visual, f"{path}/visual_frequencies")
-            image = write_index(spark.read.parquet(f"{path}/visual_frequencies"), n, f"{path}/image", "codeword_id")
-        finished(text, image)._write_rest(path)
+            write_table(visual, f"{place}/visual_frequencies")
+            image = write_index(spark.read.parquet(f"{place}/visual_frequencies"), n, f"{place}/image", "codeword_id")
+        finished(text, image)._write_rest(place)
+        _publish(spark, path, place)
         return Engine.read(spark, path)
 
     def write(self, path: str) -> None:
-        """All that ``read`` needs: records, indexes with their codebook, vectors, centres and options."""
-        self.text.write(f"{path}/text")
+        """All that ``read`` needs, in a new folder at ``path``: records, indexes with their codebook, vectors, centres and options."""
+        place = f"{path}/build-{uuid.uuid4().hex}"
+        self.text.write(f"{place}/text")
         if self.image is not None:
-            self.image.write(f"{path}/image")
-        self._write_rest(path)
+            self.image.write(f"{place}/image")
+        self._write_rest(place)
+        _publish(self.spark, path, place)
 
     def _write_rest(self, path: str) -> None:
         write_table(self.descriptors, f"{path}/descriptors")
@@ -98,7 +104,8 @@ class Engine:
 
     @staticmethod
     def read(spark: SparkSession, path: str) -> Engine:
-        """The engine that was written at ``path``, from its files alone."""
+        """The engine that was last written at ``path``, from its files alone."""
+        path = _builds(spark, path).orderBy(F.desc("number"), "place").first().place
         has = spark.read.parquet(f"{path}/options").first()
         places = spark.read.parquet(f"{path}/centres").orderBy("codeword_id").collect()
         image = Index.read(spark, f"{path}/image") if has.image else None
@@ -159,6 +166,17 @@ class Engine:
         return details(self.descriptors, doc_id)
 
 
+def _builds(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("number long, place string").parquet(f"{path}/builds")
+
+
+def _publish(spark: SparkSession, path: str, place: str) -> None:
+    """Notes a finished build as the last one. A note is one file, which is there whole or not at all."""
+    spark.createDataFrame([], "number long, place string").write.mode("append").parquet(f"{path}/builds")
+    number = (_builds(spark, path).agg(F.max("number")).first()[0] or 0) + 1
+    spark.createDataFrame([(number, place)], "number long, place string").coalesce(1).write.mode("append").parquet(f"{path}/builds")
+
+
 def _codebook(tf: DataFrame, terms: int) -> DataFrame:
     """The ``terms`` most frequent terms, equals by the least document, then term."""
     seen = tf.groupBy("term").agg(F.sum("tf").alias("cf"), F.min("doc_id").alias("first"))

@@ -12,7 +12,7 @@ from .functions.vectors import patches
 from .operators import index, knn, ranking
 from .queries import CODEBOOK, ORACLES, QUERIES, SQL_KNN, SQL_LISTS, SQL_RECORD, TF, _records, benchmark, centres, docs, query, query_tf, sql_scores, sql_top, table, text_index, vector_queries, vectors
 from .sources import sinks, tables
-from .streaming import incremental
+from .streaming import incremental, upkeep
 
 
 @query(f"""SELECT p_partkey AS doc_id, {SQL_RECORD} || ', "quoted"' AS text FROM part""")
@@ -136,6 +136,38 @@ def stream_frequencies(spark, sf_dir):
     return incremental.frequencies(spark, f"{path}/tf").select("term", "doc_id", "tf")
 
 
+SQL_KEPT = f"""now AS (SELECT d.doc_id, CASE WHEN l.quality = 1 THEN 'changed ' || lang || ' ' || source ELSE coalesce(text, '') END AS text FROM documents d LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id) l ON l.doc_id = d.doc_id
+  UNION ALL SELECT 1000000000 + doc_id, text FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)),
+{TF.replace("FROM documents", "FROM now")}"""
+
+
+def _kept_up(spark, sf_dir):
+    """All documents; then those of good quality with another text, the toxic ones with none, which leaves theirs, and again under new ids."""
+    path = sinks.scratch_path(spark)
+    store = upkeep.Store.create(spark, path)
+    d = table(spark, sf_dir, "documents").select("doc_id", F.lit("").alias("url"), "text", "lang", "source")
+    labelled = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    good, toxic = d.join(labelled.where("quality = 1"), "doc_id", "left_semi"), d.join(labelled.where("toxic = 1"), "doc_id", "left_semi")
+    batches = [d, good.withColumn("text", F.concat_ws(" ", F.lit("changed"), "lang", "source")), toxic.withColumn("text", F.lit("")).unionByName(toxic.withColumn("doc_id", F.col("doc_id") + 1_000_000_000))]
+    for number, batch in enumerate(batches):
+        store.apply(batch.select("doc_id", "url", "text", F.lit(number).alias("order")), number)
+        if number == 1:
+            store.compact(1)
+    return store
+
+
+@query(f"WITH {SQL_KEPT} SELECT term, doc_id, tf FROM tf")
+def upkeep_frequencies(spark, sf_dir):
+    """Frequencies after documents came, changed and came empty."""
+    return _kept_up(spark, sf_dir).frequencies()
+
+
+@query(f"WITH {SQL_KEPT} SELECT term, df, round(ln((SELECT count(*) FROM now)::DOUBLE / df), 6) AS idf FROM (SELECT term, count(*) AS df FROM tf GROUP BY term)")
+def upkeep_document_frequencies(spark, sf_dir):
+    store = _kept_up(spark, sf_dir)
+    return store.document_frequencies().withColumn("idf", F.round(F.log(F.lit(float(store.size())) / F.col("df")), 6))
+
+
 ORACLES["chunk_text"] = rf"""WITH RECURSIVE p AS (SELECT doc_id, text, CASE WHEN length(text) <= {SIZE} THEN [text] ELSE
   flatten(list_transform(list_filter(string_split(text, chr(10) || chr(10)), lambda a: NOT regexp_full_match(a, '\s*')), lambda a: CASE WHEN length(a) <= {SIZE} THEN [a] ELSE
   flatten(list_transform(list_filter(string_split(a, chr(10)), lambda b: NOT regexp_full_match(b, '\s*')), lambda b: CASE WHEN length(b) <= {SIZE} THEN [b] ELSE
