@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,8 +58,8 @@ class Engine:
     ) -> Engine:
         """Chunks, tokens, codebook and index of the texts, and visual words and index of the vectors.
 
-        With a ``path`` each step is written once, in a new folder there, and read by the next, and the engine is
-        that of the files. Readers see the new one when all is written; older ones stay.
+        With a ``path`` each step is written there once and read by the next, and the engine is that of the files. A
+        later build goes to a new folder there; readers see it when all is written, and older ones stay.
         """
         tf = _frequencies(descriptors.select("doc_id", "text"), stop_words, stemmed, chunked, "doc_id")
         visual = visual_frequencies(vectors.where("embedding is not null"), centres) if vectors is not None and centres is not None else None
@@ -68,7 +70,7 @@ class Engine:
 
         if path is None:
             return finished(build_index(_in_codebook(tf, terms), n), build_index(visual, n, "codeword_id") if visual is not None else None)
-        place = f"{path}/build-{uuid.uuid4().hex}"
+        place = _place(spark, path)
         write_table(tf, f"{place}/frequencies")
         kept = f"{place}/codebook"
         tf = spark.read.parquet(f"{place}/frequencies")
@@ -82,8 +84,8 @@ class Engine:
         return Engine.read(spark, path)
 
     def write(self, path: str) -> None:
-        """All that ``read`` needs, in a new folder at ``path``: records, indexes with their codebook, vectors, centres and options."""
-        place = f"{path}/build-{uuid.uuid4().hex}"
+        """All that ``read`` needs, as ``build`` writes it: records, indexes with their codebook, vectors, centres and options."""
+        place = _place(self.spark, path)
         self.text.write(f"{place}/text")
         if self.image is not None:
             self.image.write(f"{place}/image")
@@ -105,7 +107,7 @@ class Engine:
     @staticmethod
     def read(spark: SparkSession, path: str) -> Engine:
         """The engine that was last written at ``path``, from its files alone."""
-        path = _builds(spark, path).orderBy(F.desc("number"), "place").first().place
+        path = _last_build(spark, path) or path
         has = spark.read.parquet(f"{path}/options").first()
         places = spark.read.parquet(f"{path}/centres").orderBy("codeword_id").collect()
         image = Index.read(spark, f"{path}/image") if has.image else None
@@ -166,15 +168,24 @@ class Engine:
         return details(self.descriptors, doc_id)
 
 
-def _builds(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("number long, place string").parquet(f"{path}/builds")
+def _last_build(spark: SparkSession, path: str) -> str | None:
+    """The folder of the last finished build, None before there is one."""
+    try:
+        found = spark.read.schema("number long, place string").parquet(f"{path}/builds").orderBy(F.desc("number"), "place").first()
+    except AnalysisException:  # no such folder
+        return None
+    return found.place if found else None
+
+
+def _place(spark: SparkSession, path: str) -> str:
+    """Where the next build goes: the path itself while nothing there can be read, then a new folder each time."""
+    return f"{path}/build-{uuid.uuid4().hex}" if _last_build(spark, path) else path
 
 
 def _publish(spark: SparkSession, path: str, place: str) -> None:
     """Notes a finished build as the last one. A note is one file, which is there whole or not at all."""
-    spark.createDataFrame([], "number long, place string").write.mode("append").parquet(f"{path}/builds")
-    number = (_builds(spark, path).agg(F.max("number")).first()[0] or 0) + 1
-    spark.createDataFrame([(number, place)], "number long, place string").coalesce(1).write.mode("append").parquet(f"{path}/builds")
+    rows = spark.createDataFrame([(time.time_ns(), place)], "number long, place string")
+    rows.coalesce(1).write.mode("append").parquet(f"{path}/builds")
 
 
 def _codebook(tf: DataFrame, terms: int) -> DataFrame:
