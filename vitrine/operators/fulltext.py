@@ -69,17 +69,16 @@ def search_near(postings: DataFrame, asked: DataFrame) -> DataFrame:
     Places meet by query, document and stretch of NEAR words, so a long document
     spreads, and no two places further apart than two stretches are compared.
     """
-    matched = match_all(postings, asked)
     need = asked.groupBy("query_id").agg(F.count("*").alias("need"))
-    hits = postings.join(asked, "term").join(matched, ["query_id", "doc_id"]).join(need, "query_id")
-    squares = F.aggregate(F.sequence(F.lit(1), F.size("positions")), F.lit(0.0), lambda s, n: s + 1.0 / (n * n))
-    alone = hits.where("need = 1").select("query_id", "doc_id", (squares * PLAIN_WEIGHT / ALL_SQUARES).alias("score"))
-    places = hits.where("need > 1").select("query_id", "doc_id", "term", F.explode("positions").alias("pos"))
+    hits = postings.join(asked.join(need, "query_id"), "term").groupBy("query_id", "doc_id", "need").agg(F.collect_list(F.struct("term", "positions")).alias("held"))
+    matched = hits.where(F.size("held") == F.col("need"))
+    squares = F.aggregate(F.sequence(F.lit(1), F.size(F.col("held")[0]["positions"])), F.lit(0.0), lambda s, n: s + 1.0 / (n * n))
+    alone = F.when(F.col("need") == 1, squares * PLAIN_WEIGHT / ALL_SQUARES).otherwise(F.lit(0.0))
+    places = matched.where("need > 1").select("query_id", "doc_id", F.explode("held").alias("h")).select("query_id", "doc_id", "h.term", F.explode("h.positions").alias("pos"))
     stretch = F.floor(F.col("pos") / NEAR)
     left = places.withColumn("stretch", stretch)
     right = places.select("query_id", "doc_id", F.col("term").alias("other"), F.col("pos").alias("place"), F.explode(F.array(stretch, stretch - 1)).alias("stretch"))
     distance = F.col("place") - F.col("pos")
     pairs = left.join(right, ["query_id", "doc_id", "stretch"]).where((F.col("term") != F.col("other")) & distance.between(1, NEAR))
     near = pairs.groupBy("query_id", "doc_id").agg((1 - F.exp(F.sum(F.log(1 - nearness(distance))))).alias("score"))
-    several = matched.join(need, "query_id").where("need > 1").select("query_id", "doc_id", F.lit(0.0).alias("score"))
-    return alone.unionByName(several.unionByName(near)).groupBy("query_id", "doc_id").agg(F.max("score").alias("score"))
+    return matched.select("query_id", "doc_id", alone.alias("score")).unionByName(near).groupBy("query_id", "doc_id").agg(F.max("score").alias("score"))

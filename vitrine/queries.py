@@ -260,15 +260,16 @@ def fts_positions(spark, sf_dir):
 
 
 def _near_queries(spark, sf_dir):
-    """Every benchmark text, the opening two words of everything said in conversations, and a few fixed strings."""
-    spoken = table(spark, sf_dir, "conversations").select(F.concat_ws(" ", F.slice(T.tokens(F.col("text")), 1, 2)).alias("text")).distinct()
-    pairs = spoken.where(F.contains("text", F.lit(" "))).select(F.conv(F.substring(F.md5("text"), 1, 12), 16, 10).cast("long").alias("query_id"), "text")
+    """Every benchmark text, the two words it opens with, and a few fixed strings."""
+    asked = benchmark(spark, sf_dir)
+    words = T.tokens(F.col("text"))
+    pairs = asked.where(F.size(words) > 1).select(F.col("query_id") + 1_000_000, F.concat_ws(" ", F.slice(words, 1, 2)).alias("text"))
     fixed = tables.query_frame(spark, WORDS).select((F.col("query_id") - len(WORDS)).alias("query_id"), "text")
-    return benchmark(spark, sf_dir).unionByName(pairs).unionByName(fixed)
+    return asked.unionAll(pairs).unionAll(fixed)
 
 
-SQL_NEAR = f"""WITH {SQL_PLACES}, spoken AS (SELECT DISTINCT array_to_string({sql_tokens('text')}[1:2], ' ') AS text FROM conversations),
-q AS (SELECT item_id AS query_id, text FROM benchmark UNION ALL SELECT ('0x' || substr(md5(text), 1, 12))::BIGINT, text FROM spoken WHERE contains(text, ' ') UNION ALL SELECT query_id - {len(WORDS)}, text FROM ({sql_words()})),
+SQL_NEAR = f"""WITH {SQL_PLACES}, words AS (SELECT item_id, {sql_tokens('text')} AS w FROM benchmark),
+q AS (SELECT item_id AS query_id, text FROM benchmark UNION ALL SELECT 1000000 + item_id, w[1] || ' ' || w[2] FROM words WHERE len(w) > 1 UNION ALL SELECT query_id - {len(WORDS)}, text FROM ({sql_words()})),
 asked AS (SELECT DISTINCT query_id, term FROM (SELECT query_id, unnest({sql_tokens('text')}) AS term FROM q) WHERE term NOT IN ({SQL_STOP})),
 need AS (SELECT query_id, count(*) AS need FROM asked GROUP BY query_id),
 m AS (SELECT query_id, doc_id, any_value(need) AS need FROM asked JOIN tf USING (term) JOIN need USING (query_id) GROUP BY query_id, doc_id HAVING count(*) = any_value(need)),
