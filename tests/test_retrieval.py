@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vitrine.operators import index, ranking, threshold
+from vitrine.operators import bucketed, index, ranking, threshold
 from vitrine.operators.knn import knn_exact
 from vitrine.sources import tables
 
@@ -66,3 +66,46 @@ def test_batches_of_few_vectors(spark, tmp_path):
     assert len(model.centres) == 1 and model.counts.tolist() == [3]  # the first batch has one vector, twice
     assert index.minibatch_codebook(few, str(tmp_path / "b"), k=5, batch=3).counts.sum() == 3
     assert len(index.minibatch_codebook(few.limit(0), str(tmp_path / "c"), k=5).centres) == 0
+
+
+def exchanges_above(plan, name):
+    """Exchanges between the scan of a table and the first join above it, in a formatted plan's tree."""
+    lines = plan.split("== Physical Plan ==")[1].split("\n\n")[0].splitlines()
+    at = next(i for i, line in enumerate(lines) if name in line)
+    depth, found = len(lines[at]) - len(lines[at].lstrip(" :+-*")), []
+    for line in reversed(lines[:at]):
+        own = len(line) - len(line.lstrip(" :+-*"))
+        if own < depth:
+            depth = own
+            if "Join" in line:
+                return found
+            found += [line] if "Exchange" in line else []
+    raise AssertionError("no join above")
+
+
+def test_buckets_stay_where_they_are(spark, tmp_path, capsys):
+    """With neither side broadcast: an exchange above the queries, none above postings and records."""
+    docs = spark.createDataFrame([(i, f"w{i % 7} w{i % 5} w{i % 3} x") for i in range(200)], "doc_id long, text string")
+    built = index.build_index(index.term_frequencies(docs), 200)
+    tf = index.term_frequencies(tables.query_frame(spark, ["w1 w2", "w3 w3"]), key="query_id")
+    want = entries(ranking.top_k(index.score(built, tf), 9, digits=6))
+    kept = bucketed.write_index_bucketed(built, "vitrine_test", str(tmp_path / "text"), 4)
+    records = bucketed.write_bucketed(docs, "vitrine_test_records", str(tmp_path / "records"), "doc_id", 4)
+    other = bucketed.attach(spark, "vitrine_test_again", str(tmp_path / "records"), "doc_id BIGINT, text STRING", "doc_id", 4)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        scored = index.score(kept, tf)
+        scored.explain()
+        plan = capsys.readouterr().out
+        assert "SortMergeJoin" in plan and exchanges_above(plan, "vitrine_test_postings") == []
+        found = ranking.top_k(scored, 9, digits=6)
+        assert entries(found) == want
+        for table, name in ((records, "vitrine_test_records"), (other, "vitrine_test_again")):
+            joined = found.join(table, "doc_id")
+            joined.explain()
+            assert exchanges_above(capsys.readouterr().out, name) == []
+            assert joined.count() == len(want)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10485760")
+        for name in ("vitrine_test_postings", "vitrine_test_records", "vitrine_test_again"):
+            spark.sql(f"DROP TABLE IF EXISTS {name}")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 from .functions.chunk import SIZE
 from .functions.stem import stem_terms
 from .functions.vectors import patches
-from .operators import index, knn, ranking
+from .operators import bucketed, index, knn, ranking
 from .queries import CODEBOOK, ORACLES, QUERIES, SQL_KNN, SQL_LISTS, SQL_RECORD, TF, _records, benchmark, centres, docs, query, query_tf, sql_scores, sql_top, table, text_index, vector_queries, vectors
 from .sources import sinks, tables
 from .streaming import incremental, upkeep
@@ -118,6 +120,17 @@ def index_from_files(spark, sf_dir):
     return ranking.top_k(index.score(index.Index.read(spark, path), query_tf(benchmark(spark, sf_dir))), 50, digits=6)
 
 
+@query(sql_scores("SELECT item_id AS query_id, text FROM benchmark") + f", r AS ({sql_top('s', 50)}) SELECT r.*, d.source AS url FROM r JOIN documents d USING (doc_id)")
+def bucketed_search(spark, sf_dir):
+    """Postings and records in buckets: neither moves in the search or in the lookup of what it found."""
+    path, name = sinks.scratch_path(spark), f"vitrine_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    built = bucketed.write_index_bucketed(text_index(spark, sf_dir), name, f"{path}/text", buckets)
+    records = table(spark, sf_dir, "documents").selectExpr("doc_id", "source AS url")
+    records = bucketed.write_bucketed(records, f"{name}_records", f"{path}/records", "doc_id", buckets)
+    return ranking.top_k(index.score(built, query_tf(benchmark(spark, sf_dir))), 50, digits=6).join(records, "doc_id")
+
+
 @query("SELECT round(count(*) * 33 / 1e6, 2) AS mb FROM documents")
 def disk_use(spark, sf_dir):
     """A line of 32 characters for each document."""
