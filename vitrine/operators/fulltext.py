@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stem import stem_terms
 from ..functions.text import tokens, without
+from ..sources.sinks import scratch_path, write_table
 from .index import Index, score
 
 #: Weight of a lexeme without a label, sum of 1/n^2, and the words beyond which two lexemes are not near (fixed values).
@@ -35,8 +36,10 @@ def search_all(index: Index, query_tf: DataFrame) -> DataFrame:
 
 def positions(docs: DataFrame, stop_words: list[str] = [], stemmed: bool = False, key: str = "doc_id") -> DataFrame:  # noqa: B006
     """Positional postings: key, term and the places, from 1, of its tokens in order. Stop words leave gaps; stems are
-    looked up by distinct term. Null and empty texts have none; repeated rows of a key are one document."""
-    words = docs.select(key, F.posexplode(tokens(F.col("text"))).alias("pos", "term"))
+    looked up by distinct term. Null and empty texts have none; repeated rows of a key are one document.
+
+    Texts are dealt out whole by key, which is less to move than their tokens, and counted where they are."""
+    words = docs.select(key, "text").repartition(key).select(key, F.posexplode(tokens(F.col("text"))).alias("pos", "term"))
     if stop_words:
         words = words.where(~F.col("term").isin(*stop_words))
     if stemmed:
@@ -57,10 +60,25 @@ def nearness(distance: Column) -> Column:
     return PLAIN_WEIGHT / F.sqrt(1.005 + 0.05 * F.exp(distance / 1.5 - 2))
 
 
+def _held(postings: DataFrame, asked: DataFrame) -> DataFrame:
+    """query_id, doc_id, need and held (terms with positions) of the documents that have all terms of a query.
+
+    A query's rarest term finds its documents, and the other terms are looked up
+    in these alone, so that frequent terms of long queries meet few documents.
+    """
+    held = postings.join(asked.select("term").distinct(), "term")
+    found = asked.join(held.groupBy("term").agg(F.count("*").alias("df")), "term")
+    whole = asked.groupBy("query_id").agg(F.count("*").alias("need"))
+    rare = found.groupBy("query_id").agg(F.count("*").alias("known"), F.min(F.struct("df", "term")).alias("rare")).join(whole, "query_id").where("known = need")
+    candidates = held.select("term", "doc_id").join(rare.select("query_id", "need", F.col("rare.term").alias("term")), "term").drop("term")
+    hits = candidates.join(asked, "query_id").join(held, ["doc_id", "term"])
+    return hits.groupBy("query_id", "doc_id", "need").agg(F.collect_list(F.struct("term", "positions")).alias("held")).where(F.size("held") == F.col("need"))
+
+
 def search_near(postings: DataFrame, asked: DataFrame) -> DataFrame:
     """query_id, doc_id and score of the documents that have all lexemes of a query, higher the nearer they stand.
 
-    ``postings`` comes from ``positions``, ``asked`` from ``query_lexemes``. Every
+    ``postings`` comes from ``positions``, best as a written table, ``asked`` from ``query_lexemes``. Every
     two places of different lexemes that are at most NEAR words apart speak for the
     document independently: 1 less the product of 1 - nearness. A query of one
     lexeme ranks by its occurrences, the n-th of which adds 1/n^2. This is a
@@ -69,9 +87,9 @@ def search_near(postings: DataFrame, asked: DataFrame) -> DataFrame:
     Places meet by query, document and stretch of NEAR words, so a long document
     spreads, and no two places further apart than two stretches are compared.
     """
-    need = asked.groupBy("query_id").agg(F.count("*").alias("need"))
-    hits = postings.join(asked.join(need, "query_id"), "term").groupBy("query_id", "doc_id", "need").agg(F.collect_list(F.struct("term", "positions")).alias("held"))
-    matched = hits.where(F.size("held") == F.col("need"))
+    path = scratch_path(postings.sparkSession)
+    write_table(_held(postings, asked), path)
+    matched = postings.sparkSession.read.parquet(path)
     squares = F.aggregate(F.sequence(F.lit(1), F.size(F.col("held")[0]["positions"])), F.lit(0.0), lambda s, n: s + 1.0 / (n * n))
     alone = F.when(F.col("need") == 1, squares * PLAIN_WEIGHT / ALL_SQUARES).otherwise(F.lit(0.0))
     places = matched.where("need > 1").select("query_id", "doc_id", F.explode("held").alias("h")).select("query_id", "doc_id", "h.term", F.explode("h.positions").alias("pos"))

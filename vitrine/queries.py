@@ -283,8 +283,10 @@ s AS (SELECT query_id, doc_id, coalesce(near.score, alone.score, 0) AS score FRO
 @query(SQL_NEAR + sql_top("s", 50))
 def fts_proximity(spark, sf_dir):
     """Documents with all lexemes of a query, by how near these stand."""
+    path = sinks.scratch_path(spark)
+    sinks.write_table(fulltext.positions(docs(spark, sf_dir), STOP_WORDS), path)
     asked = fulltext.query_lexemes(_near_queries(spark, sf_dir), STOP_WORDS)
-    return ranking.top_k(fulltext.search_near(fulltext.positions(docs(spark, sf_dir), STOP_WORDS), asked), 50, digits=6)
+    return ranking.top_k(fulltext.search_near(spark.read.parquet(path), asked), 50, digits=6)
 
 
 @query(f"WITH {TF} SELECT doc_id, string_agg(term, ' ' ORDER BY term) AS lexemes FROM tf GROUP BY doc_id")
