@@ -60,19 +60,28 @@ def nearness(distance: Column) -> Column:
     return PLAIN_WEIGHT / F.sqrt(1.005 + 0.05 * F.exp(distance / 1.5 - 2))
 
 
-def _held(postings: DataFrame, asked: DataFrame) -> DataFrame:
+def _held(postings: DataFrame, asked: DataFrame, path: str) -> DataFrame:
     """query_id, doc_id, need and held (terms with positions) of the documents that have all terms of a query.
 
     A query's rarest term finds its documents, and the other terms are looked up
-    in these alone, so that frequent terms of long queries meet few documents.
+    in these alone, so that frequent terms of long queries meet few documents. What
+    is asked is written first: the planner sees how large it is, and sends it to
+    the postings only if it is small.
     """
-    held = postings.join(asked.select("term").distinct(), "term")
-    found = asked.join(held.groupBy("term").agg(F.count("*").alias("df")), "term")
+
+    def kept(name: str, table: DataFrame) -> DataFrame:
+        write_table(table, f"{path}/{name}")
+        return table.sparkSession.read.parquet(f"{path}/{name}")
+
+    asked = kept("asked", asked)
+    held = postings.join(kept("terms", asked.select("term").distinct()), "term")
+    counts = kept("counts", held.groupBy("term").agg(F.count("*").alias("df")))
     whole = asked.groupBy("query_id").agg(F.count("*").alias("need"))
-    rare = found.groupBy("query_id").agg(F.count("*").alias("known"), F.min(F.struct("df", "term")).alias("rare")).join(whole, "query_id").where("known = need")
-    candidates = held.select("term", "doc_id").join(rare.select("query_id", "need", F.col("rare.term").alias("term")), "term").drop("term")
+    rare = asked.join(counts, "term").groupBy("query_id").agg(F.count("*").alias("known"), F.min(F.struct("df", "term")).alias("rare")).join(whole, "query_id").where("known = need")
+    rare = kept("rare", rare.select("query_id", "need", F.col("rare.term").alias("term")))
+    candidates = postings.select("term", "doc_id").join(rare, "term").drop("term")
     hits = candidates.join(asked, "query_id").join(held, ["doc_id", "term"])
-    return hits.groupBy("query_id", "doc_id", "need").agg(F.collect_list(F.struct("term", "positions")).alias("held")).where(F.size("held") == F.col("need"))
+    return kept("held", hits.groupBy("query_id", "doc_id", "need").agg(F.collect_list(F.struct("term", "positions")).alias("held")).where(F.size("held") == F.col("need")))
 
 
 def search_near(postings: DataFrame, asked: DataFrame) -> DataFrame:
@@ -87,9 +96,7 @@ def search_near(postings: DataFrame, asked: DataFrame) -> DataFrame:
     Places meet by query, document and stretch of NEAR words, so a long document
     spreads, and no two places further apart than two stretches are compared.
     """
-    path = scratch_path(postings.sparkSession)
-    write_table(_held(postings, asked), path)
-    matched = postings.sparkSession.read.parquet(path)
+    matched = _held(postings, asked, scratch_path(postings.sparkSession))
     squares = F.aggregate(F.sequence(F.lit(1), F.size(F.col("held")[0]["positions"])), F.lit(0.0), lambda s, n: s + 1.0 / (n * n))
     alone = F.when(F.col("need") == 1, squares * PLAIN_WEIGHT / ALL_SQUARES).otherwise(F.lit(0.0))
     places = matched.where("need > 1").select("query_id", "doc_id", F.explode("held").alias("h")).select("query_id", "doc_id", "h.term", F.explode("h.positions").alias("pos"))
