@@ -18,10 +18,11 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.index import Index, build_index, term_frequencies, visual_frequencies, write_index
 from ..sources.sinks import latest, write_table
 
-#: Tables of a store, with the schema of what a batch writes. A document frequency without a term counts documents.
+#: Tables of a store, with the schema of what a batch writes. ``held`` is 1 where a term comes into a document and -1 where
+#: it goes; a document frequency without a term counts documents.
 TABLES = {
     "descriptors": "doc_id long, url string, text string",
-    "frequencies": "term string, doc_id long, tf long",
+    "frequencies": "term string, doc_id long, tf long, held long",
     "document_frequencies": "term string, df long",
     "visual": "codeword_id long, doc_id long, tf long",
 }
@@ -102,12 +103,17 @@ class Store:
         batch = batch.where("doc_id IS NOT NULL")
         self._write("descriptors", batch_id, latest(batch, "order"))
         came = self.spark.read.parquet(f"{self.path}/descriptors/changes/batch={batch_id}")
+        earlier = self._read("descriptors", batch_id).select("doc_id").distinct()
         texts = came.where("text != ''").select("doc_id", "text")
-        changes = _changes(self.frequencies(batch_id), term_frequencies(texts, list(self.stop_words), self.stemmed), texts, "term")
-        self._write("frequencies", batch_id, changes.select("term", "doc_id", (F.col("new") - F.col("old")).alias("tf")).where("tf != 0"))
+        fresh = self._count(texts.join(earlier, "doc_id", "left_anti")).select("term", "doc_id", "tf", F.lit(1).cast("long").alias("held"))
+        known = texts.join(earlier, "doc_id", "left_semi")
+        changes = _changes(self.frequencies(batch_id), self._count(known), known, "term")
         held = (F.col("new") > 0).cast("long") - (F.col("old") > 0).cast("long")
-        by_term = changes.groupBy("term").agg(F.sum(held).alias("df")).where("df != 0")
-        first = came.join(self._read("descriptors", batch_id), "doc_id", "left_anti").agg(F.count("*").alias("df")).select(F.lit(None).cast("string").alias("term"), "df")
+        changed = changes.select("term", "doc_id", (F.col("new") - F.col("old")).alias("tf"), held.alias("held")).where("tf != 0")
+        self._write("frequencies", batch_id, fresh.unionByName(changed))
+        wrote = self.spark.read.parquet(f"{self.path}/frequencies/changes/batch={batch_id}")
+        by_term = wrote.groupBy("term").agg(F.sum("held").alias("df")).where("df != 0")
+        first = came.join(earlier, "doc_id", "left_anti").agg(F.count("*").alias("df")).select(F.lit(None).cast("string").alias("term"), "df")
         self._write("document_frequencies", batch_id, by_term.unionByName(first))
         if self.centres is not None:
             seen = batch.where("vectors IS NOT NULL").groupBy("doc_id").agg(F.max_by("vectors", "order").alias("vectors"))
@@ -115,6 +121,9 @@ class Store:
             changes = _changes(self.visual(batch_id), visual, seen, "codeword_id")
             self._write("visual", batch_id, changes.select("codeword_id", "doc_id", (F.col("new") - F.col("old")).alias("tf")).where("tf != 0"))
 
+    def _count(self, texts: DataFrame) -> DataFrame:
+        return term_frequencies(texts, list(self.stop_words), self.stemmed)
+
     def _write(self, name: str, batch_id: int, rows: DataFrame) -> None:
         write_table(rows, f"{self.path}/{name}/changes/batch={batch_id}")
 
