@@ -17,7 +17,7 @@ from .functions import text as T
 from .functions.chunk import chunk_rows
 from .functions.stem import stem_terms
 from .functions.vectors import matrix, nearest_codeword
-from .operators import evaluate, fulltext, graph, index, knn, ranking, threshold
+from .operators import evaluate, fulltext, graph, index, knn, ranking, signatures, threshold
 from .plans import engine
 from .sources import sinks, tables
 
@@ -289,6 +289,40 @@ def fts_proximity(spark, sf_dir):
     return ranking.top_k(fulltext.search_near(spark.read.parquet(path), asked), 50, digits=6)
 
 
+def _signed(spark, sf_dir):
+    """Signatures of all documents and of all queries, both written."""
+    paths = [sinks.scratch_path(spark) for _ in range(2)]
+    words = docs(spark, sf_dir).select("doc_id", F.explode(T.without(T.tokens(F.col("text")), STOP_WORDS)).alias("term"))
+    sinks.write_table(signatures.signatures(words), paths[0])
+    sinks.write_table(signatures.wanted(fulltext.query_lexemes(_near_queries(spark, sf_dir), STOP_WORDS)), paths[1])
+    return [spark.read.parquet(p) for p in paths]
+
+
+@query(SQL_NEAR + " SELECT query_id, doc_id FROM m")
+def fts_signature_match(spark, sf_dir):
+    """Documents with all lexemes of a query, by signatures and a recheck."""
+    signed, asked = _signed(spark, sf_dir)
+    return signatures.recheck(signatures.candidates(signed, asked), signed, asked)
+
+
+@query(
+    SQL_NEAR
+    + """, db AS (SELECT DISTINCT doc_id, ('0x' || md5(term)[1:8])::BIGINT % 1024 AS bit FROM tf), qb AS (SELECT DISTINCT query_id, ('0x' || md5(term)[1:8])::BIGINT % 1024 AS bit FROM asked),
+nb AS (SELECT query_id, count(*) AS bits FROM qb GROUP BY query_id), c AS (SELECT query_id, doc_id FROM qb JOIN db USING (bit) JOIN nb USING (query_id) GROUP BY query_id, doc_id HAVING count(*) = any_value(bits))
+SELECT (SELECT count(*) FROM c) AS candidates, (SELECT count(*) FROM m) AS matches, round(1 - (SELECT count(*) FROM m)::DOUBLE / (SELECT count(*) FROM c), 6) AS false_share"""
+)
+def fts_signature_share(spark, sf_dir):
+    """How many candidates the signatures leave, how many match, and the share looked at in vain."""
+    signed, asked = _signed(spark, sf_dir)
+    found = signatures.candidates(signed, asked)
+    path = sinks.scratch_path(spark)
+    sinks.write_table(found, path)
+    found = spark.read.parquet(path)
+    n, m = found.agg(F.count("*").alias("candidates")), signatures.recheck(found, signed, asked).agg(F.count("*").alias("matches"))
+    counts = n.withColumn("one", F.lit(1)).join(m.withColumn("one", F.lit(1)), "one")
+    return counts.select("candidates", "matches", F.round(1 - F.col("matches") / F.col("candidates"), 6).alias("false_share"))
+
+
 @query(f"WITH {TF} SELECT doc_id, string_agg(term, ' ' ORDER BY term) AS lexemes FROM tf GROUP BY doc_id")
 def tsvector(spark, sf_dir):
     return fulltext.lexemes(index.term_frequencies(docs(spark, sf_dir))).select("doc_id", F.array_join("lexemes", " ").alias("lexemes"))
