@@ -93,7 +93,9 @@ def scan_secrets(docs: DataFrame, owner: str = "source", repository: str = "lang
     """
     rows = _examined(docs, owner, repository)
     uses = _uses(rows)
-    judged = uses.join(ownership(uses, example_owners, example_repositories), "digest").select("row", "s", "verdict", "owners", "repositories")
+    # written apart, so that no aggregate below the join keeps a digest of many uses from being split
+    known = staged(ownership(uses, example_owners, example_repositories), narrow=True)
+    judged = uses.join(known, "digest").select("row", "s", "verdict", "owners", "repositories")
     added = (F.col("verdict") == "live") & (F.col("s.kind") == "live")
     told = F.struct(F.col("s.start").alias("start"), F.col("s.rank").alias("rank"), F.col("s.kind").alias("kind"), F.col("s.end").alias("end"))
     by_row = judged.groupBy("row").agg(
