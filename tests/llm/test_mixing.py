@@ -56,3 +56,29 @@ def test_mixture_has_the_words_taken(spark):
     texts = {r[0]: r[1] for r in rows}
     assert mixture(docs).columns == docs.columns and all(texts[r.doc_id].startswith(r.text) for r in out)
     assert mixture(frame(spark, [])).count() == 0
+
+
+def test_rows_of_one_id(spark, monkeypatch):
+    """Many rows without an id, and of one id: each is cut where it stands, in order of size, also over several steps."""
+    monkeypatch.setattr("vitrine.llm.mixing.COPIES", 50)
+    rows = [(None, " ".join("w" * (i % 4)), "a", 1, "") for i in range(500)] + [(7, "x y z", "b", 1, "")] * 130
+    out = mix_sources(frame(spark, rows), bucket_rows=16).collect()
+    want = brute_targets({"a": 750, "b": 390})
+    assert len(out) == len(rows)
+    for source, sizes in (("a", sorted(len(r[1].split()) for r in rows if r[2] == "a")), ("b", [3] * 130)):
+        whole, rest = divmod(int(want[source]), sum(sizes))
+        taken, left = [], rest
+        for n in sizes:
+            taken.append(whole * n + min(n, left))
+            left -= min(n, left)
+        assert sorted((r.size, r.taken) for r in out if r.source == source) == sorted(zip(sizes, taken, strict=True))
+
+
+def test_names_with_dots_and_backticks(spark):
+    from vitrine.llm.pii import sanitise
+
+    docs = frame(spark, [(1, "write to a.b@example.org now", "a", 1, "k"), (2, "plain words here", "b", 2, "l")])
+    docs = docs.withColumnRenamed("size", "a`b").withColumnRenamed("key", "c.d")
+    for made in (mixture(docs), sanitise(docs)):
+        assert made.columns == docs.columns
+        assert {r["a`b"] for r in made.collect()} <= {1, 2} and {r["c.d"] for r in made.collect()} <= {"k", "l"}

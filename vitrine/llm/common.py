@@ -83,9 +83,14 @@ def discard(*tables: DataFrame) -> None:
             place.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
 
 
+def quoted(name: str) -> str:
+    """A column's name as it must be written for names with dots or backticks to be found."""
+    return f"`{name.replace('`', '``')}`"
+
+
 def whole_rows(df: DataFrame):
     """All columns as one struct, whatever their names."""
-    return F.struct(*(F.col(f"`{n.replace('`', '``')}`") for n in df.columns))
+    return F.struct(*(F.col(quoted(n)) for n in df.columns))
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

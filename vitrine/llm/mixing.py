@@ -4,7 +4,8 @@ Every row gets a hash-random key. A bucket is a fixed range of keys, so buckets
 hold about equally many rows of any source, a hot source included, and no
 sampling decides where a row goes. Token counts are summed per (source,
 bucket), prefix sums run over buckets in two levels and then inside each
-bucket, and each source is cut at its exact budget.
+bucket, and each source is cut at its exact budget. Rows that are alike in all that
+places them are counted together, so many rows of one id are one row there.
 """
 
 from __future__ import annotations
@@ -14,10 +15,12 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged, whole_rows, whole_text
+from .common import quoted, staged, whole_rows, whole_text
 
 WORD = r"[^\x20\x09-\x0D]+"
 KEY_BITS = 52
+#: Rows alike that one step of their spreading puts up.
+COPIES = 65536
 
 
 def hash_key(column: Column, seed: str) -> Column:
@@ -84,6 +87,7 @@ def mix_sources(
         hash_key(F.col("doc_id"), seed).alias("key"),
     )
     rows = staged(narrow)
+    alike = ["sk", "bucket", "key", "doc_id", "size"]
     bits = max(0, math.ceil(math.log2(max(1, rows.count()) / bucket_rows)))
     rows = rows.withColumn("bucket", F.shiftright("key", KEY_BITS - bits)).withColumn("block", F.shiftright("bucket", 10))
 
@@ -98,11 +102,17 @@ def mix_sources(
     blocks = by_block.select("sk", "block", prefix("words", Window.partitionBy("sk").orderBy("block")).alias("block_start")).join(targets, "sk")
     buckets = by_bucket.select("sk", "block", "bucket", prefix("words", Window.partitionBy("sk", "block").orderBy("bucket")).alias("bucket_start"))
     starts = buckets.join(blocks, ["sk", "block"]).select("sk", "bucket", "source_size", "target", (F.col("block_start") + F.col("bucket_start")).alias("start"))
+    # rows alike in id and size stand side by side: the window adds up one row of each sort, whatever their number
+    sorts = rows.groupBy(*alike).agg(F.first("source").alias("source"), F.count("*").alias("n"))
     inside = Window.partitionBy("sk", "bucket").orderBy("key", "doc_id", "size")
-    placed = rows.withColumn("ahead", prefix("size", inside)).join(starts, ["sk", "bucket"])
+    placed = sorts.withColumn("words", F.col("n") * F.col("size")).withColumn("ahead", prefix("words", inside)).join(starts, ["sk", "bucket"])
+    # and then stand one after the other, in two steps so that no array is longer than COPIES or the rows over COPIES
+    placed = placed.withColumn("first", F.explode(F.expr(f"sequence(0L, n - 1, {COPIES}L)")))
+    placed = placed.withColumn("place", F.explode(F.expr(f"sequence(first, least(n, first + {COPIES}L) - 1)")))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     rest = F.floor(F.col("target") - epochs * F.col("source_size")).cast("long")
-    cut = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("start") - F.col("ahead")))
+    before = F.col("start") + F.col("ahead") + F.col("place") * F.col("size")
+    cut = F.greatest(F.lit(0), F.least(F.col("size"), rest - before))
     return placed.select("doc_id", "source", "size", "source_size", "target", (epochs * F.col("size") + cut).alias("taken"))
 
 
@@ -112,7 +122,9 @@ def mixture(docs: DataFrame, **options) -> DataFrame:
     All columns stay. Rows equal in doc_id, source and size share what they take.
     """
     keys = [F.col("doc_id").eqNullSafe(F.col("_id")), F.col("_sk") == F.col("_source"), F.col("_size") == F.col("_words")]
-    plan = mix_sources(docs, **options).groupBy(F.col("doc_id").alias("_id"), source_key(F.col("source")).alias("_source"), F.col("size").alias("_words")).agg(F.sum("taken").alias("_sum"), F.count("*").alias("_n"))
+    grouped = mix_sources(docs, **options).groupBy(F.col("doc_id").alias("_id"), source_key(F.col("source")).alias("_source"), F.col("size").alias("_words"))
+    # written apart, so that no aggregate below the join keeps an id of many rows from being split
+    plan = staged(grouped.agg(F.sum("taken").alias("_sum"), F.count("*").alias("_n")), narrow=True)
     rows = docs.select(whole_rows(docs).alias("_doc"), "doc_id", source_key(F.col("source")).alias("_sk"), F.regexp_count(whole_text(), F.lit(WORD)).cast("long").alias("_size"))
     placed = rows.join(plan, keys[0] & keys[1] & keys[2]).withColumn("_taken", F.floor(F.col("_sum") / F.col("_n")).cast("long"))
     placed = placed.where("_taken > 0").withColumn("_full", F.expr("_taken div _size")).withColumn("_rest", F.expr("_taken % _size"))
@@ -127,5 +139,5 @@ def mixture(docs: DataFrame, **options) -> DataFrame:
         elif name == "n_chars":
             out.append(F.when(F.col("_take") == F.col("_size"), F.col("_doc.n_chars")).otherwise(F.char_length(text)).cast(docs.schema[name].dataType).alias(name))
         else:
-            out.append(F.col(f"_doc.`{name}`").alias(name))
+            out.append(F.col(f"_doc.{quoted(name)}").alias(name))
     return placed.select(*out)

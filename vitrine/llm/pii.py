@@ -19,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged, whole_rows, whole_text
+from .common import quoted, staged, whole_rows, whole_text
 from .spans import Kind, counted, matches, none_of, overlaps, spelled
 
 
@@ -176,5 +176,5 @@ def sanitise(docs: DataFrame, **options) -> DataFrame:
     every = F.array_sort(F.concat("base", F.coalesce("added", none_of(SPANS))))
     held = rows.where(F.size("base") > 0).join(revealing(rows, rows.select("text"), **options), "row", "left")
     clean = held.withColumn("text", rewritten(F.col("text"), every)).withColumn("n_chars", F.char_length("text").cast("long"))
-    out = [F.col("text") if n == "text" else F.col("n_chars").cast(docs.schema[n].dataType).alias(n) if n == "n_chars" else F.col(f"doc.`{n}`").alias(n) for n in names]
+    out = [F.col("text") if n == "text" else F.col("n_chars").cast(docs.schema[n].dataType).alias(n) if n == "n_chars" else F.col(f"doc.{quoted(n)}").alias(n) for n in names]
     return rows.where(F.size("base") == 0).select("doc.*").unionByName(clean.select(*out))
